@@ -65,6 +65,10 @@ def nearest_chunks(
     return near.join(facts, "review_id", "left")
 
 
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
+
+
 def rank_businesses_overfetch(
     chunks: DataFrame, reviews: DataFrame, query: Sequence[float], limit: int,
     where: SearchFilter | None = None, per_business: int = REVIEWS_PER_BUSINESS, factor: int = 20,
@@ -73,7 +77,7 @@ def rank_businesses_overfetch(
     review that has some; a chunk without score counts as 1."""
     near = nearest_chunks(
         chunks, reviews, query, limit * factor, where.for_businesses() if where else None
-    ).filter((F.coalesce("business_id", F.lit("")) != "") & (F.coalesce("review_id", F.lit("")) != ""))
+    ).filter(_filled("business_id") & _filled("review_id"))
     best = (
         near.withColumn("certainty", F.coalesce("certainty", F.lit(1.0)))
         .groupBy("business_id", "review_id")
@@ -98,9 +102,8 @@ def rank_businesses_max(
     """Businesses by their single nearest chunk among the `limit * factor` nearest."""
     near = nearest_chunks(
         chunks, reviews, query, limit * factor, where.for_businesses() if where else None
-    ).filter(F.coalesce("business_id", F.lit("")) != "")
-    facts = F.struct("certainty", F.negative("chunk_id").alias("tie"), *_PLACE) \
-        if dict(near.dtypes)["chunk_id"] in ("bigint", "int") else F.struct("certainty", "chunk_id", *_PLACE)
+    ).filter(_filled("business_id"))
+    facts = F.struct("certainty", "chunk_id", *_PLACE)
     best = near.groupBy("business_id").agg(F.max(facts).alias("best"))
     grouped = best.select(
         "business_id", F.col("best.business_name").alias("name"),

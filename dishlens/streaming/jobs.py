@@ -8,15 +8,12 @@ names; on a cluster those must be shared.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dishlens import schemas
-from dishlens.constants import SCRAPED, SCRAPING
 from dishlens.operators.fold import fold_scrape_results
 from dishlens.operators.snapshots import read_snapshot, write_snapshot
 from dishlens.plans.indexing import EmbedFn, index_batch, upsert_chunks
@@ -125,51 +122,12 @@ def unique_jobs(stream: DataFrame, args: list[str], ts: str, period: str = "30 d
 
 # ---------------------------------------------------------------- scrape results
 
-_STATE = "status string, item_count long, last_error string, scraped_at timestamp"
-
-
-def _step(state: tuple, event: tuple) -> tuple:
-    """Row state after one result; a scraped row only takes further successes."""
-    status, count, error, stamp = state
-    new_status, new_count, new_error, at = event
-    if status == SCRAPED and new_status != SCRAPED:
-        return state
-    adds = new_status == SCRAPED and status in (SCRAPED, SCRAPING)
-    return (
-        new_status,
-        (count or 0) + new_count if adds else new_count,
-        new_error or None,
-        at if new_status == SCRAPED else stamp,
-    )
-
-
-def scrape_states(events: DataFrame, key: str = "camis") -> DataFrame:
-    """Stateful stream of result events to the changed row states, in event order per batch.
+def scrape_fold_sink(root: str, schema: str) -> Callable[[DataFrame, int], None]:
+    """Fold each batch of result events onto a restaurant snapshot.
 
-    The state of a restaurant is four values; a batch of events streams through it in chunks.
+    A batch is reduced by mergeable aggregates before it meets the table, so nothing is collected per
+    restaurant and a hot one is as cheap as any. `seq` must rise from batch to batch.
     """
-
-    def update(
-        names: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else (None, None, None, None)
-        events_in = pd.concat(list(chunks)).sort_values("seq")
-        for row in events_in.itertuples(index=False):
-            current = _step(current, (row.status, int(row.item_count), row.last_error, row.ts))
-        state.update(current)
-        yield pd.DataFrame(
-            [(names[0], *current)],
-            columns=[key, "status", "item_count", "last_error", "scraped_at"],
-        )
-
-    return events.groupBy(key).applyInPandasWithState(
-        update, f"{key} string, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def scrape_fold_sink(root: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """The same states by batch folds onto a restaurant snapshot: nothing is collected per key, so a
-    hot restaurant is as cheap as any. `seq` must rise from batch to batch."""
     return merge_sink(root, schema, fold_scrape_results)
 
 
