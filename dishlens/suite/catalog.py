@@ -1 +1,268 @@
-"""Queries."""
+"""Catalog statistics, listing, validation, merges and product roll-up over parts and line items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dishlens.functions.arrays import distinct_non_blank
+from dishlens.plans import catalog as C
+from dishlens.suite.base import derive, derive_sql, query, table
+
+# One entry per part; groups are words of its name and type.
+ENTRY = {
+    "ingredient": "CASE WHEN p_partkey % 40 = 0 THEN '  ' WHEN p_partkey % 41 = 0 THEN 'bad' || chr(7) "
+                  "ELSE p_name || ' ' || p_partkey END",
+    "level": "CASE p_size % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low' WHEN 3 THEN '' "
+             "ELSE 'severe' END",
+    "groups": "CASE p_size % 4 WHEN 0 THEN LIST('fructans', 'GOS') WHEN 1 THEN LIST('lactose', 'lactose') "
+              "WHEN 2 THEN LIST('sorbitol', split_part(p_type, ' ', 1)) ELSE NULL END",
+    "notes": "'see ' || p_brand",
+    "substitutions": "CASE WHEN p_partkey % 3 = 0 THEN LIST('rice') ELSE NULL END",
+    "updated_at": "CAST('2024-01-01 00:00:00' AS TIMESTAMP)",
+}
+_CATALOG = f"catalog AS ({derive_sql(ENTRY, 'part')})"
+
+
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
+    columns = {**ENTRY, "updated_at": "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ)"}
+    return derive(table(spark, sf, "part"), columns)
+
+
+@query(f"""
+WITH {_CATALOG}
+SELECT 'total' AS kind, '' AS name, count(*) AS n FROM catalog
+UNION ALL SELECT 'level', level, count(*) FROM catalog GROUP BY 2
+UNION ALL SELECT 'group', g, count(*) FROM (SELECT unnest(groups) AS g FROM catalog) GROUP BY 2
+""")
+def catalog_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = C.catalog_stats(_catalog(spark, sf))
+    total = stats.select(F.lit("total").alias("kind"), F.lit("").alias("name"), F.col("total").alias("n"))
+    levels = stats.select(F.lit("level").alias("kind"), F.explode("level_counts").alias("name", "n"))
+    groups = stats.select(F.lit("group").alias("kind"), F.explode("group_counts").alias("name", "n"))
+    return total.unionByName(levels).unionByName(groups)
+
+
+@query(f"""
+WITH {_CATALOG}
+SELECT ingredient, level FROM catalog
+WHERE (ingredient ILIKE '%ring%' OR notes ILIKE '%ring%') AND level = 'high' AND list_contains(groups, 'GOS')
+ORDER BY ingredient LIMIT 50
+""")
+def catalog_list(spark: SparkSession, sf: str) -> DataFrame:
+    page = C.list_entries(_catalog(spark, sf), " RING ", "high", "GOS", offset=0, limit=50)
+    return page.select("ingredient", "level")
+
+
+@query(f"""
+WITH {_CATALOG}
+SELECT count(*) AS total FROM catalog
+WHERE (ingredient ILIKE '%brand#1%' OR notes ILIKE '%brand#1%') AND list_contains(groups, 'sorbitol')
+""")
+def catalog_total(spark: SparkSession, sf: str) -> DataFrame:
+    return C.count_entries(_catalog(spark, sf), search="brand#1", group="sorbitol")
+
+
+_KNOWN = "['fructans', 'GOS', 'lactose', 'excess fructose', 'sorbitol', 'mannitol']"
+
+
+@query(f"""
+WITH {_CATALOG},
+checked AS (
+  SELECT ingredient, level, COALESCE(groups, []) AS g, COALESCE(substitutions, []) AS s FROM catalog),
+reasons AS (
+  SELECT 'name is required' AS reason FROM checked WHERE trim(ingredient) = ''
+  UNION ALL SELECT 'name contains invalid characters' FROM checked WHERE regexp_matches(trim(ingredient), '[[:cntrl:]]')
+  UNION ALL SELECT 'level is required' FROM checked WHERE level = ''
+  UNION ALL SELECT 'invalid level' FROM checked WHERE level <> '' AND level NOT IN ('high', 'moderate', 'low')
+  UNION ALL SELECT 'duplicate groups' FROM checked WHERE len(list_distinct(g)) < len(g)
+  UNION ALL SELECT 'invalid group' FROM checked WHERE len(list_filter(g, lambda x: NOT list_contains({_KNOWN}, x))) > 0
+  UNION ALL SELECT 'needs groups' FROM checked WHERE level <> 'low' AND len(g) = 0
+  UNION ALL SELECT 'needs substitutions' FROM checked WHERE level <> 'low' AND len(s) = 0
+  UNION ALL SELECT 'low entry has substitutions' FROM checked WHERE level = 'low' AND len(s) > 0)
+SELECT reason, count(*) AS n FROM reasons GROUP BY 1
+""")
+def catalog_validate(spark: SparkSession, sf: str) -> DataFrame:
+    errors = F.concat(
+        C.entry_errors(F.col("ingredient"), F.col("level"), F.col("groups")),
+        C.corpus_errors(F.col("level"), F.col("groups"), F.col("substitutions")),
+    )
+    rows = _catalog(spark, sf).select(F.explode(errors).alias("reason"))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Stored catalog: part names that begin with s or r; batch: names that end with t, in upper case.
+_STORE = """
+store AS (
+  SELECT lower(trim(p_name)) AS ingredient, min(p_brand) AS notes, 'low' AS level FROM part
+  WHERE p_name LIKE 's%' OR p_name LIKE 'r%' GROUP BY 1),
+batch AS (SELECT lower(trim(p_name)) AS ingredient, max(p_type) AS notes, 'high' AS level FROM part
+  WHERE p_name LIKE '%t' GROUP BY 1)"""
+
+
+def _store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf, "part")
+    empty = F.array().cast("array<string>")
+
+    def shape(df: DataFrame, level: str) -> DataFrame:
+        return df.select(
+            "ingredient", F.lit(level).alias("level"), empty.alias("groups"), "notes",
+            empty.alias("substitutions"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("updated_at"),
+        )
+
+    stored = part.filter("p_name LIKE 's%' OR p_name LIKE 'r%'").groupBy(
+        F.lower(F.trim("p_name")).alias("ingredient")
+    ).agg(F.min("p_brand").alias("notes"))
+    batch = part.filter("p_name LIKE '%t'").groupBy(
+        F.upper("p_name").alias("ingredient")
+    ).agg(F.max("p_type").alias("notes"))
+    return shape(stored, "low"), shape(batch, "high").withColumn("groups", F.lit(None).cast("array<string>"))
+
+
+@query(f"""
+WITH {_STORE}
+SELECT ingredient, level, notes, FALSE AS changed FROM store
+UNION ALL
+SELECT ingredient, level, notes, TRUE FROM batch WHERE ingredient NOT IN (SELECT ingredient FROM store)
+""")
+def catalog_seed(spark: SparkSession, sf: str) -> DataFrame:
+    store, batch = _store(spark, sf)
+    merged = C.seed(store, batch, F.expr("TIMESTAMP_NTZ '2024-06-01 00:00:00'"))
+    return merged.select("ingredient", "level", "notes", (F.month("updated_at") == 6).alias("changed"))
+
+
+@query(f"""
+WITH {_STORE}
+SELECT COALESCE(b.ingredient, s.ingredient) AS ingredient, COALESCE(b.level, s.level) AS level,
+       COALESCE(b.notes, s.notes) AS notes, b.ingredient IS NOT NULL AS changed, 0 AS n_groups
+FROM store s FULL JOIN batch b ON s.ingredient = b.ingredient
+""")
+def catalog_reseed(spark: SparkSession, sf: str) -> DataFrame:
+    store, batch = _store(spark, sf)
+    merged = C.reseed(store, batch, F.expr("TIMESTAMP_NTZ '2024-06-01 00:00:00'"))
+    return merged.select(
+        "ingredient", "level", "notes", (F.month("updated_at") == 6).alias("changed"),
+        F.size("groups").alias("n_groups"),
+    )
+
+
+@query(f"""
+WITH {_STORE} SELECT ingredient FROM store WHERE ingredient NOT IN (SELECT ingredient FROM batch)
+""")
+def catalog_delete(spark: SparkSession, sf: str) -> DataFrame:
+    store, batch = _store(spark, sf)
+    return C.delete_entries(store, batch).select("ingredient")
+
+
+# ---------------------------------------------------------------- roll-up
+
+# Catalog of part names; a quarter of the names is unknown. Products are orders.
+_NAMES = """
+names AS (SELECT DISTINCT p_name FROM part),
+levels AS (
+  SELECT p_name AS ingredient,
+    CASE length(p_name) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS level,
+    CASE WHEN length(p_name) % 4 < 2 THEN [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] ELSE [] END AS groups
+  FROM names WHERE length(p_name) % 4 < 3),
+items AS (
+  SELECT l_orderkey AS product, l_linenumber AS pos, p_name AS ingredient, c.ingredient AS matched, level, groups
+  FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN levels c ON c.ingredient = p_name)"""
+
+
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.length("p_name") % 4
+    catalog = (
+        table(spark, sf, "part").select("p_name").distinct().filter(size < 3)
+        .select(
+            F.col("p_name").alias("ingredient"),
+            F.when(size == 0, "high").when(size == 1, "moderate").otherwise("low").alias("level"),
+            F.when(size < 2, F.split("p_name", " ")).otherwise(F.array().cast("array<string>")).alias("groups"),
+        )
+    )
+    items = table(spark, sf, "lineitem").join(
+        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).select(
+        F.col("l_orderkey").alias("product"), F.col("l_linenumber").alias("pos"),
+        F.upper("p_name").alias("ingredient"),
+    )
+    return C.lookup(items, catalog)
+
+
+@query(f"""
+WITH {_NAMES},
+totals AS (
+  SELECT product, max(CASE level WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS worst,
+         count(*) AS n_ingredients, count(matched) AS n_matched, count(*) - count(matched) AS n_unknown
+  FROM items GROUP BY 1),
+cells AS (
+  SELECT product, pos, unnest(groups) AS g, generate_subscripts(groups, 1) AS ix FROM items WHERE matched IS NOT NULL),
+firsts AS (SELECT product, g, min(pos * 10 + ix) AS f FROM cells GROUP BY 1, 2),
+lists AS (SELECT product, string_agg(g, ',' ORDER BY f, g) AS groups FROM firsts GROUP BY 1)
+SELECT t.product, CASE worst WHEN 3 THEN 'high' WHEN 2 THEN 'moderate' WHEN 1 THEN 'low' END AS overall_level,
+       COALESCE(groups, '') AS groups, n_ingredients, n_matched, n_unknown
+FROM totals t LEFT JOIN lists USING (product)
+""")
+def product_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    rolled = C.product_rollup(_matched(spark, sf))
+    return rolled.withColumn("groups", F.array_join("groups", ",")).drop("message")
+
+
+@query(f"""
+WITH {_NAMES} SELECT product, pos, upper(ingredient) AS ingredient FROM items WHERE matched IS NULL
+""")
+def unknown_ingredients(spark: SparkSession, sf: str) -> DataFrame:
+    return C.unknown_ingredients(_matched(spark, sf))
+
+
+# ---------------------------------------------------------------- product tags
+
+# One found product per line item of an order; tags from its part.
+_TAGS = {
+    "query": "l_orderkey",
+    "pos": "l_linenumber * 1000000 + l_partkey",
+    "allergens_tags": "LIST('en:' || p_brand, p_type)",
+    "ingredients_tags": "CASE WHEN p_size % 3 = 0 THEN LIST() ELSE LIST('en:' || replace(p_name, ' ', '-'), 'x-' || p_type, 'en:', "
+                        "'en:' || replace(p_name, ' ', '-')) END",
+}
+_TAGS_SQL = f"tags AS ({derive_sql(_TAGS, 'lineitem JOIN part ON p_partkey = l_partkey')})"
+
+
+def _tags(spark: SparkSession, sf: str) -> DataFrame:
+    joined = table(spark, sf, "lineitem").join(
+        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    columns = {k: v.replace("LIST()", "CAST(array() AS ARRAY<STRING>)") for k, v in _TAGS.items()}
+    return derive(joined, columns)
+
+
+@query(f"""
+WITH {_TAGS_SQL},
+cells AS (SELECT query, pos, unnest(allergens_tags) AS tag FROM tags)
+SELECT query, regexp_replace(tag, '^en:', '') AS allergen, min(pos) AS first_pos FROM cells GROUP BY 1, 2
+""")
+def allergen_tags(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.allergens(_tags(spark, sf))
+    return found.select("query", "allergen", F.col("first.pos").alias("first_pos"))
+
+
+@query(f"""
+WITH {_TAGS_SQL},
+firsts AS (SELECT query, arg_min(ingredients_tags, pos) AS t FROM tags WHERE len(ingredients_tags) > 0 GROUP BY 1)
+SELECT query, replace(regexp_replace(t[1], '^en:', ''), '-', ' ') || ',' || replace(t[2], '-', ' ') AS ingredients FROM firsts
+""")
+def product_ingredients(spark: SparkSession, sf: str) -> DataFrame:
+    found = C.product_ingredients(_tags(spark, sf))
+    return found.select("query", F.array_join("ingredients", ",").alias("ingredients"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS words FROM documents),
+cells AS (SELECT doc_id, trim(unnest(words)) AS word, generate_subscripts(words, 1) AS pos FROM w),
+firsts AS (SELECT doc_id, word, min(pos) AS pos FROM cells WHERE word <> '' GROUP BY 1, 2)
+SELECT doc_id, md5(string_agg(word, ' ' ORDER BY pos)) AS words, count(*) AS n FROM firsts GROUP BY 1
+""")
+def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    distinct = table(spark, sf, "documents").select("doc_id", distinct_non_blank(words).alias("w"))
+    return distinct.select(
+        "doc_id", F.md5(F.array_join("w", " ")).alias("words"), F.size("w").cast("bigint").alias("n")
+    )
