@@ -98,7 +98,7 @@ def url_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- keys and texts
 
-def _uuid_sql(namespace: str, name: str) -> str:
+def uuid_sql(namespace: str, name: str) -> str:
     digest = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
     return (
         f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || "
@@ -108,10 +108,10 @@ def _uuid_sql(namespace: str, name: str) -> str:
 
 
 @query(f"""
-SELECT doc_id, {_uuid_sql(keys.NS_OID, "CAST(doc_id AS VARCHAR)")} AS review_key,
-  {_uuid_sql(keys.NS_OID, "doc_id || '_chunk_' || n_chars")} AS chunk_key,
-  {_uuid_sql(keys.NS_URL, "text")} AS text_key,
-  {_uuid_sql(keys.NS_MENU_ITEM, "doc_id || '|' || source || '|' || lang")} AS item_key
+SELECT doc_id, {uuid_sql(keys.NS_OID, "CAST(doc_id AS VARCHAR)")} AS review_key,
+  {uuid_sql(keys.NS_OID, "doc_id || '_chunk_' || n_chars")} AS chunk_key,
+  {uuid_sql(keys.NS_URL, "text")} AS text_key,
+  {uuid_sql(keys.NS_MENU_ITEM, "doc_id || '|' || source || '|' || lang")} AS item_key
 FROM documents
 """)
 def uuid5_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,8 +207,8 @@ def html_to_markdown_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _menu_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per brand and size with a JSON-LD menu of its parts: sections, prices as text or number,
-    ingredient lists on some items, nameless items on others."""
+    """One page per part with a JSON-LD menu: a section with the part and a nameless item, an item of
+    the menu itself, prices as text or number, ingredient lists on some items, broken and empty blocks."""
     named = F.when(F.col("p_partkey") % 10 > 0, F.concat("p_name", F.lit(" "), "p_partkey"))
     item = F.struct(
         F.lit("MenuItem").alias("@type"), named.alias("name"),
@@ -217,20 +217,21 @@ def _menu_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_partkey") % 4 == 0, F.array("p_type", "p_brand")).alias("ingredients"),
         F.when(F.col("p_partkey") % 4 == 1, F.col("p_brand")).alias("recipeIngredient"),
     )
-    menus = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(
-        F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("items")
+    own = F.struct(F.lit("own").alias("name"), F.struct(F.col("p_size").alias("price")).alias("offers"))
+    nameless = F.struct(F.lit(7).alias("name"))
+    sections = F.array(
+        F.struct(F.array(item).alias("hasMenuItem")), F.struct(F.array(item.withField("name", F.lit(""))).alias("hasMenuItem")),
     )
-    items = F.transform("items", lambda i: i["item"])
     menu = F.struct(
-        F.lit("Menu").alias("@type"),
-        F.array(F.struct(F.lit("Mains").alias("name"), items.alias("hasMenuItem"))).alias("hasMenuSection"),
+        F.lit("Menu").alias("@type"), sections.alias("hasMenuSection"),
+        F.array(own).alias("hasMenuItem"), F.array(nameless).alias("other"),
     )
     place = F.struct(
         F.lit("Restaurant").alias("@type"), F.concat(F.lit("Shop "), "p_brand").alias("name"),
         F.struct(F.lit("Astoria").alias("addressLocality"), F.lit("NY").alias("addressRegion")).alias("address"),
     )
     block = F.when(
-        F.col("p_size") % 3 == 0, F.to_json(F.struct(F.array(place.alias("n")).alias("@graph")))
+        F.col("p_size") % 3 == 0, F.to_json(F.struct(F.array(place).alias("@graph")))
     ).when(F.col("p_size") % 3 == 1, F.to_json(menu)).otherwise(F.lit("{broken"))
     second = F.when(F.col("p_size") % 3 == 0, F.to_json(menu)).otherwise(F.lit("[]"))
     html = F.concat(
@@ -239,29 +240,30 @@ def _menu_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("</script><script>var x;</script></head><body>x<SCRIPT data-a=1 TYPE='Application/LD+JSON'>"), second,
         F.lit("</SCRIPT></body></html>"),
     )
-    return menus.select("p_brand", "p_size", html.alias("html"))
+    return table(spark, sf, "part").select("p_partkey", html.alias("html"))
 
 
 _LD_ITEMS = """
 ld AS (
-  SELECT p_brand, p_size, p_partkey, p_name || ' ' || p_partkey AS dish_name,
+  SELECT p_partkey, p_brand, p_size, p_name || ' ' || p_partkey AS dish_name,
     CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS description,
     CASE WHEN p_partkey % 3 = 0 THEN round(p_retailprice, 2) END AS price,
     CASE p_partkey % 4 WHEN 0 THEN p_type || ',' || p_brand WHEN 1 THEN p_brand ELSE '' END AS ingredients,
     p_partkey % 4 < 2 AS has_full
-  FROM part WHERE p_partkey % 10 > 0 AND p_size % 3 < 2)"""
+  FROM part WHERE p_partkey % 10 > 0 AND p_size % 3 < 2
+  UNION ALL SELECT p_partkey, p_brand, p_size, 'own', '', CAST(p_size AS DOUBLE), '', FALSE FROM part WHERE p_size % 3 < 2)"""
 
 
 @query(f"""
 WITH {_LD_ITEMS}
-SELECT p_brand, p_size, dish_name, description, price, ingredients, has_full,
+SELECT p_partkey, dish_name, description, price, ingredients, has_full,
   CASE WHEN p_size % 3 = 0 THEN 'Shop ' || p_brand ELSE '' END AS restaurant,
   CASE WHEN p_size % 3 = 0 THEN 'Astoria, NY' ELSE ', ' END AS place FROM ld
 """)
 def jsonld_items(spark: SparkSession, sf: str) -> DataFrame:
-    found = with_jsonld(_menu_pages(spark, sf)).select("p_brand", "p_size", "meta", F.explode("items").alias("i"))
+    found = with_jsonld(_menu_pages(spark, sf)).select("p_partkey", "meta", F.explode("items").alias("i"))
     return found.select(
-        "p_brand", "p_size", "i.dish_name", "i.description", F.round("i.price", 2).alias("price"),
+        "p_partkey", "i.dish_name", "i.description", F.round("i.price", 2).alias("price"),
         F.array_join("i.stated_ingredients", ",").alias("ingredients"),
         F.col("i.has_full_ingredients").alias("has_full"),
         F.col("meta.restaurant_name").alias("restaurant"),
@@ -269,10 +271,9 @@ def jsonld_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""
-WITH {_LD_ITEMS}, pages_t AS (SELECT DISTINCT p_brand, p_size FROM part), hit AS (SELECT DISTINCT p_brand, p_size FROM ld)
-SELECT count(h.p_brand) AS hits, count(*) AS pages, round(count(h.p_brand)::DOUBLE / count(*), 6) AS rate
-FROM pages_t p LEFT JOIN hit h ON h.p_brand = p.p_brand AND h.p_size = p.p_size
+@query("""
+SELECT count(*) FILTER (WHERE p_size % 3 < 2) AS hits, count(*) AS pages,
+  round(count(*) FILTER (WHERE p_size % 3 < 2)::DOUBLE / count(*), 6) AS rate FROM part
 """)
 def jsonld_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return P.hit_rate(with_jsonld(_menu_pages(spark, sf))).withColumn("rate", F.round("rate", 6))

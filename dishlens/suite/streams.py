@@ -1 +1,67 @@
-"""Queries."""
+"""Incremental jobs run to the end over the event table, against their batch answers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dishlens.operators.snapshots import read_snapshot, versions, write_snapshot
+from dishlens.plans import indexing as I
+from dishlens.session import shared_folder
+from dishlens.streaming import jobs as J
+from dishlens.suite.base import ORACLES, derive, query, table
+from dishlens.suite.restaurants import _FOLD_BASE, SCRAPE_EVENT
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return J.file_stream(spark, f"{sf}/{name}.parquet*", schema)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = J.daily_counts(events, "ts", "40 days")
+    J.run_available(counts, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log", "update").awaitTermination()
+    return J.latest_values(spark, f"{folder}/out", "day", "day STRING, n LONG")
+
+
+@query("SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
+def stream_unique_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    unique = J.unique_jobs(events, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+    J.run_available(unique, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log").awaitTermination()
+    found = spark.read.schema("user_id LONG, event_type STRING, batch LONG").parquet(f"{folder}/out")
+    return found.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FOLD_SCHEMA = "camis STRING, status STRING, item_count INT, last_error STRING, scraped_at TIMESTAMP_NTZ"
+
+
+@query(ORACLES["scrape_state_fold"])
+def stream_scrape_fold(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    users = table(spark, sf, "events").filter("event_type <> 'signup'").select("user_id").distinct()
+    base = derive(users, {**_FOLD_BASE, "scraped_at": "CAST(NULL AS TIMESTAMP_NTZ)"})
+    write_snapshot(base, f"{folder}/table", 0)
+    events = derive(_stream(spark, sf, "events"), SCRAPE_EVENT)
+    sink = J.scrape_fold_sink(f"{folder}/table", _FOLD_SCHEMA)
+    J.run_available(events, sink, f"{folder}/log").awaitTermination()
+    return read_snapshot(spark, f"{folder}/table", _FOLD_SCHEMA)
+
+
+@query()
+def stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _run_folder(spark)
+    reviews = _stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text")
+    sink = J.index_sink(f"{folder}/chunks", I.hashing_embedder(32))
+    J.run_available(reviews, sink, f"{folder}/log").awaitTermination()
+    newest = versions(spark, f"{folder}/chunks")[-1]
+    return spark.read.parquet(f"{folder}/chunks/version={newest}").drop("embedding")
