@@ -184,7 +184,8 @@ def parsed(html: Column | str, url: Column | str) -> Column:
         rows = [parse_page(h or "", b) for h, b in zip(pages, bases)]
         return pd.DataFrame(rows, columns=["markdown", "anchors", "images"])
 
-    return parse(
+    # Declared nondeterministic so that the optimizer never copies it into a second evaluation.
+    return parse.asNondeterministic()(
         F.col(html) if isinstance(html, str) else html, F.col(url) if isinstance(url, str) else url
     )
 

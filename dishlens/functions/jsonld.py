@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens import constants as K
+from dishlens.operators.spread import let
 
 # A comment is taken as one match so that scripts inside it are not seen.
 _COMMENT_OR_SCRIPT = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>"
@@ -89,33 +90,35 @@ def _entry(item: Column) -> Column:
 
 
 def _named(items: Column) -> Column:
-    return F.filter(items, lambda i: _is_object(i) & (F.coalesce(_text(i, "$.name"), F.lit("")) != ""))
+    return F.filter(items, lambda i: F.coalesce(_text(i, "$.name"), F.lit("")) != "")
 
 
 def _menu_items(menu: Column) -> Column:
     """Item nodes of a menu: those of its sections first, then its own."""
-    sections = F.filter(_list(menu, "$.hasMenuSection"), _is_object)
+    sections = _list(menu, "$.hasMenuSection")
     nested = F.flatten(F.transform(sections, lambda s: _list(s, "$.hasMenuItem")))
     return F.concat(nested, _list(menu, "$.hasMenuItem"))
 
 
 def nodes(block: Column) -> Column:
     """Object nodes of one JSON-LD block: its @graph, its array elements, or the object itself."""
-    value = F.try_parse_json(block)
-    graph = F.try_variant_get(value, "$['@graph']", "array<variant>")
-    listed = F.try_variant_get(value, "$", "array<variant>")
-    return F.filter(
-        F.coalesce(graph, listed, F.when(value.isNotNull(), F.array(value)),
-                   F.array().cast("array<variant>")),
-        _is_object,
-    )
+
+    def listed(value: Column) -> Column:
+        return F.coalesce(
+            F.try_variant_get(value, "$['@graph']", "array<variant>"),
+            F.try_variant_get(value, "$", "array<variant>"),
+            F.when(value.isNotNull(), F.array(value)),
+            F.array().cast("array<variant>"),
+        )
+
+    return F.filter(let(F.try_parse_json(block), listed), _is_object)
 
 
 def _node_items(node: Column) -> Column:
     kind = _text(node, "$['@type']")
     menu = F.try_variant_get(node, "$.hasMenu", "variant")
     return (
-        F.when(kind.isin(K.RESTAURANT_TYPES) & _is_object(menu), _menu_items(menu))
+        F.when(kind.isin(K.RESTAURANT_TYPES), _menu_items(menu))
         .when(kind == "Menu", _menu_items(node))
         .when(kind == "MenuItem", F.array(node))
         .otherwise(F.array().cast("array<variant>"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from dishlens.operators.spread import let
 from dishlens.schemas import STRUCTURED_UPDATE
 
 
@@ -17,10 +18,15 @@ def select_json(content: Column | str, selector: Column | str) -> Column:
     Any other selector, an absent key or content that is no JSON object picks nothing ('').
     """
     content, selector = _col(content), _col(selector)
-    members = F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>")
     key = F.substring(selector, len("json:") + 1, 1_000_000)
-    value = F.coalesce(F.to_json(F.try_element_at(members, key)), F.lit("null"))
-    picked = F.when(F.map_contains_key(members, key), value)
+
+    def member(members: Column) -> Column:
+        value = F.coalesce(F.to_json(F.try_element_at(members, key)), F.lit("null"))
+        return F.when(F.map_contains_key(members, key), value)
+
+    picked = let(
+        F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>"), member
+    )
     return (
         F.when(selector == "", content)
         .when(selector.startswith("json:"), F.coalesce(picked, F.lit("")))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from dishlens import constants as K
+from dishlens.operators.spread import let
 
 TOKEN = "[a-z0-9]+"
 # Java character class of the white space that trimming removes.
@@ -62,14 +63,21 @@ def bm25(query: str, text_tokens: Column) -> Column:
     terms = query_terms(query)
     if not terms:
         return F.lit(0.0)
-    length = F.size(text_tokens).cast("double")
-    damp = K.BM25_K1 * (1 - K.BM25_B) + K.BM25_K1 * K.BM25_B / K.BM25_AVG_LENGTH * length
-    wanted = F.filter(text_tokens, lambda t: t.isin(sorted(set(terms))))
-    total = F.lit(0.0)
-    for term in sorted(set(terms)):
-        tf = _occurrences(wanted, term)
-        total += F.lit(float(terms.count(term))) * tf * F.lit(K.BM25_K1 + 1) / (tf + damp)
-    return F.when(length > 0, F.lit(math.log(2)) * total / len(terms)).otherwise(F.lit(0.0))
+    wanted = sorted(set(terms))
+
+    def score(length: Column, hits: Column) -> Column:
+        damp = K.BM25_K1 * (1 - K.BM25_B) + K.BM25_K1 * K.BM25_B / K.BM25_AVG_LENGTH * length
+        total = F.lit(0.0)
+        for term in wanted:
+            tf = _occurrences(hits, term)
+            total += F.lit(float(terms.count(term))) * tf * F.lit(K.BM25_K1 + 1) / (tf + damp)
+        return F.when(length > 0, F.lit(math.log(2)) * total / len(terms)).otherwise(F.lit(0.0))
+
+    # Tokens are found once per text; only the few that match are counted per term.
+    return let(text_tokens, lambda words: let(
+        F.filter(words, lambda word: word.isin(wanted)),
+        lambda hits: score(F.size(words).cast("double"), hits),
+    ))
 
 
 def blend(dense: Column, keyword: Column, alpha: float) -> Column:
@@ -125,7 +133,8 @@ def chunks(value: Column | str, limit: int = K.CHUNK_RUNES, overlap: int = K.CHU
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else chunk_text(t, limit, overlap))
 
-    return cut(_col(value))
+    # Declared nondeterministic so that the optimizer never copies it into a second evaluation.
+    return cut.asNondeterministic()(_col(value))
 
 
 # ---------------------------------------------------------------- page-text flags
@@ -135,9 +144,13 @@ def is_noisy(markdown: Column | str) -> Column:
     lines = F.filter(
         F.transform(F.split(_col(markdown), "\n"), trim_space), lambda line: line != ""
     )
-    total = F.size(lines)
-    short = F.size(F.filter(lines, lambda line: F.char_length(line) <= 20))
-    return (total >= 20) & (F.try_divide(short.cast("double"), total.cast("double")) > 0.70)
+
+    def judge(kept: Column) -> Column:
+        total = F.size(kept)
+        short = F.size(F.filter(kept, lambda line: F.char_length(line) <= 20))
+        return (total >= 20) & (short.cast("double") > total.cast("double") * 0.70)
+
+    return let(lines, judge)
 
 
 def visible_runes(markdown: Column | str) -> Column:
@@ -147,12 +160,15 @@ def visible_runes(markdown: Column | str) -> Column:
 def is_script_shell(markdown: Column | str, html: Column | str) -> Column:
     """Page whose text is injected by scripts: little visible text against the raw size."""
     html = _col(html)
-    visible = visible_runes(markdown)
     size = F.octet_length(html)
-    ratio = F.floor(size / F.greatest(visible, F.lit(1)))
-    return (visible < 500) & (
-        ((visible < 60) & html.contains("<script")) | ((size >= 50_000) & (ratio > 500))
-    )
+
+    def judge(visible: Column) -> Column:
+        ratio = F.floor(size / F.greatest(visible, F.lit(1)))
+        return (visible < 500) & (
+            ((visible < 60) & html.contains("<script")) | ((size >= 50_000) & (ratio > 500))
+        )
+
+    return let(visible_runes(markdown), judge)
 
 
 # ---------------------------------------------------------------- screening, truncation

@@ -15,6 +15,10 @@ from dishlens.operators.merge import delete_keys, insert_absent, last_of_batch,
 from dishlens.operators.paging import paginate
 
 
+# An entry names fewer groups than this; place and group index share one number in the roll-up.
+MAX_GROUPS = 4096
+
+
 def _compact(reasons: Mapping[str, Column]) -> Column:
     tests = F.array(*[F.when(bad, F.lit(reason)) for reason, bad in reasons.items()])
     return F.array_compact(tests)
@@ -168,29 +172,37 @@ def level_rank(level: Column) -> Column:
 
 def product_rollup(matched: DataFrame) -> DataFrame:
     """Worst level and group union per product from matched rows (product, pos, ingredient, matched,
-    level, groups).
+    level, groups); `pos` is an integer.
 
-    Counts and the worst rank are plain aggregates. Groups come in order of first sight; there are
-    only as many as the catalog's vocabulary has, so collecting them is bounded.
+    Rows are first reduced per product and group, so a product of any size is pre-aggregated. What is
+    collected in the end are its groups in order of first sight: at most the catalog's vocabulary.
     """
-    totals = matched.groupBy("product").agg(
-        F.max(F.when(F.col("matched").isNotNull(), level_rank(F.col("level"))).otherwise(F.lit(0))).alias("worst"),
-        F.count(F.lit(1)).alias("n_ingredients"),
-        F.count("matched").alias("n_matched"),
-        F.sum(F.when(F.col("matched").isNull(), 1).otherwise(0)).alias("n_unknown"),
+    known = F.col("matched").isNotNull()
+    rows = matched.select(
+        "product", "pos",
+        F.when(known, level_rank(F.col("level"))).otherwise(F.lit(0)).alias("rank"),
+        known.cast("long").alias("known"),
+        F.posexplode_outer(F.when(known, F.col("groups"))).alias("at", "grp"),
+    )
+    # An ingredient with several groups spans rows: only the first of them counts it.
+    counts = F.when(F.coalesce("at", F.lit(0)) == 0, F.lit(1)).otherwise(F.lit(0))
+    per_group = rows.groupBy("product", "grp").agg(
+        F.max("rank").alias("worst"),
+        F.sum(counts).alias("n"),
+        F.sum(counts * F.col("known")).alias("n_known"),
+        F.min(F.col("pos").cast("long") * MAX_GROUPS + F.col("at")).alias("first"),
     )
-    seen = (
-        matched.filter("matched IS NOT NULL")
-        .select("product", "pos", F.posexplode(or_empty("groups")).alias("at", "grp"))
-        .groupBy("product", "grp").agg(F.min(F.struct("pos", "at")).alias("first"))
-        .groupBy("product").agg(F.array_sort(F.collect_list(F.struct("first", "grp"))).alias("found"))
-        .select("product", F.transform("found", lambda f: f["grp"]).alias("groups"))
+    found = F.array_sort(F.collect_list(F.when(F.col("grp").isNotNull(), F.struct("first", "grp"))))
+    totals = per_group.groupBy("product").agg(
+        F.max("worst").alias("worst"), F.sum("n").alias("n_ingredients"),
+        F.sum("n_known").alias("n_matched"), found.alias("found"),
     )
     worst = F.col("worst")
     overall = F.when(worst == 3, "high").when(worst == 2, "moderate").when(worst == 1, "low")
-    return totals.join(seen, "product", "left").select(
-        "product", overall.alias("overall_level"), or_empty("groups").alias("groups"),
-        "n_ingredients", "n_matched", "n_unknown",
+    return totals.select(
+        "product", overall.alias("overall_level"),
+        F.transform("found", lambda f: f["grp"]).alias("groups"),
+        "n_ingredients", "n_matched", (F.col("n_ingredients") - F.col("n_matched")).alias("n_unknown"),
         F.when(overall.isNull(), F.lit("no ingredients matched the catalog")).alias("message"),
     )
 

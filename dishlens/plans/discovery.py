@@ -9,6 +9,7 @@ from dishlens.functions import urls as U
 from dishlens.functions.jsonld import with_jsonld
 from dishlens.functions.text import alternation
 from dishlens.operators.dedup import distinct_urls
+from dishlens.operators.spread import let, spread_small
 
 _URL_IN_TEXT = r"""https?://[^\s)+"']+"""
 
@@ -23,27 +24,28 @@ def clean_answer(text: Column | str) -> Column:
 
 def parse_answers(events: DataFrame, text: str = "response_text") -> DataFrame:
     """Add `answer` (website_url, menu_urls, address, phone_number; NULL when the text is no such JSON)."""
-    value = F.try_parse_json(clean_answer(text))
 
-    def fits(path: str, kind: str) -> Column:
-        leaf = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-        return F.coalesce(leaf.rlike(f"^({kind}|VOID)"), F.lit(True))
+    def read(value: Column) -> Column:
+        def fits(path: str, kind: str) -> Column:
+            leaf = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+            return F.coalesce(leaf.rlike(f"^({kind}|VOID)"), F.lit(True))
 
-    def get(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(value, path, "string"), F.lit(""))
+        def get(path: str) -> Column:
+            return F.coalesce(F.try_variant_get(value, path, "string"), F.lit(""))
 
-    menu_urls = F.try_variant_get(value, "$.menu_urls", "array<string>")
-    good = (
-        F.schema_of_variant(value).rlike("^(OBJECT|VOID)")
-        & fits("$.website_url", "STRING") & fits("$.address", "STRING")
-        & fits("$.phone_number", "STRING") & fits("$.menu_urls", "ARRAY<(STRING|VOID)>")
-    )
-    answer = F.struct(
-        get("$.website_url").alias("website_url"),
-        F.coalesce(menu_urls, F.array().cast("array<string>")).alias("menu_urls"),
-        get("$.address").alias("address"), get("$.phone_number").alias("phone_number"),
-    )
-    return events.withColumn("answer", F.when(good, answer))
+        good = (
+            F.schema_of_variant(value).rlike("^(OBJECT|VOID)")
+            & fits("$.website_url", "STRING") & fits("$.address", "STRING")
+            & fits("$.phone_number", "STRING") & fits("$.menu_urls", "ARRAY<(STRING|VOID)>")
+        )
+        menu_urls = F.try_variant_get(value, "$.menu_urls", "array<string>")
+        return F.when(good, F.struct(
+            get("$.website_url").alias("website_url"),
+            F.coalesce(menu_urls, F.array().cast("array<string>")).alias("menu_urls"),
+            get("$.address").alias("address"), get("$.phone_number").alias("phone_number"),
+        ))
+
+    return events.withColumn("answer", let(F.try_parse_json(clean_answer(text)), read))
 
 
 def candidate_urls(answered: DataFrame, owner: str = "camis", text: str = "response_text") -> DataFrame:
@@ -97,7 +99,7 @@ def signal_decision(url: Column, status: Column, primary_url: Column, signal: Co
 
 def check_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages (url, status, primary_url, html) with `decision` and `keep`."""
-    checked = with_jsonld(pages, html).withColumn(
+    checked = with_jsonld(spread_small(pages), html).withColumn(
         "decision",
         signal_decision(F.col("url"), F.col("status"), F.col("primary_url"),
                         menu_signal(html, F.col("jsonld_hit"))),

@@ -16,6 +16,7 @@ from dishlens.functions.text import chunks as cut
 from dishlens.functions.vectors import norm
 from dishlens.operators.filters import in_city
 from dishlens.operators.merge import merge_upsert, replace_children
+from dishlens.operators.spread import spread_small
 
 EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 EMBED_BATCH = 100
@@ -64,7 +65,8 @@ def embed_column(
                 found.extend(_patiently(embed, values[start:start + batch], pause))
             yield pd.Series(found)
 
-    return df.withColumn(out, vectors(F.col(text)))
+    # Declared nondeterministic: the model must not be asked twice for the same text.
+    return df.withColumn(out, vectors.asNondeterministic()(F.col(text)))
 
 
 def joined_reviews(
@@ -92,8 +94,11 @@ def review_chunks(
     reviews: DataFrame, limit: int = CHUNK_RUNES, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
     """(chunk_id, review_id, chunk_ix, chunk_text)."""
-    return reviews.select(
-        "review_id", F.posexplode(cut("text", limit, overlap)).alias("chunk_ix", "chunk_text")
+    cut_reviews = spread_small(reviews.select("review_id", "text")).select(
+        "review_id", cut("text", limit, overlap).alias("chunks")
+    )
+    return cut_reviews.select(
+        "review_id", F.posexplode("chunks").alias("chunk_ix", "chunk_text")
     ).select(
         chunk_key(F.col("review_id").cast("string"), F.col("chunk_ix")).alias("chunk_id"),
         "review_id", "chunk_ix", "chunk_text",

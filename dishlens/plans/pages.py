@@ -11,11 +11,13 @@ from dishlens.functions import text as X
 from dishlens.functions.html import image_height, image_score, image_width, parsed
 from dishlens.functions.jsonld import with_jsonld
 from dishlens.functions.text import alternation
+from dishlens.operators.spread import spread_small
 
 
 def with_page(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Add `markdown`, `anchors` and `images`."""
-    return pages.withColumn("_page", parsed(html, url)).select(*pages.columns, "_page.*")
+    page = spread_small(pages).withColumn("_page", parsed(html, url))
+    return page.select(*pages.columns, "_page.*")
 
 
 def menu_images(parsed_pages: DataFrame, owner: str) -> DataFrame:
@@ -47,20 +49,18 @@ def has_menu_image(images: Column | str) -> Column:
 
 
 def route(
-    content_type: Column, jsonld_hit: Column, markdown: Column, html: Column, menu_image: Column,
-    renderer: bool = True, vision: bool = True, adapter: bool = False,
+    content_type: str, renderer: bool = True, vision: bool = True, adapter: bool = False
 ) -> Column:
-    """Extraction tier of a page, or `refuse` when its text is too short to be trusted."""
-    runes = X.visible_runes(markdown)
+    """Extraction tier from the page flags, or `refuse` when the text is too short to be trusted."""
+    runes = F.col("runes")
     short = runes < K.SHORT_PAGE_RUNES
-    weak = X.is_noisy(markdown) | short
-    shell = X.is_script_shell(markdown, html)
-    pdf = F.coalesce(content_type, F.lit("")).contains("pdf")
-    choice = F.when(pdf, F.lit(K.TIER_PDF)).when(jsonld_hit, F.lit(K.TIER_JSONLD))
+    weak = F.col("noisy") | short
+    pdf = F.coalesce(F.col(content_type), F.lit("")).contains("pdf")
+    choice = F.when(pdf, F.lit(K.TIER_PDF)).when(F.col("jsonld_hit"), F.lit(K.TIER_JSONLD))
     if renderer:
-        choice = choice.when(shell & short, F.lit(K.TIER_RENDERED))
+        choice = choice.when(F.col("script_shell") & short, F.lit(K.TIER_RENDERED))
     if vision:
-        choice = choice.when(weak & menu_image, F.lit(K.TIER_IMAGE))
+        choice = choice.when(weak & F.col("menu_image"), F.lit(K.TIER_IMAGE))
     if adapter:
         choice = choice.when(weak, F.lit(K.TIER_RENDERED))
     return choice.when(runes < K.MIN_EXTRACT_RUNES, F.lit("refuse")).otherwise(F.lit(K.TIER_HTML))
@@ -71,17 +71,13 @@ def route_pages(
     renderer: bool = True, vision: bool = True, adapter: bool = False,
 ) -> DataFrame:
     """Pages with the columns the decision rests on, and the decision."""
-    full = with_jsonld(with_page(pages, html, url), html)
-    return full.withColumns({
+    full = with_jsonld(with_page(pages, html, url), html).withColumns({
         "noisy": X.is_noisy("markdown"),
         "script_shell": X.is_script_shell("markdown", html),
         "runes": X.visible_runes("markdown"),
         "menu_image": has_menu_image("images"),
-    }).withColumn(
-        "route",
-        route(F.col(content_type), F.col("jsonld_hit"), F.col("markdown"), F.col(html),
-              F.col("menu_image"), renderer, vision, adapter),
-    )
+    })
+    return full.withColumn("route", route(content_type, renderer, vision, adapter))
 
 
 def platform(html: Column | str) -> Column:

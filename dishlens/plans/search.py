@@ -15,6 +15,7 @@ from dishlens.functions.text import blend, bm25, tokens
 from dishlens.functions.vectors import certainty
 from dishlens.operators.dedup import top_per_key
 from dishlens.operators.filters import SearchFilter
+from dishlens.operators.spread import spread_small
 
 _PLACE = ("business_name", "city", "state", "categories")
 
@@ -158,8 +159,11 @@ def hybrid_reviews(
 
 def keyword_rank(docs: DataFrame, text: str, query_text: str, id_col: str, limit: int) -> DataFrame:
     """Texts by keyword score."""
-    scored = docs.select(id_col, bm25(query_text, tokens(text)).alias("score"))
-    return scored.filter("score > 0").orderBy(F.desc("score"), F.asc(id_col)).limit(limit)
+    scored = spread_small(docs.select(id_col, text)).select(
+        id_col, bm25(query_text, tokens(text)).alias("score")
+    )
+    # Filtering after the cut gives the same rows and scores every text once.
+    return scored.orderBy(F.desc("score"), F.asc(id_col)).limit(limit).filter("score > 0")
 
 
 def hydrate_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import SparkSession
 
 # Runtime settings the jobs rely on. forceOptimizeSkewedJoin lets AQE split a hot join key even
 # when the split costs one more shuffle; the advisory size keeps reduce tasks inside memory.
+# The excluded rule would evaluate an exploded array twice, once to drop empty ones: here arrays come
+# from regular expressions and parsers, and the second pass costs more than it saves.
 RUNTIME_CONF = {
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dishlens.functions.arrays import distinct_non_blank
+from dishlens.operators.spread import spread_small
 from dishlens.plans import catalog as C
 from dishlens.suite.base import derive, derive_sql, query, table
 
@@ -178,7 +179,7 @@ def _matched(spark: SparkSession, sf: str) -> DataFrame:
             F.when(size < 2, F.split("p_name", " ")).otherwise(F.array().cast("array<string>")).alias("groups"),
         )
     )
-    items = table(spark, sf, "lineitem").join(
+    items = spread_small(table(spark, sf, "lineitem")).join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).select(
         F.col("l_orderkey").alias("product"), F.col("l_linenumber").alias("pos"),
@@ -227,7 +228,7 @@ _TAGS_SQL = f"tags AS ({derive_sql(_TAGS, 'lineitem JOIN part ON p_partkey = l_p
 
 
 def _tags(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "lineitem").join(
+    joined = spread_small(table(spark, sf, "lineitem")).join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     columns = {k: v.replace("LIST()", "CAST(array() AS ARRAY<STRING>)") for k, v in _TAGS.items()}

@@ -10,6 +10,7 @@ from dishlens.functions import keys, text as X, urls as U
 from dishlens.functions.jsonld import with_jsonld
 from dishlens.functions.urls import ordering_links as links_in
 from dishlens.operators.dedup import distinct_urls
+from dishlens.operators.spread import spread_small
 from dishlens.plans import discovery as D, pages as P
 from dishlens.suite.base import query, table
 
@@ -261,7 +262,7 @@ SELECT p_partkey, dish_name, description, price, ingredients, has_full,
   CASE WHEN p_size % 3 = 0 THEN 'Astoria, NY' ELSE ', ' END AS place FROM ld
 """)
 def jsonld_items(spark: SparkSession, sf: str) -> DataFrame:
-    found = with_jsonld(_menu_pages(spark, sf)).select("p_partkey", "meta", F.explode("items").alias("i"))
+    found = with_jsonld(spread_small(_menu_pages(spark, sf))).select("p_partkey", "meta", F.explode("items").alias("i"))
     return found.select(
         "p_partkey", "i.dish_name", "i.description", F.round("i.price", 2).alias("price"),
         F.array_join("i.stated_ingredients", ",").alias("ingredients"),
@@ -276,7 +277,7 @@ SELECT count(*) FILTER (WHERE p_size % 3 < 2) AS hits, count(*) AS pages,
   round(count(*) FILTER (WHERE p_size % 3 < 2)::DOUBLE / count(*), 6) AS rate FROM part
 """)
 def jsonld_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return P.hit_rate(with_jsonld(_menu_pages(spark, sf))).withColumn("rate", F.round("rate", 6))
+    return P.hit_rate(with_jsonld(spread_small(_menu_pages(spark, sf)))).withColumn("rate", F.round("rate", 6))
 
 
 # ---------------------------------------------------------------- signals
@@ -523,7 +524,7 @@ cand AS (
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "orders").select(
+    events = spread_small(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("camis"), F.expr(_ANSWER).alias("response_text")
     )
     return D.parse_answers(events)

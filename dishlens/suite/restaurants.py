@@ -10,6 +10,7 @@ from dishlens.operators import fold, merge as M
 from dishlens.operators.dedup import latest_per_key
 from dishlens.operators.filters import contains_text
 from dishlens.operators.paging import page_bounds, paginate
+from dishlens.operators.spread import spread_small
 from dishlens.plans import restaurants as R
 from dishlens.sources import inspections as N
 from dishlens.suite.base import derive, derive_sql, query, table
@@ -80,7 +81,7 @@ _INSP = (
 
 
 def _inspections(spark: SparkSession, sf: str) -> DataFrame:
-    raw = derive(table(spark, sf, "lineitem"), INSPECTION)
+    raw = derive(spread_small(table(spark, sf, "lineitem")), INSPECTION)
     raw = raw.withColumn("inspection_date", F.expr(_DATED.format(s="shape", usd="usd", day="day")))
     raw = raw.withColumn("latitude", F.trim("latitude"))
     return N.valid_records(raw)
