@@ -1,44 +1,83 @@
-"""Versioned table folders: each merge writes a complete new snapshot next to the old ones.
+"""Keyed tables that grow by batches.
 
-A snapshot counts once its _SUCCESS marker is there, so a job that dies half-way leaves the last
-good one in place, and writing the same version again simply replaces it.
+A table folder holds numbered bases (the whole table) and numbered batches (the rows a batch changed).
+The current table is the newest base plus the batches after it, where the newest batch of a key counts.
+Writing costs what changed, not what is there; `compact` makes a new base now and then.
+
+A folder counts once its _SUCCESS marker is there: a job that dies half-way leaves the last good state,
+and writing the same number again replaces it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def _folder(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+_NUMBER = "_number"
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under a table folder, oldest first."""
-    path, files = _folder(spark, root)
+def _numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
         return []
     found = []
     for status in files.listStatus(path):
-        match = re.fullmatch(r"version=(\d+)", status.getPath().getName())
+        match = re.fullmatch(rf"{kind}=(\d+)", status.getPath().getName())
         marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
         if match and files.exists(marker):
             found.append(int(match.group(1)))
     return sorted(found)
 
 
-def read_snapshot(
-    spark: SparkSession, root: str, schema: str, before: int | None = None
+def bases(spark: SparkSession, root: str) -> list[int]:
+    return _numbers(spark, root, "base")
+
+
+def batches(spark: SparkSession, root: str) -> list[int]:
+    return _numbers(spark, root, "batch")
+
+
+def write_base(df: DataFrame, root: str, number: int) -> None:
+    df.write.mode("overwrite").parquet(f"{root}/base={number}")
+
+
+def append_batch(df: DataFrame, root: str, number: int) -> None:
+    """The changed rows of a batch: for every key it touches, all rows the key has from now on."""
+    df.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+
+def read_current(
+    spark: SparkSession, root: str, schema: str, keys: Sequence[str], before: int | None = None
 ) -> DataFrame:
-    """Newest snapshot (older than `before`, if given); empty with the schema when there is none."""
-    found = [v for v in versions(spark, root) if before is None or v < before]
-    if not found:
+    """The table after all batches, or after those numbered below `before`.
+
+    A key may have several rows; they come from the newest folder that holds the key.
+    """
+    limit = float("inf") if before is None else before
+    base = max((n for n in bases(spark, root) if n < limit), default=None)
+    later = [n for n in batches(spark, root) if n < limit and (base is None or n > base)]
+    parts = [] if base is None else [(f"{root}/base={base}", base)]
+    parts += [(f"{root}/batch={n}", n) for n in later]
+    if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/version={found[-1]}")
+    rows = None
+    for path, number in parts:
+        part = spark.read.schema(schema).parquet(path).withColumn(_NUMBER, F.lit(number))
+        rows = part if rows is None else rows.unionByName(part)
+    if len(parts) == 1:
+        return rows.drop(_NUMBER)
+    # Keys are pre-aggregated in every task; the semi join is then on a key that occurs once.
+    newest = rows.groupBy(*keys).agg(F.max(_NUMBER).alias(_NUMBER))
+    return rows.join(newest, [*keys, _NUMBER], "left_semi").drop(_NUMBER)
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+def compact(spark: SparkSession, root: str, schema: str, keys: Sequence[str]) -> int | None:
+    """Fold all batches into a base numbered like the last of them; older folders may then go."""
+    done = batches(spark, root)
+    if not done or done[-1] in bases(spark, root):
+        return None
+    write_base(read_current(spark, root, schema, keys), root, done[-1])
+    return done[-1]

@@ -8,18 +8,22 @@ names; on a cluster those must be shared.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dishlens import schemas
 from dishlens.operators.fold import fold_scrape_results
-from dishlens.operators.snapshots import read_snapshot, write_snapshot
-from dishlens.plans.indexing import EmbedFn, index_batch, upsert_chunks
+from dishlens.operators.snapshots import append_batch, read_current
+from dishlens.plans.indexing import EmbedFn, index_batch
 
 log = logging.getLogger(__name__)
 
+# Stream batches count from 0; table folders from 1, after an initial base numbered 0.
+CHUNK_SCHEMA = schemas.CHUNK + ", norm DOUBLE"
+CHUNK_COLUMNS = ["chunk_id", "review_id", "chunk_ix", "chunk_text", "embedding", "norm"]
+
 
 def file_stream(
     spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None
@@ -43,31 +47,35 @@ def run_available(
 # ---------------------------------------------------------------- index and replay
 
 def index_sink(root: str, embed: EmbedFn) -> Callable[[DataFrame, int], None]:
-    """Chunk, embed and merge each batch of joined reviews into the chunk table under `root`.
+    """Chunk and embed each batch of joined reviews and append it to the chunk table under `root`.
 
-    Version n+1 is made from the newest version before it, so running batch n again gives the same.
+    All chunks of a review in the batch replace those it had, so a shorter text leaves none behind.
     """
-    schema = schemas.CHUNK + ", norm DOUBLE"
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.dropDuplicates(["review_id"])
-        fresh = index_batch(latest, embed).select("chunk_id", "review_id", "chunk_ix", "chunk_text",
-                                                  "embedding", "norm")
-        base = read_snapshot(spark, root, schema, before=number + 1)
-        write_snapshot(upsert_chunks(base, latest, fresh), root, number + 1)
+        fresh = index_batch(batch.dropDuplicates(["review_id"]), embed)
+        append_batch(fresh.select(*CHUNK_COLUMNS), root, number + 1)
 
     return sink
 
 
+def current_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return read_current(spark, root, CHUNK_SCHEMA, ["review_id"])
+
+
 def merge_sink(
-    root: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
+    root: str, schema: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> Callable[[DataFrame, int], None]:
-    """Merge each batch into a snapshot table by the given function of (base, batch)."""
+    """Merge each batch into a keyed table by a function of (rows the batch touches, batch).
+
+    Only touched rows are read into the merge and written; batch n sees the table as of batch n-1,
+    so running it again writes the same.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        base = read_snapshot(batch.sparkSession, root, schema, before=number + 1)
-        write_snapshot(merge(base, batch), root, number + 1)
+        current = read_current(batch.sparkSession, root, schema, keys, before=number + 1)
+        touched = current.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+        append_batch(merge(touched, batch), root, number + 1)
 
     return sink
 
@@ -115,20 +123,30 @@ def latest_values(spark: SparkSession, root: str, key: str, schema: str) -> Data
     return newest.select(key, "v.*").drop("batch")
 
 
-def unique_jobs(stream: DataFrame, args: list[str], ts: str, period: str = "30 days") -> DataFrame:
-    """First job per argument set; repeats within the period are dropped."""
-    return stream.withWatermark(ts, period).dropDuplicatesWithinWatermark(args)
+def unique_jobs(
+    stream: DataFrame, args: list[str], ts: str, period: str = "30 days", salts: int = 16
+) -> DataFrame:
+    """One job per argument set; repeats within the period are dropped.
+
+    Repeats go first within salted keys, so an argument set that repeats endlessly is thinned out in
+    many tasks and only a few of its rows meet in one.
+    """
+    salted = stream.withWatermark(ts, period).withColumn(
+        "_salt", F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
+    )
+    thinned = salted.dropDuplicatesWithinWatermark([*args, "_salt"])
+    return thinned.dropDuplicatesWithinWatermark(args).drop("_salt")
 
 
 # ---------------------------------------------------------------- scrape results
 
 def scrape_fold_sink(root: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """Fold each batch of result events onto a restaurant snapshot.
+    """Fold each batch of result events onto the restaurants it touches.
 
     A batch is reduced by mergeable aggregates before it meets the table, so nothing is collected per
     restaurant and a hot one is as cheap as any. `seq` must rise from batch to batch.
     """
-    return merge_sink(root, schema, fold_scrape_results)
+    return merge_sink(root, schema, ["camis"], fold_scrape_results)
 
 
 # ---------------------------------------------------------------- incremental import

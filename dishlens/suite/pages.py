@@ -171,9 +171,15 @@ def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+WITH cut AS (
+  SELECT doc_id, text, strlen(text) AS size,
+    list_max(list_filter(range(0, 2001), lambda i: strlen(left(text, i)) <= 2000)) AS whole FROM documents)
+SELECT doc_id, md5('<untrusted_input>' || chr(10) || left(text, whole) ||
+  CASE WHEN size > 2000 AND strlen(left(text, whole)) < 2000 THEN chr(65533) ELSE '' END || chr(10) || '</untrusted_input>') AS wrapped FROM cut
+""")
 def wrap_for_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.wrap_untrusted("text", 500).alias("wrapped"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.wrap_untrusted("text", 500)).alias("wrapped"))
 
 
 # ---------------------------------------------------------------- page parsing

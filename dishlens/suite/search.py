@@ -371,6 +371,28 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return I.review_chunks(reviews)
 
 
+# With single blanks as the only separators a chunk ends at the last blank that fits, which SQL can follow.
+@query("""
+WITH RECURSIVE plain AS (
+  SELECT doc_id, trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents),
+cut AS (
+  SELECT doc_id, CAST(-1 AS INTEGER) AS ix, '' AS piece, t AS rest, FALSE AS done FROM plain
+  UNION ALL
+  SELECT doc_id, ix + 1,
+    CASE WHEN length(rest) <= 800 THEN rest ELSE left(rest, 800 - instr(reverse(left(rest, 800)), ' ')) END,
+    CASE WHEN length(rest) <= 800 THEN '' ELSE substr(rest, 802 - instr(reverse(left(rest, 800)), ' ')) END,
+    length(rest) <= 800
+  FROM cut WHERE NOT done)
+SELECT doc_id, ix AS chunk_ix,
+  md5(COALESCE(right(lag(piece) OVER (PARTITION BY doc_id ORDER BY ix), 100), '') || piece) AS chunk
+FROM cut WHERE ix >= 0
+""")
+def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
+    plain = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))
+    reviews = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), plain.alias("text"))
+    return I.review_chunks(reviews).select(F.col("review_id").alias("doc_id"), "chunk_ix", F.md5("chunk_text").alias("chunk"))
+
+
 @query()
 def index_corpus(spark: SparkSession, sf: str) -> DataFrame:
     joined = I.joined_reviews(_source_reviews(spark, sf), _source_businesses(spark, sf), city="Reno")

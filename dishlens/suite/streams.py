@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dishlens.operators.snapshots import read_snapshot, versions, write_snapshot
+from dishlens.operators.snapshots import read_current, write_base
 from dishlens.plans import indexing as I
 from dishlens.session import shared_folder
 from dishlens.streaming import jobs as J
@@ -50,11 +50,11 @@ def stream_scrape_fold(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
     users = table(spark, sf, "events").filter("event_type <> 'signup'").select("user_id").distinct()
     base = derive(users, {**_FOLD_BASE, "scraped_at": "CAST(NULL AS TIMESTAMP_NTZ)"})
-    write_snapshot(base, f"{folder}/table", 0)
+    write_base(base, f"{folder}/table", 0)
     events = derive(_stream(spark, sf, "events"), SCRAPE_EVENT)
     sink = J.scrape_fold_sink(f"{folder}/table", _FOLD_SCHEMA)
     J.run_available(events, sink, f"{folder}/log").awaitTermination()
-    return read_snapshot(spark, f"{folder}/table", _FOLD_SCHEMA)
+    return read_current(spark, f"{folder}/table", _FOLD_SCHEMA, ["camis"])
 
 
 @query()
@@ -63,5 +63,4 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     reviews = _stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text")
     sink = J.index_sink(f"{folder}/chunks", I.hashing_embedder(32))
     J.run_available(reviews, sink, f"{folder}/log").awaitTermination()
-    newest = versions(spark, f"{folder}/chunks")[-1]
-    return spark.read.parquet(f"{folder}/chunks/version={newest}").drop("embedding")
+    return J.current_chunks(spark, f"{folder}/chunks").drop("embedding")

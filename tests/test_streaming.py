@@ -1,9 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dishlens import schemas
 from dishlens.operators import fold
-from dishlens.operators.snapshots import read_snapshot, versions, write_snapshot
+from dishlens.operators.snapshots import batches, read_current, write_base
 from dishlens.plans import indexing as I, restaurants as R
 from dishlens.streaming import jobs as J
 
@@ -21,13 +20,13 @@ def test_fold_over_several_batches_equals_one_fold(spark, tmp_path, rows):
     first = [("a", 1, "scraping", 2, ""), ("a", 2, "scraped", 5, ""), ("b", 1, "failed_scrape", 0, "x")]
     second = [("a", 3, "failed_scrape", 0, "late"), ("a", 4, "scraped", 7, ""), ("b", 2, "scraped", 4, "")]
     root, source, log = str(tmp_path / "t"), str(tmp_path / "in"), str(tmp_path / "log")
-    write_snapshot(base, root, 0)
+    write_base(base, root, 0)
     sink = J.scrape_fold_sink(root, BASE)
     for part in (first, second):
         events(spark, part).write.mode("append").parquet(source)
         J.run_available(J.file_stream(spark, source, EVENT), sink, log).awaitTermination()
-    streamed = read_snapshot(spark, root, BASE)
-    assert versions(spark, root) == [0, 1, 2]
+    streamed = read_current(spark, root, BASE, ["camis"])
+    assert batches(spark, root) == [1, 2]
     assert rows(streamed) == rows(fold.fold_scrape_results(base, events(spark, first + second)))
     assert {r.camis: r.item_count for r in streamed.collect()} == {"a": 14, "b": 7}
 
@@ -35,14 +34,13 @@ def test_fold_over_several_batches_equals_one_fold(spark, tmp_path, rows):
 def test_repeated_batch_changes_nothing(spark, tmp_path, rows):
     root = str(tmp_path / "t")
     sink = J.index_sink(root, I.hashing_embedder(4))
-    schema = schemas.CHUNK + ", norm DOUBLE"
     one = spark.createDataFrame([("r1", "a " * 900), ("r2", "b")], "review_id string, text string")
     sink(one, 0)
-    before = rows(read_snapshot(spark, root, schema))
+    before = rows(J.current_chunks(spark, root))
     sink(one, 0)
-    assert rows(read_snapshot(spark, root, schema)) == before
+    assert rows(J.current_chunks(spark, root)) == before
     sink(spark.createDataFrame([("r1", "short now")], "review_id string, text string"), 1)
-    got = rows(read_snapshot(spark, root, schema), "review_id", "chunk_text")
+    got = rows(J.current_chunks(spark, root), "review_id", "chunk_text")
     assert got == [("r1", "short now"), ("r2", "b")]
 
 
@@ -52,7 +50,7 @@ def test_index_goes_on_where_it_stopped(spark, tmp_path):
         spark.createDataFrame([(rid, "text " + rid)], "review_id string, text string").write.mode("append").parquet(source)
         stream = J.file_stream(spark, source, "review_id string, text string")
         J.run_available(stream, J.index_sink(root, I.hashing_embedder(4)), log).awaitTermination()
-    found = read_snapshot(spark, root, schemas.CHUNK)
+    found = J.current_chunks(spark, root)
     assert sorted(r.chunk_text for r in found.collect()) == ["text r1", "text r2"]
 
 
