@@ -170,6 +170,12 @@ def hydrate_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:
     return reviews.join(ids.select("review_id"), "review_id", "left_semi")
 
 
+def reviews_of_restaurants(reviews: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Reviews with the public number of their restaurant."""
+    keys = restaurants.select(F.col("id").alias("business_id"), "camis")
+    return reviews.join(keys, "business_id")
+
+
 def reviews_per_city(reviews: DataFrame, limit: int = 20) -> DataFrame:
     return (
         reviews.groupBy("city").agg(F.count(F.lit(1)).alias("n"))

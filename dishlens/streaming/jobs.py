@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from dishlens import schemas
 from dishlens.operators.fold import fold_scrape_results
 from dishlens.operators.snapshots import append_batch, read_current
+from dishlens.operators.merge import last_of_batch
 from dishlens.plans.indexing import EmbedFn, index_batch
+from dishlens.plans.menus import replay
 
 log = logging.getLogger(__name__)
 
@@ -80,6 +82,20 @@ def merge_sink(
     return sink
 
 
+def replay_sink(
+    root: str, rejects: str, restaurants: DataFrame, embed: EmbedFn, dim: int
+) -> Callable[[DataFrame, int], None]:
+    """Menu extraction events to the item table, as the batch replay does it; what it rejects goes to
+    the dead letters, one folder per batch."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        items, bad = replay(batch, restaurants, embed, dim)
+        append_batch(last_of_batch(items, ["menu_item_id"], ["item_pos"]), root, number + 1)
+        append_batch(bad, rejects, number + 1)
+
+    return sink
+
+
 def dual_sink(
     primary: Callable[[DataFrame, int], None], mirror: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:

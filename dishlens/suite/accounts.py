@@ -253,6 +253,16 @@ def transcript_export(spark: SparkSession, sf: str) -> DataFrame:
     return V.transcript_blocks(heads, turns, F.expr("TIMESTAMP_NTZ '2024-02-03 04:05:06'"))
 
 
+@query(f"""
+WITH {_TURNS} SELECT conversation_id, sequence, content, role FROM turns
+""")
+def transcript_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported JSON lines, read back."""
+    exported = V.transcript_json(_turns(spark, sf))
+    back = F.from_json("json", "role string, content string")
+    return exported.select("conversation_id", "sequence", back["content"].alias("content"), back["role"].alias("role"))
+
+
 @query(f"""
 WITH {_TURNS},
 kept AS (SELECT * FROM turns WHERE role NOT LIKE 'tool%' OR content LIKE '[{{%')

@@ -154,6 +154,24 @@ def catalog_delete(spark: SparkSession, sf: str) -> DataFrame:
     return C.delete_entries(store, batch).select("ingredient")
 
 
+@query("""
+WITH stored AS (SELECT 'e' || label AS ingredient, min(vec_id) AS v FROM embeddings WHERE label < 6 GROUP BY 1),
+batch AS (SELECT 'e' || label AS ingredient, max(vec_id) AS v FROM embeddings WHERE label > 3 GROUP BY 1)
+SELECT COALESCE(b.ingredient, s.ingredient) AS ingredient, e.vec_id AS v, round(e.embedding[1]::DOUBLE, 5) AS x0
+FROM stored s FULL JOIN batch b ON s.ingredient = b.ingredient JOIN embeddings e ON e.vec_id = COALESCE(b.v, s.v)
+""")
+def catalog_vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("E"), "label").alias("ingredient"), F.col("vec_id").alias("v"), "embedding", "label",
+        F.array().cast("array<string>").alias("groups"), F.lit(None).cast("array<string>").alias("substitutions"),
+    )
+    stored = vectors.filter("label < 6").groupBy(F.lower("ingredient").alias("ingredient")).agg(
+        F.min("v").alias("v"), F.min_by("embedding", "v").alias("embedding"),
+    )
+    merged = C.upsert_vectors(stored, vectors.filter("label > 3"), "v")
+    return merged.select("ingredient", "v", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("x0"))
+
+
 # ---------------------------------------------------------------- roll-up
 
 # Catalog of part names; a quarter of the names is unknown. Products are orders.

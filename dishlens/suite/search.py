@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dishlens.functions.text import bm25, tokens
 from dishlens.functions.vectors import dimension_error
 from dishlens.operators import knn
+from dishlens.operators.counters import counted
 from dishlens.operators.filters import SearchFilter
 from dishlens.plans import catalog as C, indexing as I, search as S
+from dishlens.sources.archive import businesses, reviews as decode_reviews, reviews_of
 from dishlens.suite.base import query, table
 
 _QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -365,6 +367,74 @@ def city_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT doc_id AS review_id, source AS business_id, text FROM documents WHERE source = 'src7'")
+def reviews_of_business(spark: SparkSession, sf: str) -> DataFrame:
+    return reviews_of(_source_reviews(spark, sf), "src7")
+
+
+@query("""
+SELECT 'c-' || source AS camis, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
+WHERE source NOT LIKE '%9' GROUP BY 1
+""")
+def restaurant_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    shops = _source_businesses(spark, sf).select(
+        F.col("business_id").alias("id"), F.concat(F.lit("c-"), "business_id").alias("camis")
+    )
+    joined = S.reviews_of_restaurants(_source_reviews(spark, sf), shops)
+    return joined.groupBy("camis").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars")
+    )
+
+
+@query("""
+SELECT doc_id AS line_no, CAST(doc_id AS VARCHAR) AS review_id, '' AS user_id, source AS business_id,
+  CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE doc_id % 5 + 0.5 END::DOUBLE AS stars, CAST(doc_id % 7 AS INTEGER) AS useful, text
+FROM documents WHERE doc_id % 11 > 0 AND doc_id % 13 > 0
+""")
+def review_json_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with names in any case; every 11th is cut short, every 13th has a text for its stars."""
+    line = F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("Review_ID"), F.col("source").alias("business_id"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5 + 0.5).alias("STARS"),
+        (F.col("doc_id") % 7).alias("useful"), F.col("text").alias("Text"), F.lit(1).alias("extra"),
+    ))
+    broken = F.when(F.col("doc_id") % 11 == 0, F.substring(line, 1, 30)).when(
+        F.col("doc_id") % 13 == 0, F.lit('{"stars": "five"}')
+    ).otherwise(line)
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), broken.alias("value"))
+    decoded = decode_reviews(lines)
+    return decoded.select(
+        "line_no", "review_id", "user_id", "business_id", F.col("stars").cast("double").alias("stars"), "useful", "text"
+    )
+
+
+@query("""
+SELECT CAST(o_custkey AS VARCHAR) AS business_id, arg_max(o_orderpriority, o_orderkey) AS name, '' AS categories FROM orders GROUP BY 1
+""")
+def business_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.to_json(F.struct(
+        F.col("o_custkey").cast("string").alias("business_id"), F.col("o_orderpriority").alias("name"),
+    ))
+    lines = table(spark, sf, "orders").select(
+        F.lit("a").alias("archive"), F.col("o_orderkey").alias("line_no"), line.alias("value")
+    )
+    return businesses(lines).select("business_id", "name", "categories")
+
+
+@query("""
+SELECT count(*) AS read, count(*) FILTER (WHERE n_chars > 3000) AS upserted, count(*) FILTER (WHERE n_chars <= 3000) AS failed FROM documents
+""")
+def import_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters taken while the rows pass by on their way to a sink."""
+    long = F.col("n_chars") > 3000
+    rows, seen = counted(table(spark, sf, "documents"), "import", upserted=long, failed=~long)
+    rows.write.format("noop").mode("overwrite").save()
+    figures = seen.get
+    return spark.range(1).select(*[
+        F.lit(figures[k]).cast("bigint").alias(n) for n, k in (("read", "rows"), ("upserted", "upserted"), ("failed", "failed"))
+    ])
+
+
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     reviews = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text")

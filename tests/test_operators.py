@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dishlens.functions import keys, vectors
 from dishlens.operators import fold, knn, merge as M, snapshots
+from dishlens.operators.counters import counted
 from dishlens.operators.dedup import top_per_key
 from dishlens.operators.paging import limit_records, page_bounds
 
@@ -203,3 +204,9 @@ def test_newest_batch_of_a_key_counts(spark, tmp_path, rows):
     assert current() == now
     snapshots.append_batch(frame(("a", 7)), root, 3)
     assert current() == [("a", 7), *now[1:]]
+
+
+def test_counters_come_with_the_action(spark):
+    rows, seen = counted(spark.range(10), "n", even=F.col("id") % 2 == 0, big=F.col("id") > 6)
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5, "big": 3}

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dishlens import schemas
 from dishlens.operators import fold
 from dishlens.operators.snapshots import batches, read_current, write_base
-from dishlens.plans import indexing as I, restaurants as R
+
+from dishlens.plans import indexing as I, menus as M, restaurants as R
 from dishlens.streaming import jobs as J
 
 EVENT = "camis string, seq long, ts timestamp, status string, item_count int, last_error string"
@@ -54,6 +56,23 @@ def test_index_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.chunk_text for r in found.collect()) == ["text r1", "text r2"]
 
 
+def test_stream_replay_equals_batch_replay(spark, tmp_path, rows):
+    restaurants = spark.createDataFrame([("i1", "50", "Queens", "Main St", "555")], "id string, camis string, boro string, address string, phone string")
+    item = f"array<{schemas.MENU_ENTRY}>"
+    data = [(k, "https://e.com/our-menu", "R", [{"dish_name": d}], "t") for k, d in (("50", "Soup"), ("50", "Soup"), ("x", "Soup"), ("50", "Tea"))]
+    frame = spark.createDataFrame(data, f"business_id string, source_url string, restaurant_name string, items {item}, created_at string")
+    source, root, bad = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "bad")
+    frame.write.parquet(source)
+    embed = I.hashing_embedder(4)
+    sink = J.replay_sink(root, bad, restaurants, embed, 4)
+    J.run_available(J.file_stream(spark, source, frame.schema), sink, str(tmp_path / "log")).awaitTermination()
+    items, rejects = M.replay(frame, restaurants, embed, 4)
+    columns = ["menu_item_id", "business_id", "dish_name", "city", "embedding"]
+    schema = "menu_item_id string, business_id string, dish_name string, city string, embedding array<float>"
+    assert rows(read_current(spark, root, schema, ["menu_item_id"]), *columns) == rows(items.dropDuplicates(["menu_item_id"]), *columns)
+    assert spark.read.parquet(f"{bad}/batch=1").count() == rejects.count() == 1
+
+
 def test_mirror_failure_is_only_logged(spark, tmp_path):
     def broken(batch, number):
         raise RuntimeError("mirror down")
