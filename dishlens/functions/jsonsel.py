@@ -37,11 +37,16 @@ def select_json(content: Column | str, selector: Column | str) -> Column:
 def structured_update(picked: Column | str) -> Column:
     """The regulatory update in selected JSON; NULL unless substance and change type are filled."""
     picked = _col(picked)
-    parsed = F.when(F.try_parse_json(picked).isNotNull(), F.from_json(picked, STRUCTURED_UPDATE))
-    filled = (F.coalesce(parsed["substance_name"], F.lit("")) != "") & (
-        F.coalesce(parsed["change_type"], F.lit("")) != ""
-    )
     fields = [f.strip().split(" ")[0] for f in STRUCTURED_UPDATE.split(",")]
-    return F.when(
-        filled, F.struct(*[F.coalesce(parsed[f], F.lit("")).alias(f) for f in fields])
-    )
+
+    def complete(parsed: Column) -> Column:
+        filled = (F.coalesce(parsed["substance_name"], F.lit("")) != "") & (
+            F.coalesce(parsed["change_type"], F.lit("")) != ""
+        )
+        return F.when(
+            filled, F.struct(*[F.coalesce(parsed[f], F.lit("")).alias(f) for f in fields])
+        )
+
+    # try_parse_json tells broken text apart; from_json would read it as a row of NULLs.
+    valid = F.when(F.try_parse_json(picked).isNotNull(), picked)
+    return let(F.from_json(valid, STRUCTURED_UPDATE), complete)

@@ -13,8 +13,6 @@ from dishlens import constants as K
 from dishlens.operators.spread import let
 
 TOKEN = "[a-z0-9]+"
-# Java character class of the white space that trimming removes.
-_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def _col(value: Column | str) -> Column:
@@ -28,7 +26,7 @@ def alternation(words: list[str]) -> str:
 
 def trim_space(value: Column | str) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(_col(value), f"^{_WS}+|{_WS}+$", "")
+    return F.trim(_col(value), F.lit(K.WHITE_SPACE))
 
 
 def blank_to_null(value: Column | str) -> Column:

@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 SMALL_BYTES = 256 * 1024 * 1024
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a frame."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """Spread a small input over all cores before work that is heavy per row.
 
     A small file is often one row group, hence one task. The size is the optimizer's estimate; above
     the limit a table has row groups enough and keeps its scan partitions, without a shuffle.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > limit:
+    if estimated_bytes(df) > limit:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +10,7 @@ from dishlens.constants import GROUPS, LEVEL_RANK, LEVELS
 from dishlens.functions.arrays import ingredient_names, or_empty, strip_tag_locale
 from dishlens.functions.text import name_key, trim_space
 from dishlens.operators.filters import catalog_filter
+from dishlens.operators.joins import join_unique
 from dishlens.operators.knn import nearest_match
 from dishlens.operators.merge import delete_keys, insert_absent, last_of_batch, merge_upsert
 from dishlens.operators.paging import paginate
@@ -128,18 +129,20 @@ def delete_entries(catalog: DataFrame, names: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- look-up and roll-up
 
 def lookup(
-    ingredients: DataFrame, catalog: DataFrame, vectors: bool = False, threshold: float | None = None
+    ingredients: DataFrame, catalog: DataFrame, vectors: bool = False, threshold: float | None = None,
+    salt_by: Sequence[str] = ("item_id",),
 ) -> DataFrame:
     """Catalog match of each row (item_id, ingredient[, embedding]): by name first, else nearest.
 
     The nearest entry counts as found however far it is, unless a threshold is set. Adds
-    `matched`, `level`, `groups`, `certainty`; unmatched rows carry NULLs.
+    `matched`, `level`, `groups`, `certainty`; unmatched rows carry NULLs. `salt_by` tells rows apart,
+    so that an ingredient in every product can be spread.
     """
     facts = catalog.select(
         F.col("ingredient").alias("_key"), F.col("ingredient").alias("matched"), "level", "groups"
     )
     keyed = ingredients.withColumn("_key", name_key("ingredient"))
-    exact = keyed.join(facts, "_key", "left")
+    exact = join_unique(keyed, facts, ["_key"], "left", salt_by)
     if not vectors:
         certain = F.when(F.col("matched").isNotNull(), F.lit(1.0))
         return exact.withColumn("certainty", certain).drop("_key")
@@ -151,7 +154,7 @@ def lookup(
     near_facts = catalog.select(
         F.col("ingredient").alias("_near"), F.col("level").alias("_level"), F.col("groups").alias("_groups")
     )
-    found = pairs.join(near_facts, "_near")
+    found = join_unique(pairs, near_facts, ["_near"], "inner", ["item_id"])
     joined = exact.join(found, "item_id", "left")
     hit = F.col("matched").isNotNull()
     return joined.select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dishlens.functions.arrays import star_text
 from dishlens.operators.dedup import top_per_key
 from dishlens.operators.filters import contains_text, equals
+from dishlens.operators.joins import join_unique
 from dishlens.operators.merge import delete_keys, update_matched
 from dishlens.operators.paging import paginate
 
@@ -72,7 +73,8 @@ def user_details(
 
 def _searched(conversations: DataFrame, users: DataFrame, search: str) -> DataFrame:
     owners = users.select(F.col("id").alias("user_id"), "email")
-    return conversations.join(owners, "user_id").filter(contains_text(search, "title", "email"))
+    owned = join_unique(conversations, owners, ["user_id"], "inner", ["id"])
+    return owned.filter(contains_text(search, "title", "email"))
 
 
 def list_conversations(
@@ -114,7 +116,7 @@ def daily_activity(conversations: DataFrame, as_of: Column, days: int) -> DataFr
 
 def conversations_of(conversations: DataFrame, restaurants: DataFrame) -> DataFrame:
     keys = restaurants.select(F.col("id").alias("business_id"), "camis")
-    return conversations.join(keys, "business_id")
+    return join_unique(conversations, keys, ["business_id"], "inner", ["id"])
 
 
 def append_messages(

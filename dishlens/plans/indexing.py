@@ -15,6 +15,7 @@ from dishlens.functions.keys import chunk_key
 from dishlens.functions.text import chunks as cut
 from dishlens.functions.vectors import norm
 from dishlens.operators.filters import in_city
+from dishlens.operators.joins import join_unique
 from dishlens.operators.merge import merge_upsert, replace_children
 from dishlens.operators.spread import spread_small
 
@@ -75,18 +76,17 @@ def joined_reviews(
     """Reviews with business facts ('' where the business is unknown) and, given a map of outside to
     inside ids (yelp_id, id), the inside id (NULL where unknown).
 
-    No side is forced: Spark broadcasts the businesses while their size allows it and splits a hot
-    business otherwise (adaptive skew join).
+    A business may hold any share of the reviews: see `join_unique`.
     """
     facts = businesses.select(
         "business_id", F.col("name").alias("business_name"), "city", "state", "categories"
     )
-    rows = reviews.join(facts, "business_id", "left").fillna(
+    rows = join_unique(reviews, facts, ["business_id"], "left", ["review_id"]).fillna(
         "", subset=["business_name", "city", "state", "categories"]
     )
     if id_map is not None:
         inside = id_map.select(F.col("yelp_id").alias("business_id"), F.col("id").alias("business_uuid"))
-        rows = rows.join(inside, "business_id", "left")
+        rows = join_unique(rows, inside, ["business_id"], "left", ["review_id"])
     return rows.filter(in_city(city))
 
 

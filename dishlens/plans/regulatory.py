@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens.functions.jsonsel import select_json, structured_update
 from dishlens.functions.keys import regulatory_key, regulatory_vector_key, rule_key, source_key
+from dishlens.operators.joins import join_unique
 from dishlens.operators.merge import OLD, last_of_batch, merge_upsert, update_matched
 
 
@@ -22,7 +23,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     `update` stays NULL without a rule, without a match or with an incomplete update: those pages
     are for the slower extraction path.
     """
-    joined = pages.join(active_rules(rules), "domain", "left")
+    joined = join_unique(pages, active_rules(rules), ["domain"], "left", ["url"])
     picked = F.when(F.col("rule_id").isNotNull(), select_json("content", "selector"))
     return joined.withColumn("raw", picked).withColumn("update", structured_update("raw"))
 

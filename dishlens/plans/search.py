@@ -15,6 +15,7 @@ from dishlens.functions.text import blend, bm25, tokens
 from dishlens.functions.vectors import certainty
 from dishlens.operators.dedup import top_per_key
 from dishlens.operators.filters import SearchFilter
+from dishlens.operators.joins import join_unique
 from dishlens.operators.spread import spread_small
 
 _PLACE = ("business_name", "city", "state", "categories")
@@ -173,7 +174,7 @@ def hydrate_reviews(reviews: DataFrame, ids: DataFrame) -> DataFrame:
 def reviews_of_restaurants(reviews: DataFrame, restaurants: DataFrame) -> DataFrame:
     """Reviews with the public number of their restaurant."""
     keys = restaurants.select(F.col("id").alias("business_id"), "camis")
-    return reviews.join(keys, "business_id")
+    return join_unique(reviews, keys, ["business_id"], "inner", ["review_id"])
 
 
 def reviews_per_city(reviews: DataFrame, limit: int = 20) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dishlens import schemas
 from dishlens.operators.dedup import latest_per_key
+from dishlens.operators.spread import let
 
 LINES_PER_BATCH = 20_000
 LINES_PER_FILE = 500_000
@@ -66,27 +67,28 @@ def decode_json(lines: DataFrame, schema: str, value: str = "value") -> DataFram
     """
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     members = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
-    by_name = F.map_from_entries(
+    folded = F.map_from_entries(
         F.transform(
             F.map_entries(members), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"])
         )
     )
-    rows = lines.withColumn("_members", by_name).filter("_members IS NOT NULL")
-    good: Column = F.lit(True)
-    outputs = []
-    for name, kind in fields:
-        leaf = F.try_element_at("_members", F.lit(name.lower()))
-        shape = F.schema_of_variant(leaf)
-        absent = leaf.isNull() | (shape == "VOID")
-        if kind == "STRING":
-            fits, default = shape == "STRING", F.lit("")
-        else:
-            fits, default = shape.rlike("^(BIGINT|DOUBLE|DECIMAL|TINYINT|SMALLINT|INT|FLOAT)"), F.lit(0)
-        good &= absent | fits
-        picked = F.try_variant_get(leaf, "$", kind.lower())
-        outputs.append(F.coalesce(F.when(~absent, picked), default.cast(kind.lower())).alias(name))
+
+    def row(by_name: Column) -> Column:
+        good: Column = by_name.isNotNull()
+        outputs = []
+        for name, kind in fields:
+            leaf = F.try_element_at(by_name, F.lit(name.lower()))
+            shape = F.coalesce(F.schema_of_variant(leaf), F.lit("VOID"))
+            wanted = "STRING" if kind == "STRING" else "BIGINT|DOUBLE|DECIMAL|TINYINT|SMALLINT|INT|FLOAT"
+            good &= shape.rlike(f"^({wanted}|VOID)")
+            blank = F.lit("") if kind == "STRING" else F.lit(0)
+            picked = F.try_variant_get(leaf, "$", kind.lower())
+            outputs.append(F.coalesce(picked, blank.cast(kind.lower())).alias(name))
+        return F.when(good, F.struct(*outputs))
+
+    # A line becomes an array of one row or none, so it is parsed once and filtered on the way.
     keep = [c for c in lines.columns if c != value]
-    return rows.filter(good).select(*keep, *outputs)
+    return lines.select(*keep, F.inline(F.array_compact(F.array(let(folded, row)))))
 
 
 def reviews(lines: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def _matched(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("product"), F.col("l_linenumber").alias("pos"),
         F.upper("p_name").alias("ingredient"),
     )
-    return C.lookup(items, catalog)
+    return C.lookup(items, catalog, salt_by=["product", "pos"])
 
 
 @query(f"""

@@ -113,7 +113,7 @@ def test_rollup_takes_the_worst(spark):
         [("p", 1, "Rice"), ("p", 2, " milk "), ("p", 3, "moon"), ("p", 4, "onion"), ("q", 1, "rice"), ("z", 1, "moon")],
         "product string, pos int, ingredient string",
     )
-    matched = C.lookup(items, catalog)
+    matched = C.lookup(items, catalog, salt_by=["product", "pos"])
     got = {r["product"]: r for r in C.product_rollup(matched).collect()}
     assert got["p"].overall_level == "high" and got["p"].groups == ["lactose", "GOS", "fructans"] and got["p"].n_unknown == 1
     assert got["q"].overall_level == "low" and got["q"].groups == []
