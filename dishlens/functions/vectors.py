@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Above this width one matrix product per Arrow batch is cheaper than a JVM fold per row.
@@ -67,12 +68,13 @@ def _arrow_certainty(query: list[float]):
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        matrix = as_matrix(column.drop_null(), dim)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+        matrix = as_matrix(column.filter(fits), dim)
         lengths = np.sqrt((matrix * matrix).sum(axis=1))
         with np.errstate(divide="ignore", invalid="ignore"):
             values = np.where(lengths > 0, matrix @ unit / lengths, np.nan)
         out = np.full(len(column), np.nan)
-        out[column.is_valid().to_numpy(zero_copy_only=False)] = values
+        out[fits.to_numpy(zero_copy_only=False)] = values
         return pa.array(out, mask=np.isnan(out))
 
     return score

@@ -73,13 +73,13 @@ def nearest_batch(
         return table.sparkSession.createDataFrame([], schema + ", rank int")
     dim = len(first[0][1])
     limit = max(1, max_query_cells // dim)
+    head = head.filter(F.size(query_vector) == dim)
     sample = head.limit(limit + 1).toArrow()
     usable = table.filter(F.size(vector) == dim).select(id_col, vector)
     if sample.num_rows <= limit:
         pairs = _stream_pairs(usable, sample, dim, k, schema)
     else:
-        pairs = _block_pairs(usable, vector, id_col, head.filter(F.size(query_vector) == dim),
-                             query_vector, query_id, dim, k, schema)
+        pairs = _block_pairs(usable, vector, id_col, head, query_vector, query_id, dim, k, schema)
     return _ranked(pairs, query_id, id_col, k)
 
 
@@ -161,11 +161,11 @@ def nearest_match(
         return items.sparkSession.createDataFrame([], schema)
     dim = len(first[0][1])
     limit = max(1, max_cells // dim)
+    head = head.filter(F.size(catalog_vector) == dim)
     sample = head.orderBy(catalog_id).limit(limit + 1).toArrow()
     usable = items.filter(F.size(vector) == dim).select(item_id, vector)
     if sample.num_rows > limit:
-        pairs = _block_pairs(catalog.select(catalog_id, catalog_vector), catalog_vector, catalog_id,
-                             usable, vector, item_id, dim, 1, schema)
+        pairs = _block_pairs(head, catalog_vector, catalog_id, usable, vector, item_id, dim, 1, schema)
         return _ranked(pairs, item_id, catalog_id, 1).drop("rank")
     shared = items.sparkSession.sparkContext.broadcast(
         (sample.column(0).combine_chunks(), _unit(as_matrix(sample.column(1), dim)))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens.constants import (
-    FAILED_PERMANENTLY, FAILED_SCRAPE, JOB_KINDS, PENDING_DISCOVERY, SCRAPED, SCRAPING,
+    FAILED_PERMANENTLY, FAILED_SCRAPE, JOB_KINDS, NS_OID, PENDING_DISCOVERY, SCRAPED, SCRAPING,
     TIER_IMAGE, URL_FOUND,
 )
+from dishlens.functions.keys import uuid5
 from dishlens.functions.urls import canonical
 from dishlens.operators.filters import contains_text, equals
-from dishlens.operators.merge import NEW_OR_OLD, OLD, merge_upsert, update_matched
+from dishlens.operators.merge import NEW_OR_OLD, merge_upsert, update_matched
 from dishlens.operators.paging import paginate
 
 # Columns the inspection import owns; discovery and scraping own the rest.
@@ -22,6 +23,11 @@ IMPORT_COLUMNS = [
 
 # ---------------------------------------------------------------- merges
 
+def _surrogate(key: str) -> Column:
+    """Id of a new row, derived from its outside key: a task that runs again gives the same."""
+    return uuid5(NS_OID, F.concat_ws("|", F.lit(key), F.col(key)))
+
+
 def upsert_inspected(base: DataFrame, batch: DataFrame, new_id: Column | None = None) -> DataFrame:
     """Import by camis: a missing address keeps the old one, life-cycle columns are not touched, new
     restaurants await discovery."""
@@ -30,7 +36,7 @@ def upsert_inspected(base: DataFrame, batch: DataFrame, new_id: Column | None =
         base, rows, ["camis"],
         rules={"address": NEW_OR_OLD},
         on_insert={
-            "id": F.uuid() if new_id is None else new_id,
+            "id": _surrogate("camis") if new_id is None else new_id,
             "status": F.lit(PENDING_DISCOVERY),
         },
     )
@@ -42,7 +48,9 @@ def upsert_outside(base: DataFrame, businesses: DataFrame, new_id: Column | None
     outside = base.filter("yelp_id IS NOT NULL")
     merged = merge_upsert(
         outside, rows, ["yelp_id"],
-        on_insert={"id": F.uuid() if new_id is None else new_id, "status": F.lit(SCRAPED)},
+        on_insert={
+            "id": _surrogate("yelp_id") if new_id is None else new_id, "status": F.lit(SCRAPED),
+        },
     )
     return base.filter("yelp_id IS NULL").unionByName(merged)
 

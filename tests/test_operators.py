@@ -153,7 +153,8 @@ def test_nearest_match_both_ways(spark, vectors_and_queries, cells):
 
 def test_both_scoring_engines_agree(spark):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(rng.normal(size=16).tolist(),) for _ in range(20)] + [(None,), ([0.0] * 16,)], "v array<float>")
+    odd = [(None,), ([0.0] * 16,), ([1.0] * 15,), ([],)]
+    df = spark.createDataFrame([(rng.normal(size=16).tolist(),) for _ in range(20)] + odd, "v array<float>")
     query = rng.normal(size=16).tolist()
     a, b = vectors.certainty("v", query, engine="jvm"), vectors.certainty("v", query, engine="arrow")
     for x, y in df.select(a, b).collect():
