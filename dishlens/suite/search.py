@@ -9,6 +9,7 @@ from dishlens.functions.vectors import dimension_error
 from dishlens.operators import knn
 from dishlens.operators.counters import counted
 from dishlens.operators.filters import SearchFilter
+from dishlens.operators.spread import spread_small
 from dishlens.plans import catalog as C, indexing as I, search as S
 from dishlens.sources.archive import businesses, reviews as decode_reviews, reviews_of
 from dishlens.suite.base import query, table
@@ -465,7 +466,8 @@ def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def index_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    joined = I.joined_reviews(_source_reviews(spark, sf), _source_businesses(spark, sf), city="Reno")
+    reviews = spread_small(_source_reviews(spark, sf))
+    joined = I.joined_reviews(reviews, _source_businesses(spark, sf), city="Reno")
     chunks = I.index_batch(joined, I.hashing_embedder(64))
     return chunks.join(joined.select("review_id", "business_name", "city"), "review_id").select(
         "chunk_id", "review_id", "chunk_ix", "business_name", "city",
