@@ -112,11 +112,11 @@ def _met(spans: list[Span], others: list[Span], breaks: list[int], reach: int) -
     kept = set()
     for span in spans:
         at = bisect.bisect_left(breaks, span[0])
-        low = breaks[at - 1] if at else 0
+        low = breaks[at - 1] if at else -1
         high = breaks[at] if at < len(breaks) else float("inf")
         first = bisect.bisect_left(starts, span[0])
-        after = first < len(starts) and starts[first] <= min(span[1] + reach, high)
-        ahead = first > 0 and before[first - 1] >= max(span[0] - reach, low)
+        after = first < len(starts) and starts[first] <= span[1] + reach and starts[first] < high
+        ahead = first > 0 and before[first - 1] >= span[0] - reach and before[first - 1] > low
         if after or ahead:
             kept.add(span)
     return kept

@@ -160,7 +160,7 @@ def distinct_examples(sample: DataFrame) -> pd.DataFrame:
         for v, s in zip(values, seen, strict=True):
             s.add(v)
         keep.append(new)
-    kept = found[keep][["doc_id", "label"]].drop_duplicates("doc_id")
+    kept = found[np.array(keep, bool)][["doc_id", "label"]].drop_duplicates("doc_id")
     return kept.assign(half=[xxhash.xxh64_intdigest(str(i), 7) % 2 for i in kept["doc_id"]])
 
 
