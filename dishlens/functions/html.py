@@ -7,6 +7,7 @@ output can differ in blank lines around badly nested markup.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
@@ -60,6 +61,7 @@ class _Page(HTMLParser):
         self.anchors: list[dict] = []
         self.images: list[dict] = []
         self.open: list[tuple[str, bool]] = []  # (tag, carries a menu id)
+        self.counts: Counter[str] = Counter()  # open elements by tag
         self.skipping = 0
         self.chrome = 0
         self.menus = 0
@@ -67,12 +69,14 @@ class _Page(HTMLParser):
 
     def _enter(self, tag: str, menu: bool) -> None:
         self.open.append((tag, menu))
+        self.counts[tag] += 1
         self.menus += menu
         self.skipping += tag in _SKIPPED
         self.chrome += tag in _CHROME
 
     def _leave(self) -> None:
         tag, menu = self.open.pop()
+        self.counts[tag] -= 1
         self.menus -= menu
         self.skipping -= tag in _SKIPPED
         self.chrome -= tag in _CHROME
@@ -81,6 +85,8 @@ class _Page(HTMLParser):
 
     def _close(self, tag: str, barriers: frozenset[str] = frozenset()) -> None:
         """Leave elements up to the innermost `tag`, unless a barrier stands in between."""
+        if not self.counts[tag]:
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.open[depth][0]
             if name == tag:
@@ -133,7 +139,7 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "head":
             self._close("head")
-        elif tag == "p" and not any(name == "p" for name, _ in self.open):
+        elif tag == "p" and not self.counts["p"]:
             if self.in_body and not self.skipping:
                 self.out.append("\n\n")
         elif tag not in ("html", "body"):

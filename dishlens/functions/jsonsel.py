@@ -18,7 +18,7 @@ def select_json(content: Column | str, selector: Column | str) -> Column:
     Any other selector, an absent key or content that is no JSON object picks nothing ('').
     """
     content, selector = _col(content), _col(selector)
-    key = F.substring(selector, len("json:") + 1, 1_000_000)
+    key = F.substr(selector, F.lit(len("json:") + 1))
 
     def member(members: Column) -> Column:
         value = F.coalesce(F.to_json(F.try_element_at(members, key)), F.lit("null"))

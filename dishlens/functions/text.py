@@ -180,7 +180,7 @@ def screen_message(value: Column | str) -> Column:
     )
 
 
-def truncate_runes(value: Column | str, limit: int = K.MAX_INPUT_RUNES) -> Column:
+def truncate_runes(value: Column | str, limit: int) -> Column:
     return F.substring(_col(value), 1, limit)
 
 

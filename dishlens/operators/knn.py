@@ -57,21 +57,32 @@ def _ranked(pairs: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     return top_per_key(pairs, [query_id], order, k, rank_col="rank")
 
 
+def _width(rows: DataFrame, vector: str) -> int | None:
+    """The one width of all vectors; None if there are none."""
+    found = rows.agg(F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high")).first()
+    if found["low"] != found["high"]:
+        raise ValueError(f"vectors of {found['low']} to {found['high']} numbers: pass dim")
+    return found["low"]
+
+
 def nearest_batch(
     table: DataFrame, vector: str, id_col: str,
     queries: DataFrame, query_vector: str, query_id: str,
-    k: int, max_query_cells: int = MAX_QUERY_CELLS,
+    k: int, max_query_cells: int = MAX_QUERY_CELLS, dim: int | None = None,
 ) -> DataFrame:
-    """(query_id, id, certainty, rank): the `k` closest rows for every query, exact."""
+    """(query_id, id, certainty, rank): the `k` closest rows for every query, exact.
+
+    Vectors of another width than `dim` have no neighbours (`split_by_dimension` tells them apart);
+    without `dim` all queries must be of one width.
+    """
     head = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
-    first = head.limit(1).collect()
+    dim = _width(head, query_vector) if dim is None else dim
     schema = (
         f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
         f"{id_col} {table.schema[id_col].dataType.simpleString()}, certainty double"
     )
-    if not first:
+    if dim is None:
         return table.sparkSession.createDataFrame([], schema + ", rank int")
-    dim = len(first[0][1])
     limit = max(1, max_query_cells // dim)
     head = head.filter(F.size(query_vector) == dim)
     sample = head.limit(limit + 1).toArrow()
@@ -96,13 +107,15 @@ def _stream_pairs(table: DataFrame, queries: pa.Table, dim: int, k: int, schema:
             if not batch.num_rows:
                 continue
             batch = batch.sort_by(names[1])
-            scores = query_matrix @ _unit(as_matrix(batch.column(1), dim)).T
-            at_query, at_row = _best(scores, k)
-            yield pa.RecordBatch.from_arrays(
-                [query_ids.take(pa.array(at_query)), batch.column(0).take(pa.array(at_row)),
-                 pa.array(scores[at_query, at_row])],
-                names=names,
-            )
+            rows = _unit(as_matrix(batch.column(1), dim)).T
+            for start in range(0, len(query_matrix), PRODUCT_ROWS):  # the product stays of one size
+                scores = query_matrix[start:start + PRODUCT_ROWS] @ rows
+                at_query, at_row = _best(scores, k)
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(at_query + start)), batch.column(0).take(pa.array(at_row)),
+                     pa.array(scores[at_query, at_row])],
+                    names=names,
+                )
 
     return table.mapInArrow(score, schema)
 
@@ -144,22 +157,21 @@ def _block_pairs(
 def nearest_match(
     items: DataFrame, vector: str, item_id: str,
     catalog: DataFrame, catalog_vector: str, catalog_id: str,
-    max_cells: int = MAX_QUERY_CELLS,
+    max_cells: int = MAX_QUERY_CELLS, dim: int | None = None,
 ) -> DataFrame:
-    """(item_id, catalog_id, certainty): the closest catalog row of every item.
+    """(item_id, catalog_id, certainty): the closest catalog row of every item, among vectors of width `dim`.
 
     A catalog that fits rides along to the tasks and no shuffle happens at all; beyond the bound the
     roles are swapped and the block search answers.
     """
     head = catalog.select(catalog_id, catalog_vector).filter(F.col(catalog_vector).isNotNull())
-    first = head.limit(1).collect()
+    dim = _width(head, catalog_vector) if dim is None else dim
     schema = (
         f"{item_id} {items.schema[item_id].dataType.simpleString()}, "
         f"{catalog_id} {catalog.schema[catalog_id].dataType.simpleString()}, certainty double"
     )
-    if not first:
+    if dim is None:
         return items.sparkSession.createDataFrame([], schema)
-    dim = len(first[0][1])
     limit = max(1, max_cells // dim)
     head = head.filter(F.size(catalog_vector) == dim)
     sample = head.orderBy(catalog_id).limit(limit + 1).toArrow()

@@ -3,6 +3,7 @@ nothing more, and the result is a new snapshot."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,8 +22,16 @@ def _combine(rule: Rule, new: Column, old: Column) -> Column:
 
 
 def last_of_batch(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key of a batch: the last one wins."""
-    return latest_per_key(batch, keys, [F.col(c).desc_nulls_last() for c in order])
+    """One row per key of a batch: the last one in `order` wins, ties go by the other columns.
+
+    The order is total but for columns that cannot be compared (maps, variants), so a task that
+    runs again picks the same row.
+    """
+    rest = [
+        f.name for f in batch.schema.fields
+        if f.name not in (*keys, *order) and not re.search(r"\b(map<|variant)", f.dataType.simpleString())
+    ]
+    return latest_per_key(batch, keys, [F.col(c).desc_nulls_last() for c in (*order, *rest)])
 
 
 def merge_upsert(
@@ -33,15 +42,25 @@ def merge_upsert(
     default: Rule = NEW,
     on_insert: Mapping[str, Column] | None = None,
     on_update: Mapping[str, Column] | None = None,
+    order: Sequence[str] = (),
+    as_of: Column | None = None,
 ) -> DataFrame:
     """Insert the new keys of `batch` and combine the known ones column by column.
 
-    Both sides hold a key at most once (see `last_of_batch`), so no join partition can be hot.
+    The batch is first reduced to the last row of each key in `order` (see `last_of_batch`), so a key
+    never doubles and no join partition can be hot; the reduction shares the join's shuffle.
+    With `as_of`, `updated_at` moves on every touched row and `created_at` is set on new ones,
+    where the base has these columns.
     `rules` says per column which side wins on a known key; a column the batch lacks keeps its
     base value. `on_insert` and `on_update` set columns from expressions, e.g. a default status
     or a change time.
     """
     rules, on_insert, on_update = dict(rules or {}), dict(on_insert or {}), dict(on_update or {})
+    if as_of is not None:
+        stamped = {c: as_of for c in ("created_at", "updated_at") if c in base.columns}
+        on_insert = stamped | on_insert
+        on_update = {c: as_of for c in stamped if c == "updated_at"} | on_update
+    batch = last_of_batch(batch, keys, order)
     new = batch.withColumn("_in_batch", F.lit(True)).alias("new")
     old = base.withColumn("_in_base", F.lit(True)).alias("old")
     joined = old.join(new, list(keys), "full_outer")
@@ -70,12 +89,17 @@ def merge_upsert(
 
 
 def update_matched(
-    base: DataFrame, batch: DataFrame, keys: Sequence[str], assign: Mapping[str, Column]
+    base: DataFrame, batch: DataFrame, keys: Sequence[str], assign: Mapping[str, Column],
+    order: Sequence[str] = (), as_of: Column | None = None,
 ) -> DataFrame:
     """UPDATE ... FROM: rows of `base` with a batch row get the assigned columns.
 
-    Expressions see the base columns under `old` and the batch columns under `new`.
+    Expressions see the base columns under `old` and the batch columns under `new`. Of repeated keys in
+    the batch the last in `order` counts; with `as_of`, `updated_at` moves where the base has it.
     """
+    if as_of is not None and "updated_at" in base.columns:
+        assign = {"updated_at": as_of} | dict(assign)
+    batch = last_of_batch(batch, keys, order)
     joined = base.alias("old").join(
         batch.withColumn("_hit", F.lit(True)).alias("new"), list(keys), "left"
     )

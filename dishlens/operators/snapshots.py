@@ -32,6 +32,12 @@ def _numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
     return sorted(found)
 
 
+def complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a job has written the folder to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def bases(spark: SparkSession, root: str) -> list[int]:
     return _numbers(spark, root, "base")
 

@@ -16,10 +16,6 @@ from dishlens.operators.merge import delete_keys, insert_absent, last_of_batch,
 from dishlens.operators.paging import paginate
 
 
-# An entry names fewer groups than this; place and group index share one number in the roll-up.
-MAX_GROUPS = 4096
-
-
 def _compact(reasons: Mapping[str, Column]) -> Column:
     tests = F.array(*[F.when(bad, F.lit(reason)) for reason, bad in reasons.items()])
     return F.array_compact(tests)
@@ -101,7 +97,7 @@ def _prepared(batch: DataFrame) -> DataFrame:
 
 def seed(catalog: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     """Add unknown ingredients; known ones stay as they are."""
-    fresh = _prepared(batch).dropDuplicates(["ingredient"]).withColumn("updated_at", as_of)
+    fresh = last_of_batch(_prepared(batch), ["ingredient"], []).withColumn("updated_at", as_of)
     return insert_absent(catalog, fresh, ["ingredient"])
 
 
@@ -113,7 +109,7 @@ def seed_marker(meta: DataFrame, value: str) -> DataFrame:
 
 def reseed(catalog: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
     """Overwrite known ingredients and add the others, stamping the change time."""
-    fresh = _prepared(batch).dropDuplicates(["ingredient"]).withColumn("updated_at", as_of)
+    fresh = last_of_batch(_prepared(batch), ["ingredient"], []).withColumn("updated_at", as_of)
     return merge_upsert(catalog, fresh, ["ingredient"])
 
 
@@ -193,7 +189,7 @@ def product_rollup(matched: DataFrame) -> DataFrame:
         F.max("rank").alias("worst"),
         F.sum(counts).alias("n"),
         F.sum(counts * F.col("known")).alias("n_known"),
-        F.min(F.col("pos").cast("long") * MAX_GROUPS + F.col("at")).alias("first"),
+        F.min(F.struct(F.col("pos").cast("long").alias("pos"), "at")).alias("first"),
     )
     found = F.array_sort(F.collect_list(F.when(F.col("grp").isNotNull(), F.struct("first", "grp"))))
     totals = per_group.groupBy("product").agg(

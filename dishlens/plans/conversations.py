@@ -146,7 +146,7 @@ def delete_users(
 
 def message_block(role: Column, content: Column) -> Column:
     """Markdown block of one message."""
-    heading = F.concat(F.upper(F.substring(role, 1, 1)), F.substring(role, 2, 1_000_000))
+    heading = F.concat(F.upper(F.substring(role, 1, 1)), F.substr(role, F.lit(2)))
     for name, text in _HEADINGS.items():
         heading = F.when(role == name, F.lit(text)).otherwise(heading)
     is_tool = role.isin("tool_call", "tool_response")

@@ -89,7 +89,7 @@ def upsert_sources(base: DataFrame, batch: DataFrame) -> DataFrame:
     """Sources by a key derived from the domain; creation time stays."""
     keyed = batch.withColumn("id", source_key("domain"))
     fresh = last_of_batch(keyed, ["id"], ["updated_at"])
-    return merge_upsert(base, fresh, ["id"], rules={"created_at": OLD, "updated_at": OLD})
+    return merge_upsert(base, fresh, ["id"], rules={"created_at": OLD})
 
 
 def upsert_proposed_rules(base: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:

@@ -28,7 +28,9 @@ def _surrogate(key: str) -> Column:
     return uuid5(NS_OID, F.concat_ws("|", F.lit(key), F.col(key)))
 
 
-def upsert_inspected(base: DataFrame, batch: DataFrame, new_id: Column | None = None) -> DataFrame:
+def upsert_inspected(
+    base: DataFrame, batch: DataFrame, new_id: Column | None = None, as_of: Column | None = None,
+) -> DataFrame:
     """Import by camis: a missing address keeps the old one, life-cycle columns are not touched, new
     restaurants await discovery."""
     rows = batch.select("camis", *IMPORT_COLUMNS)
@@ -39,10 +41,13 @@ def upsert_inspected(base: DataFrame, batch: DataFrame, new_id: Column | None =
             "id": _surrogate("camis") if new_id is None else new_id,
             "status": F.lit(PENDING_DISCOVERY),
         },
+        as_of=as_of,
     )
 
 
-def upsert_outside(base: DataFrame, businesses: DataFrame, new_id: Column | None = None) -> DataFrame:
+def upsert_outside(
+    base: DataFrame, businesses: DataFrame, new_id: Column | None = None, as_of: Column | None = None,
+) -> DataFrame:
     """Union with the outside id space by yelp_id: only the name follows, new rows count as scraped."""
     rows = businesses.select(F.col("business_id").alias("yelp_id"), F.col("name").alias("dba"))
     outside = base.filter("yelp_id IS NOT NULL")
@@ -51,6 +56,7 @@ def upsert_outside(base: DataFrame, businesses: DataFrame, new_id: Column | None
         on_insert={
             "id": _surrogate("yelp_id") if new_id is None else new_id, "status": F.lit(SCRAPED),
         },
+        as_of=as_of,
     )
     return base.filter("yelp_id IS NULL").unionByName(merged)
 
@@ -59,7 +65,7 @@ def id_map(base: DataFrame) -> DataFrame:
     return base.filter("yelp_id IS NOT NULL").select("yelp_id", "id")
 
 
-def apply_discovery(base: DataFrame, found: DataFrame) -> DataFrame:
+def apply_discovery(base: DataFrame, found: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Discovery results (camis, website_url, menu_urls, url_source, address, phone)."""
     def filled(name: str) -> Column:
         return F.nullif(F.col(f"new.{name}"), F.lit(""))
@@ -72,14 +78,14 @@ def apply_discovery(base: DataFrame, found: DataFrame) -> DataFrame:
         "address": F.coalesce(filled("address"), F.col("old.address")),
         "phone": F.coalesce(filled("phone"), F.col("old.phone")),
         "status": F.when(any_url, F.lit(URL_FOUND)).otherwise(F.lit(FAILED_PERMANENTLY)),
-    })
+    }, as_of=as_of)
 
 
-def set_tiers(base: DataFrame, tiers: DataFrame) -> DataFrame:
+def set_tiers(base: DataFrame, tiers: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Extraction tiers (camis, extraction_tier); '' clears."""
     return update_matched(base, tiers, ["camis"], {
         "extraction_tier": F.nullif(F.col("new.extraction_tier"), F.lit("")),
-    })
+    }, as_of=as_of)
 
 
 # ---------------------------------------------------------------- listings

@@ -29,7 +29,8 @@ _PARTITIONS = "spark.sql.shuffle.partitions"
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built, and ship the package."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:  # what the session's owner has set stays
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get(_PARTITIONS) == "200":
         # The default is meant for a cluster; streams would keep 200 state stores on one machine.

@@ -66,11 +66,11 @@ def area_condition(area: str) -> Column:
 
 def area_records(
     records: DataFrame, area: str, since: Column | str | None = None,
-    limit: int | None = K.AREA_ROW_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Records of an area, optionally only those changed after `since` (record_date as text).
 
-    `limit` is the page size of the open-data service; pass None when reading one's own tables.
+    `limit` cuts to a page of that many rows in a fixed order; by default all are kept.
     """
     rows = records.filter(area_condition(area))
     if since is not None:

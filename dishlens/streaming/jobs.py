@@ -18,7 +18,7 @@ from dishlens.operators.fold import fold_scrape_results
 from dishlens.operators.snapshots import append_batch, read_current
 from dishlens.operators.merge import last_of_batch
 from dishlens.plans.indexing import EmbedFn, index_batch
-from dishlens.plans.menus import replay
+from dishlens.plans.menus import last_items, replay
 
 log = logging.getLogger(__name__)
 
@@ -55,7 +55,7 @@ def index_sink(root: str, embed: EmbedFn) -> Callable[[DataFrame, int], None]:
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        fresh = index_batch(batch.dropDuplicates(["review_id"]), embed)
+        fresh = index_batch(last_of_batch(batch, ["review_id"], []), embed)
         append_batch(fresh.select(*CHUNK_COLUMNS), root, number + 1)
 
     return sink
@@ -90,7 +90,7 @@ def replay_sink(
 
     def sink(batch: DataFrame, number: int) -> None:
         items, bad = replay(batch, restaurants, embed, dim)
-        append_batch(last_of_batch(items, ["menu_item_id"], ["item_pos"]), root, number + 1)
+        append_batch(last_items(items), root, number + 1)
         append_batch(bad, rejects, number + 1)
 
     return sink

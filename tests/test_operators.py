@@ -211,3 +211,29 @@ def test_counters_come_with_the_action(spark):
     rows, seen = counted(spark.range(10), "n", even=F.col("id") % 2 == 0, big=F.col("id") > 6)
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 10, "even": 5, "big": 3}
+
+
+def test_merges_take_the_last_of_repeated_keys(spark, rows):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, n int, t string")
+    batch = spark.createDataFrame([("a", 2, "old"), ("a", 3, "new"), ("c", 5, "p"), ("c", 5, "q")], "k string, n int, t string")
+    want = [("a", 3, "new"), ("b", 1, "y"), ("c", 5, "q")]
+    assert rows(M.merge_upsert(base, batch, ["k"], order=["n"])) == want
+    moved = M.update_matched(base, batch, ["k"], {"t": F.col("new.t")}, order=["n"])
+    assert rows(moved) == [("a", 1, "new"), ("b", 1, "y")]
+
+
+def test_merges_move_change_times(spark, rows):
+    base = spark.createDataFrame([("a", 1, "d1", "d1"), ("b", 1, "d1", "d1")], "k string, n int, created_at string, updated_at string")
+    batch = spark.createDataFrame([("a", 2), ("c", 3)], "k string, n int")
+    got = rows(M.merge_upsert(base, batch, ["k"], as_of=F.lit("d2")))
+    assert got == [("a", 2, "d1", "d2"), ("b", 1, "d1", "d1"), ("c", 3, "d2", "d2")]
+    got = rows(M.update_matched(base, batch, ["k"], {"n": F.col("new.n")}, as_of=F.lit("d2")))
+    assert got == [("a", 2, "d1", "d2"), ("b", 1, "d1", "d1")]
+
+
+def test_queries_of_several_widths_are_not_dropped(spark):
+    t = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, v array<double>")
+    q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [1.0, 0.0, 0.0])], "qid string, q array<double>")
+    with pytest.raises(ValueError):
+        knn.nearest_batch(t, "v", "id", q, "q", "qid", 1)
+    assert [tuple(r)[:2] for r in knn.nearest_batch(t, "v", "id", q, "q", "qid", 1, dim=2).collect()] == [("x", 1)]

@@ -89,7 +89,7 @@ def test_images_best_first(spark):
 
 def test_url_classes(spark):
     df = spark.createDataFrame([(u,) for u in (
-        "https://www.hilton.com/x", "https://nothilton.com", "https://swick2go.dine.online/", "https://www.yelp.com/biz/a",
+        "https://www.hilton.com/x", "https://nothilton.com", "https://corner.dine.online/", "https://www.yelp.com/biz/a",
         "https://www.google.com/maps/place", "https://google.com/search", "nonsense",
     )], "u string")
     got = [tuple(r) for r in df.select(U.is_blocked("u"), U.is_ordering("u"), U.is_delivery("u")).collect()]
@@ -185,3 +185,13 @@ def test_structured_update_needs_substance_and_change(spark):
     df = spark.createDataFrame([('{"substance_name": "Red 3", "change_type": "revocation"}',), ('{"substance_name": "x"}',), ("[]",), ("x",)], "c string")
     got = [r.u for r in df.select(jsonsel.structured_update("c").alias("u")).collect()]
     assert got[0].substance_name == "Red 3" and got[0].cas_number == "" and got[1:] == [None, None, None]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    from dishlens.functions import html
+
+    start = time.process_time()
+    assert "x" in html.parse_page("<b><div><li><td>" * 10_000 + "x")["markdown"]
+    assert time.process_time() - start < 3

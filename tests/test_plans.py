@@ -183,9 +183,9 @@ def test_import_keeps_life_cycle_and_old_address(spark):
 
 
 def test_failure_reasons(spark):
-    df = spark.createDataFrame([("no URL found for 50044186 (attempt 3/3)",), ("extract menu: x: 404",), ("y" * 100,)], "e string")
+    df = spark.createDataFrame([("nothing at door 41 after 3 of 5 tries",), ("extract menu: x: 404",), ("y" * 100,)], "e string")
     got = [r[0] for r in df.select(R.failure_reason("e")).collect()]
-    assert got == ["no URL found for N (attempt N/N)", "extract menu", "y" * 80]
+    assert got == ["nothing at door N after N of N tries", "extract menu", "y" * 80]
 
 
 def test_replay_finds_restaurants_by_either_key(spark):
@@ -276,3 +276,12 @@ def test_no_users_means_zero_per_user(spark):
 def test_digest(spark):
     df = spark.createDataFrame([("b", "Cafe", "r1", 3.5, "ok", 0.5), ("b", "Cafe", "r2", 5.0, "great", 0.9), ("b", "Cafe", "r3", 1.0, "bad", 0.1)], "business_id string, business_name string, review_id string, stars float, text string, score double")
     assert V.review_digest(df, 2).first().digest == "Here's what 2 customers are saying about Cafe:\n\n1. ★★★★★\ngreat\n\n2. ★★★½\nok\n\n"
+
+
+def test_later_event_wins_an_item(spark):
+    base = spark.createDataFrame([("i", "stored")], "menu_item_id string, dish_name string")
+    batch = spark.createDataFrame(
+        [("i", "old", "2024-01-01", 5), ("i", "new", "2024-06-01", 1)],
+        "menu_item_id string, dish_name string, scraped_at string, item_pos int",
+    )
+    assert [r.dish_name for r in M.upsert_items(base, batch).collect()] == ["new"]

@@ -156,3 +156,16 @@ def test_one_page_per_restaurant(spark, tmp_path):
         path.write_text(name)
     got = {r.restaurant_id: r.html for r in G.read_page_files(spark, str(tmp_path)).collect()}
     assert got == {"50-1": "2024/50-1-1.html", "7": "2024/7.html"}
+
+
+def test_half_written_day_is_replaced_and_batches_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("1", "A", 40.7)], "camis string, dba string, latitude double")
+    day = tmp_path / "b" / "area=lic" / "date=2024-01-01"
+    day.mkdir(parents=True)
+    (day / "left-over.txt").write_text("x")
+    E.write_inspection_bronze(df, str(tmp_path / "b"), "lic", "2024-01-01")
+    assert E.inspection_events(spark, str(tmp_path / "b")).count() == 1
+    found = spark.createDataFrame([("d", None)], "name string, source_urls array<string>")
+    for _ in range(2):
+        E.write_discovery_events(found, str(tmp_path / "d"), batch=7)
+    assert E.read_events(spark, str(tmp_path / "d"), "name STRING").count() == 1
