@@ -467,7 +467,7 @@ def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def index_corpus(spark: SparkSession, sf: str) -> DataFrame:
     reviews = spread_small(_source_reviews(spark, sf))
-    joined = I.joined_reviews(reviews, _source_businesses(spark, sf), city="Reno")
+    joined = I.joined_reviews(reviews, _source_businesses(spark, sf))
     chunks = I.index_batch(joined, I.hashing_embedder(64))
     return chunks.join(joined.select("review_id", "business_name", "city"), "review_id").select(
         "chunk_id", "review_id", "chunk_ix", "business_name", "city",
