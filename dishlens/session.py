@@ -14,6 +14,9 @@ from pyspark.sql import SparkSession
 # from regular expressions and parsers, and the second pass costs more than it saves.
 RUNTIME_CONF = {
     "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
+    # A name that a JSON object repeats takes its last value, instead of losing the object or the job.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -169,3 +169,10 @@ def test_half_written_day_is_replaced_and_batches_are_written_once(spark, tmp_pa
     for _ in range(2):
         E.write_discovery_events(found, str(tmp_path / "d"), batch=7)
     assert E.read_events(spark, str(tmp_path / "d"), "name STRING").count() == 1
+
+
+def test_repeated_json_names_take_the_last_value(spark):
+    from dishlens.functions.jsonsel import select_json
+
+    df = spark.createDataFrame([('{"a": 1, "a": 2}',)], "t string")
+    assert df.select(select_json("t", F.lit("json:a"))).first()[0] == "2"
