@@ -56,11 +56,13 @@ def append_batch(df: DataFrame, root: str, number: int) -> None:
 
 
 def read_current(
-    spark: SparkSession, root: str, schema: str, keys: Sequence[str], before: int | None = None
+    spark: SparkSession, root: str, schema: str, keys: Sequence[str], before: int | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """The table after all batches, or after those numbered below `before`.
 
-    A key may have several rows; they come from the newest folder that holds the key.
+    A key may have several rows; they come from the newest folder that holds the key. With `only`, a
+    table of distinct keys, other keys are dropped as they are read, before anything is grouped.
     """
     limit = float("inf") if before is None else before
     base = max((n for n in bases(spark, root) if n < limit), default=None)
@@ -73,6 +75,8 @@ def read_current(
     for path, number in parts:
         part = spark.read.schema(schema).parquet(path).withColumn(_NUMBER, F.lit(number))
         rows = part if rows is None else rows.unionByName(part)
+    if only is not None:
+        rows = rows.join(only, list(keys), "left_semi")
     if len(parts) == 1:
         return rows.drop(_NUMBER)
     # Keys are pre-aggregated in every task; the semi join is then on a key that occurs once.

@@ -26,13 +26,13 @@ def entry_errors(name: Column, level: Column, groups: Column) -> Column:
     trimmed, listed = trim_space(name), or_empty(groups)
     known = F.array(*[F.lit(g) for g in GROUPS])
     return _compact({
-        "name is required": F.coalesce(trimmed, F.lit("")) == "",
-        "name contains invalid characters": trimmed.rlike(r"[\x{00}-\x{1F}\x{7F}-\x{9F}]"),
-        "name must be at most 200 characters": F.octet_length(trimmed) > 200,
-        "level is required": F.coalesce(level, F.lit("")) == "",
-        "invalid level": (level != "") & ~level.isin(LEVELS),
-        "duplicate groups": F.size(F.array_distinct(listed)) < F.size(listed),
-        "invalid group": F.size(F.array_except(listed, known)) > 0,
+        "blank name": F.coalesce(trimmed, F.lit("")) == "",
+        "control characters in name": trimmed.rlike(r"[\x{00}-\x{1F}\x{7F}-\x{9F}]"),
+        "name above 200 bytes": F.octet_length(trimmed) > 200,
+        "blank level": F.coalesce(level, F.lit("")) == "",
+        "unknown level": (level != "") & ~level.isin(LEVELS),
+        "repeated groups": F.size(F.array_distinct(listed)) < F.size(listed),
+        "unknown group": F.size(F.array_except(listed, known)) > 0,
     })
 
 

@@ -48,9 +48,8 @@ def parse_answers(events: DataFrame, text: str = "response_text") -> DataFrame:
     return events.withColumn("answer", let(F.try_parse_json(clean_answer(text)), read))
 
 
-def candidate_urls(answered: DataFrame, owner: str = "camis", text: str = "response_text") -> DataFrame:
-    """(owner, pos, url): the site, its usual menu paths and the listed urls; urls found anywhere in
-    the text when it is no JSON. Repeats and blocked hosts are dropped."""
+def _urls_of_answer(text: str) -> Column:
+    """The site, its usual menu paths and the listed urls; urls found anywhere in the text when it is no JSON."""
     site = F.col("answer.website_url")
     base = F.regexp_replace(site, "/$", "")
     own = F.when(
@@ -59,11 +58,16 @@ def candidate_urls(answered: DataFrame, owner: str = "camis", text: str = "respo
                 F.concat(base, F.lit("/menus"))),
     ).otherwise(F.array().cast("array<string>"))
     listed = F.concat(own, F.col("answer.menu_urls"))
-    found = F.when(F.col("answer").isNotNull(), listed).otherwise(
+    return F.when(F.col("answer").isNotNull(), listed).otherwise(
         F.regexp_extract_all(F.col(text), F.lit(_URL_IN_TEXT), F.lit(0))
     )
-    rows = answered.select(owner, F.posexplode(found).alias("pos", "url"))
-    return distinct_urls(rows, owner, "url", "pos").filter(~U.is_blocked("url"))
+
+
+def candidate_urls(answered: DataFrame, owner: str = "camis", text: str = "response_text") -> DataFrame:
+    """(owner, pos, url): the urls of each answer. Repeats and blocked hosts are dropped."""
+    rows = answered.select(owner, F.posexplode(_urls_of_answer(text)).alias("pos", "url"))
+    # blocked hosts go before the shuffle; spellings of one url have one host
+    return distinct_urls(rows.filter(~U.is_blocked(F.trim("url"))), owner, "url", "pos")
 
 
 def dropped_urls(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
@@ -115,22 +119,50 @@ def select_urls(confirmed: DataFrame, sites: DataFrame, owner: str = "camis") ->
     only as long as the array it came from.
     """
     delivery = U.is_delivery("url")
+    # what remains of an answer, at most as long as its array
     entry = F.struct("pos", "url")
     lists = confirmed.groupBy(owner).agg(
         F.array_sort(F.collect_list(F.when(~delivery, entry))).alias("direct"),
         F.array_sort(F.collect_list(F.when(delivery, entry))).alias("delivery"),
     )
-    joined = sites.select(owner, "website_url").join(lists, owner, "left")
+    joined = sites.select(owner, "website_url").join(lists, owner, "left").withColumns({
+        "direct": F.transform("direct", lambda e: e["url"]), "delivery": F.transform("delivery", lambda e: e["url"]),
+    })
+    return _chosen(joined, owner)
+
+
+def select_answer_urls(answered: DataFrame, owner: str = "camis", text: str = "response_text") -> DataFrame:
+    """`select_urls` where nothing was fetched in between: one answer per owner, chosen within its row.
+
+    Answers are arrays, so no row is shuffled.
+    """
+    def keyed(values: Column) -> Column:
+        return F.transform(values, lambda u: F.struct(u.alias("url"), U.canonical(u).alias("key")))
+
+    def firsts(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+        kept = F.filter(entries, lambda e, i: (F.array_position(keys, e["key"]) == i + 1) & ~U.is_blocked(F.trim(e["url"])))
+        return F.transform(kept, lambda e: e["url"])
+
+    urls = let(keyed(_urls_of_answer(text)), firsts)
+    rows = answered.select(owner, F.coalesce("answer.website_url", F.lit("")).alias("website_url"), urls.alias("_urls"))
+    return _chosen(rows.withColumns({
+        "direct": F.filter("_urls", lambda u: ~U.is_delivery(u)), "delivery": F.filter("_urls", U.is_delivery),
+    }), owner)
+
+
+def _chosen(lists: DataFrame, owner: str) -> DataFrame:
+    """Direct or else delivery urls of rows (owner, website_url, direct, delivery), and the primary url."""
     has_direct = F.coalesce(F.size("direct"), F.lit(0)) > 0
     has_delivery = F.coalesce(F.size("delivery"), F.lit(0)) > 0
     chosen = F.when(has_direct, F.col("direct")).when(has_delivery, F.col("delivery"))
-    urls = F.coalesce(F.transform(chosen, lambda e: e["url"]), F.array().cast("array<string>"))
+    urls = F.coalesce(chosen, F.array().cast("array<string>"))
     site = F.coalesce(F.col("website_url"), F.lit(""))
     primary = F.when(
         ((site == "") | U.is_delivery(site)) & (F.size(urls) > 0), F.get(urls, F.lit(0))
     ).otherwise(site)
     source = F.when(~has_direct & has_delivery, F.lit("gemini_delivery")).otherwise(F.lit("gemini"))
-    return joined.select(
+    return lists.select(
         owner, primary.alias("website_url"), urls.alias("menu_urls"), source.alias("url_source")
     )
 

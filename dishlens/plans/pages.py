@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens import constants as K
 from dishlens.functions import text as X
@@ -112,10 +112,11 @@ def histogram(df: DataFrame, column: str, known: Iterable[str] = ()) -> DataFram
     if known:
         listed = df.sparkSession.createDataFrame([(v,) for v in known], f"{column} string")
         counts = listed.join(counts, column, "full_outer").fillna(0, subset=["n"])
-    # Only the distinct values are left here, one row each: the total needs no second scan.
-
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(column, "n", (F.lit(100.0) * F.col("n") / total).alias("pct"))
+    # The total is one row; a window over all values would bring them into one task.
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(
+        column, "n", F.try_divide(F.lit(100.0) * F.col("n"), F.col("_total")).alias("pct")
+    )
 
 
 def coverage_summary(classified: DataFrame) -> DataFrame:

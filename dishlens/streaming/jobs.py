@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dishlens import schemas
 from dishlens.operators.fold import fold_scrape_results
-from dishlens.operators.snapshots import append_batch, read_current
+from dishlens.operators.snapshots import append_batch, compact, read_current
 from dishlens.operators.merge import last_of_batch
 from dishlens.plans.indexing import EmbedFn, index_batch
 from dishlens.plans.menus import last_items, replay
@@ -25,6 +25,8 @@ log = logging.getLogger(__name__)
 # Stream batches count from 0; table folders from 1, after an initial base numbered 0.
 CHUNK_SCHEMA = schemas.CHUNK + ", norm DOUBLE"
 CHUNK_COLUMNS = ["chunk_id", "review_id", "chunk_ix", "chunk_text", "embedding", "norm"]
+# After so many batches a table gets a new base, so that the parts a batch reads stay few.
+COMPACT_EVERY = 50
 
 
 def file_stream(
@@ -48,25 +50,36 @@ def run_available(
 
 # ---------------------------------------------------------------- index and replay
 
-def index_sink(root: str, embed: EmbedFn) -> Callable[[DataFrame, int], None]:
+def index_sink(
+    root: str, embed: EmbedFn, compact_every: int = COMPACT_EVERY
+) -> Callable[[DataFrame, int], None]:
     """Chunk and embed each batch of joined reviews and append it to the chunk table under `root`.
 
-    All chunks of a review in the batch replace those it had, so a shorter text leaves none behind.
+    All chunks of a review in the batch replace those it had, so a shorter text leaves none behind. Each
+    review of the batch also leaves a mark, a row without a chunk id: a text that has become NULL or
+    empty hides its older chunks by it.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        fresh = index_batch(last_of_batch(batch, ["review_id"], []), embed)
-        append_batch(fresh.select(*CHUNK_COLUMNS), root, number + 1)
+        fresh = index_batch(last_of_batch(batch, ["review_id"], []), embed).select(*CHUNK_COLUMNS)
+        marks = batch.select("review_id").distinct().select(*[
+            F.col(c) if c == "review_id" else F.lit(None).cast(fresh.schema[c].dataType).alias(c)
+            for c in CHUNK_COLUMNS
+        ])
+        append_batch(fresh.unionByName(marks), root, number + 1)
+        if (number + 1) % compact_every == 0:
+            compact(batch.sparkSession, root, CHUNK_SCHEMA, ["review_id"])
 
     return sink
 
 
 def current_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return read_current(spark, root, CHUNK_SCHEMA, ["review_id"])
+    return read_current(spark, root, CHUNK_SCHEMA, ["review_id"]).filter("chunk_id IS NOT NULL")
 
 
 def merge_sink(
-    root: str, schema: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame]
+    root: str, schema: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
+    compact_every: int = COMPACT_EVERY,
 ) -> Callable[[DataFrame, int], None]:
     """Merge each batch into a keyed table by a function of (rows the batch touches, batch).
 
@@ -75,9 +88,11 @@ def merge_sink(
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        current = read_current(batch.sparkSession, root, schema, keys, before=number + 1)
-        touched = current.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+        spark, wanted = batch.sparkSession, batch.select(*keys).distinct()
+        touched = read_current(spark, root, schema, keys, before=number + 1, only=wanted)
         append_batch(merge(touched, batch), root, number + 1)
+        if (number + 1) % compact_every == 0:
+            compact(spark, root, schema, keys)
 
     return sink
 

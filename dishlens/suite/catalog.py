@@ -71,12 +71,12 @@ WITH {_CATALOG},
 checked AS (
   SELECT ingredient, level, COALESCE(groups, []) AS g, COALESCE(substitutions, []) AS s FROM catalog),
 reasons AS (
-  SELECT 'name is required' AS reason FROM checked WHERE trim(ingredient) = ''
-  UNION ALL SELECT 'name contains invalid characters' FROM checked WHERE regexp_matches(trim(ingredient), '[[:cntrl:]]')
-  UNION ALL SELECT 'level is required' FROM checked WHERE level = ''
-  UNION ALL SELECT 'invalid level' FROM checked WHERE level <> '' AND level NOT IN ('high', 'moderate', 'low')
-  UNION ALL SELECT 'duplicate groups' FROM checked WHERE len(list_distinct(g)) < len(g)
-  UNION ALL SELECT 'invalid group' FROM checked WHERE len(list_filter(g, lambda x: NOT list_contains({_KNOWN}, x))) > 0
+  SELECT 'blank name' AS reason FROM checked WHERE trim(ingredient) = ''
+  UNION ALL SELECT 'control characters in name' FROM checked WHERE regexp_matches(trim(ingredient), '[[:cntrl:]]')
+  UNION ALL SELECT 'blank level' FROM checked WHERE level = ''
+  UNION ALL SELECT 'unknown level' FROM checked WHERE level <> '' AND level NOT IN ('high', 'moderate', 'low')
+  UNION ALL SELECT 'repeated groups' FROM checked WHERE len(list_distinct(g)) < len(g)
+  UNION ALL SELECT 'unknown group' FROM checked WHERE len(list_filter(g, lambda x: NOT list_contains({_KNOWN}, x))) > 0
   UNION ALL SELECT 'needs groups' FROM checked WHERE level <> 'low' AND len(g) = 0
   UNION ALL SELECT 'needs substitutions' FROM checked WHERE level <> 'low' AND len(s) = 0
   UNION ALL SELECT 'low entry has substitutions' FROM checked WHERE level = 'low' AND len(s) > 0)

@@ -161,13 +161,14 @@ def js_shell(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(substring(text, 1, 300)) AS head, least(strlen(text), 800) AS n_bytes FROM documents
+WITH cut AS (
+  SELECT doc_id, text, list_max(list_filter(range(0, 801), lambda i: strlen(left(text, i)) <= 800)) AS whole FROM documents)
+SELECT doc_id, md5(substring(text, 1, 300)) AS head,
+  md5(left(text, whole) || CASE WHEN strlen(text) > 800 AND strlen(left(text, whole)) < 800 THEN chr(65533) ELSE '' END) AS head_bytes FROM cut
 """)
 def truncate_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    cut = F.octet_length(F.substring(F.encode("text", "UTF-8"), 1, 800))
-    return docs.select(
-        "doc_id", F.md5(X.truncate_runes("text", 300)).alias("head"), cut.cast("bigint").alias("n_bytes")
+    return table(spark, sf, "documents").select(
+        "doc_id", F.md5(X.truncate_runes("text", 300)).alias("head"), F.md5(X.truncate_bytes("text", 800)).alias("head_bytes")
     )
 
 
@@ -541,7 +542,7 @@ def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return D.candidate_urls(_answers(spark, sf))
 
 
-@query("""
+_SELECTION = """
 SELECT o_orderkey AS camis,
   CASE o_custkey % 4 WHEN 0 THEN 'https://r' || o_custkey || '.com/' WHEN 1 THEN 'https://doordash.com/' || o_custkey
     WHEN 2 THEN 'https://a.com/x' ELSE 'https://www.yelp.com/biz' END AS website_url,
@@ -550,8 +551,18 @@ SELECT o_orderkey AS camis,
     ELSE 'https://www.yelp.com/biz,https://www.yelp.com/biz/menu,https://www.yelp.com/biz/menus' END AS menu_urls,
   CASE WHEN o_custkey % 4 IN (1, 3) THEN 'gemini_delivery' ELSE 'gemini' END AS url_source
 FROM orders
-""")
+"""
+
+
+@query(_SELECTION)
 def discovery_selection(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = D.select_answer_urls(_answers(spark, sf))
+    return chosen.withColumn("menu_urls", F.array_join("menu_urls", ","))
+
+
+@query(_SELECTION)
+def discovery_confirmed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same choice from confirmed rows, as after a page check."""
     answered = _answers(spark, sf)
     sites = answered.select("camis", F.coalesce("answer.website_url", F.lit("")).alias("website_url"))
     chosen = D.select_urls(D.candidate_urls(answered), sites)

@@ -152,9 +152,9 @@ def test_catalog_merges_are_idempotent(spark, rows):
 
 def test_entry_validation(spark):
     cases = [
-        ("Garlic", "high", ["fructans"], []), ("  ", "high", [], ["name is required"]), ("a\u0007", "low", [], ["name contains invalid characters"]),
-        ("é" * 101, "low", [], ["name must be at most 200 characters"]), ("a", "", [], ["level is required"]), ("a", "worse", [], ["invalid level"]),
-        ("a", "low", ["GOS", "GOS"], ["duplicate groups"]), ("a", "low", ["salt"], ["invalid group"]),
+        ("Garlic", "high", ["fructans"], []), ("  ", "high", [], ["blank name"]), ("a\u0007", "low", [], ["control characters in name"]),
+        ("é" * 101, "low", [], ["name above 200 bytes"]), ("a", "", [], ["blank level"]), ("a", "worse", [], ["unknown level"]),
+        ("a", "low", ["GOS", "GOS"], ["repeated groups"]), ("a", "low", ["salt"], ["unknown group"]),
     ]
     df = spark.createDataFrame([(i, n, l, g) for i, (n, l, g, _) in enumerate(cases)], "i int, n string, l string, g array<string>")
     got = {r.i: r.e for r in df.select("i", C.entry_errors(F.col("n"), F.col("l"), F.col("g")).alias("e")).collect()}

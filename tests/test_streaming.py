@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from dishlens import schemas
 from dishlens.operators import fold
-from dishlens.operators.snapshots import batches, read_current, write_base
+from dishlens.operators.merge import merge_upsert
+from dishlens.operators.snapshots import bases, batches, read_current, write_base
 
 from dishlens.plans import indexing as I, menus as M, restaurants as R
 from dishlens.streaming import jobs as J
@@ -113,3 +114,23 @@ def test_unique_in_period(spark):
     df = spark.createDataFrame([("a", 10), ("a", 20), ("a", 700_000)], "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = R.unique_in_period(df, ["k"], "ts", 604_800).orderBy("period").collect()
     assert [(r.k, r.merged) for r in got] == [("a", 2), ("a", 1)]
+
+
+def test_text_turned_null_leaves_no_chunks(spark, tmp_path, rows):
+    root, schema = str(tmp_path / "t"), "review_id string, text string"
+    sink = J.index_sink(root, I.hashing_embedder(4), compact_every=2)
+    sink(spark.createDataFrame([("r1", "some words"), ("r2", "b")], schema), 0)
+    sink(spark.createDataFrame([("r1", None)], schema), 1)
+    assert rows(J.current_chunks(spark, root), "review_id", "chunk_text") == [("r2", "b")]
+    sink(spark.createDataFrame([("r1", "back"), ("r2", "")], schema), 2)
+    assert [r.chunk_text for r in J.current_chunks(spark, root).filter("chunk_text <> ''").collect()] == ["back"]
+
+
+def test_table_is_compacted_on_schedule(spark, tmp_path, rows):
+    root, schema = f"file://{tmp_path}/t", "k string, v int"
+    sink = J.merge_sink(root, schema, ["k"], lambda old, new: merge_upsert(old, new, ["k"]), compact_every=2)
+    for number, data in enumerate(([("a", 1), ("b", 1)], [("b", 2)], [("c", 3)])):
+        sink(spark.createDataFrame(data, schema), number)
+    assert bases(spark, root) == [2] and batches(spark, root) == [1, 2, 3]
+    assert rows(spark.read.parquet(f"{root}/batch=3")) == [("c", 3)]  # only what the batch touched
+    assert rows(read_current(spark, root, schema, ["k"])) == [("a", 1), ("b", 2), ("c", 3)]
