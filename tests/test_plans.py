@@ -285,3 +285,32 @@ def test_later_event_wins_an_item(spark):
         "menu_item_id string, dish_name string, scraped_at string, item_pos int",
     )
     assert [r.dish_name for r in M.upsert_items(base, batch).collect()] == ["new"]
+
+
+def test_urls_chosen_in_rows_as_from_rows(spark, rows):
+    from dishlens.plans import discovery
+
+    answers = [
+        '{"website_url": "https://a.com/", "menu_urls": ["https://a.com", " https://a.com/menu/ ", "https://doordash.com/a", "https://a.com/card"]}',
+        '{"website_url": "", "menu_urls": ["https://doordash.com/b", "https://doordash.com/b/"]}', "see https://c.com/x and https://c.com/x/", "none", "", None,
+    ]
+    given = spark.createDataFrame(list(enumerate(answers)), "camis int, response_text string")
+    answered = discovery.parse_answers(given)
+    sites = answered.selectExpr("camis", "coalesce(answer.website_url, '') AS website_url")
+    want = discovery.select_urls(discovery.candidate_urls(answered), sites)
+    got = discovery.select_answer_urls(answered)
+    assert rows(got) == rows(want) and got.count() == len(answers)
+    assert [r.menu_urls for r in got.orderBy("camis").collect()][1] == ["https://doordash.com/b"]
+
+
+def test_an_id_counts_before_a_public_number(spark, rows):
+    from dishlens.plans import menus
+
+    shops = spark.createDataFrame(
+        [("i1", "c1", "B1", None, "p"), ("c1", "c2", "B2", "A2", None), ("i3", None, "B3", "A3", "q")],
+        "id string, camis string, boro string, address string, phone string",
+    )
+    events = spark.createDataFrame([("c1", "u"), ("c2", "u"), ("i1", "u"), ("zz", "u"), (None, "u")], "business_id string, source_url string")
+    good, bad = menus.enrich_events(events, shops)
+    assert rows(good, "business_id", "city", "address") == [("c1", "B2", "A2"), ("c1", "B2", "A2"), ("i1", "B1", "")]
+    assert bad.count() == 2
