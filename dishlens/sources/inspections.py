@@ -10,16 +10,17 @@ from dishlens.functions.text import trim_space
 from dishlens.operators.dedup import latest_per_key
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw inspection rows, all text, plus `row_pos`; columns are found by header name.
 
-    Ragged rows fail the read. Spark skips that check for pruned columns, so pruning is off here.
+    Ragged rows fail the read. Spark skips that check for pruned columns, so pruning is off for this
+    scan. Quoted values may hold line breaks, which makes a file one task; where none do,
+    `multi_line=False` lets large files be split (a line break within a value then fails the read).
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, mode="FAILFAST", enforceSchema=False,
-        multiLine=False, escape='"', nullValue="\u0000",
-    )
+    raw = spark.read.options(
+        header=True, inferSchema=False, mode="FAILFAST", enforceSchema=False, columnPruning=False,
+        multiLine=multi_line, escape='"', nullValue="\u0000",
+    ).csv(path)
     if "camis" not in raw.columns:
         raise ValueError("missing camis column in csv")
     wanted = schemas.INSPECTION_TEXT_COLUMNS + ["latitude", "longitude"]

@@ -81,6 +81,20 @@ def test_ragged_row_and_missing_key_fail(spark, tmp_path):
         N.read_csv(spark, write_csv(tmp_path, "A\n", "dba\n"))
 
 
+def test_quoted_values_hold_line_breaks(spark, tmp_path):
+    path = write_csv(tmp_path, '"A\n""B""",1,Queens,40.7,-73.9,01/02/2023,QN70,11101\nC,2,Queens,40.7,-73.9,,,\n')
+    before = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
+    assert sorted((r.camis, r.dba) for r in N.read_csv(spark, path).collect()) == [("1", 'A\n"B"'), ("2", "C")]
+    assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == before
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_both_ways_of_splitting_refuse_ragged_rows(spark, tmp_path, multi_line):
+    path = write_csv(tmp_path, "A,1,Queens\n")
+    with pytest.raises(Exception):
+        N.read_csv(spark, path, multi_line).select("camis").collect()
+
+
 def test_latest_inspection_wins(spark, tmp_path):
     rows = [("a", "01/02/2023"), ("b", "2023-05-01"), ("a", "2023-01-03T00:00:00.000"), ("c", "x"), ("b", "01/01/2000"),
             ("d", "2023-01-01T00:00:00Z"), ("d", "01/01/2023"), ("c", "y"), ("a", "12/31/2022")]
@@ -128,6 +142,10 @@ def test_menu_events_of_both_forms(spark, tmp_path):
     E.write_menu_events(spark.createDataFrame([("b1", [item])], f"business_id string, items array<{schemas.MENU_ENTRY}>"), str(tmp_path / "m"))
     spark.createDataFrame([("c2", [item])], f"camis string, items array<{schemas.MENU_ENTRY}>").write.parquet(str(tmp_path / "m" / "old"))
     (tmp_path / "m" / "broken.parquet").write_bytes(b"nonsense")
+    silent = E.silent_files(spark, str(tmp_path / "m"), "business_id STRING").collect()
+    heard = {r[0] for r in E.menu_events(spark, str(tmp_path / "m")).select("_metadata.file_path").collect()}
+    assert "broken.parquet" in {r.path.rsplit("/", 1)[1] for r in silent} and len(heard) == 2
+    assert not heard & {r.path for r in silent}
     events = {r.business_id: r for r in E.menu_events(spark, str(tmp_path / "m"), "parquet").collect()}
     assert set(events) == {"b1", "c2"}
     assert events["b1"]["items"][0].modifiers == [] and events["b1"]["items"][0].price is None
