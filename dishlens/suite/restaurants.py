@@ -197,22 +197,22 @@ def merge_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {_PARTS}
-SELECT 'create' AS op, CASE WHEN b.camis IS NULL THEN 'applied' ELSE 'conflict' END AS outcome, count(*) AS n
-FROM batch n LEFT JOIN base b ON b.camis = n.camis GROUP BY 1, 2
+SELECT 'create' AS op, n.camis, CASE WHEN b.camis IS NULL THEN 'applied' ELSE 'conflict' END AS outcome
+FROM batch n LEFT JOIN base b ON b.camis = n.camis
 UNION ALL
-SELECT 'update', CASE WHEN b.camis IS NULL THEN 'not found' ELSE 'applied' END, count(*)
-FROM batch n LEFT JOIN base b ON b.camis = n.camis GROUP BY 1, 2
+SELECT 'update', n.camis, CASE WHEN b.camis IS NULL THEN 'not found' ELSE 'applied' END
+FROM batch n LEFT JOIN base b ON b.camis = n.camis
 """)
 def strict_create_update(spark: SparkSession, sf: str) -> DataFrame:
     base, batch = _base(spark, sf), _batch(spark, sf)
     parts = []
     for op, split in (("create", M.strict_create), ("update", M.strict_update)):
         applied, rejected = split(base, batch, ["camis"])
-        both = applied.select(F.lit("applied").alias("outcome")).unionByName(
-            rejected.select(F.col("reason").alias("outcome"))
+        both = applied.select("camis", F.lit("applied").alias("outcome")).unionByName(
+            rejected.select("camis", F.col("reason").alias("outcome"))
         )
-        parts.append(both.select(F.lit(op).alias("op"), "outcome"))
-    return parts[0].unionByName(parts[1]).groupBy("op", "outcome").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(both.select(F.lit(op).alias("op"), "camis", "outcome"))
+    return parts[0].unionByName(parts[1])
 
 
 @query("""

@@ -360,12 +360,12 @@ def joined_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {_JOINED}
-SELECT city, count(*) AS n FROM reviews r LEFT JOIN businesses b USING (business_id)
-WHERE lower(city) = 'las vegas' GROUP BY 1
+SELECT review_id, business_id, city FROM reviews r LEFT JOIN businesses b USING (business_id)
+WHERE lower(city) = 'las vegas'
 """)
 def city_reviews(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.joined_reviews(_source_reviews(spark, sf), _source_businesses(spark, sf), city="las VEGAS")
-    return rows.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("review_id", "business_id", "city")
 
 
 @query("SELECT doc_id AS review_id, source AS business_id, text FROM documents WHERE source = 'src7'")
@@ -374,17 +374,14 @@ def reviews_of_business(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT 'c-' || source AS camis, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
-WHERE source NOT LIKE '%9' GROUP BY 1
+SELECT 'c-' || source AS camis, doc_id AS review_id, md5(text) AS text FROM documents WHERE source NOT LIKE '%9'
 """)
 def restaurant_reviews(spark: SparkSession, sf: str) -> DataFrame:
     shops = _source_businesses(spark, sf).select(
         F.col("business_id").alias("id"), F.concat(F.lit("c-"), "business_id").alias("camis")
     )
     joined = S.reviews_of_restaurants(_source_reviews(spark, sf), shops)
-    return joined.groupBy("camis").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars")
-    )
+    return joined.select("camis", "review_id", F.md5("text").alias("text"))
 
 
 @query("""

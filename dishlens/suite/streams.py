@@ -32,14 +32,13 @@ def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
     return J.latest_values(spark, f"{folder}/out", "day", "day STRING, n LONG")
 
 
-@query("SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
+@query("SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS batch FROM events")
 def stream_unique_jobs(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     unique = J.unique_jobs(events, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
     J.run_available(unique, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log").awaitTermination()
-    found = spark.read.schema("user_id LONG, event_type STRING, batch LONG").parquet(f"{folder}/out")
-    return found.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("user_id LONG, event_type STRING, batch LONG").parquet(f"{folder}/out")
 
 
 _FOLD_SCHEMA = "camis STRING, status STRING, item_count INT, last_error STRING, scraped_at TIMESTAMP_NTZ"
