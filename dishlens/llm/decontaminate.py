@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens of a text become a template: numbers, names and units turn into typed placeholders that remember their
-value, all other words are lower-cased. Windows of `WINDOW` template tokens (items that are shorter: the whole
-item) are hashed; documents and benchmark items meet in a hash join on them. Only document windows that a bitmap of
+value, all other words are lower-cased. Windows of a fifth of an item's template tokens, `SHORTEST` to `WINDOW` of them
+(items of fewer than `WINDOW` tokens: the whole item), are hashed; documents and benchmark items meet in a hash join on them. Only document windows that a bitmap of
 all benchmark windows lets pass are shuffled: the bitmap has one size whatever the benchmark's, and
-what passes by chance is refused by the join. Matches of an item at the same distance within a document make an
-alignment. It counts where it covers at least `COVERAGE` of the item's windows and the slots agree: each value of the item
+what passes by chance is refused by the join, and a window that has too few passing ones around it for any alignment
+is not shuffled. Matches of an item whose distances within a document differ from a common one by `BAND` tokens at
+most make an alignment, so inserted and deleted words don't part it. It counts where it covers at least `COVERAGE` of the
+item's windows (and `FEW_COVERED` of its tokens, if it has fewer than `FEW`) and the slots agree: each value of the item
 always stands for one and the same value of the document, and the other way round. An item asked
 with other numbers, names or units is thus found, and told from an exact copy.
 
@@ -17,7 +19,7 @@ columns are ignored. Of several alignments of an item within a document the best
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from dishlens.llm.common import WordCache, texts, written
 
 WINDOW, COVERAGE, BITS = 8, 0.5, 24
+#: Narrowest window of items of WINDOW tokens or more, and tokens by which shifts of one alignment may differ from its centre.
+SHORTEST, BAND = 3, 3
+#: Of items of fewer tokens than FEW the windows must also cover this share of the tokens.
+FEW, FEW_COVERED = 14, 0.75
 
 #: Words that are units after a number.
 UNITS = frozenset(
@@ -100,25 +106,31 @@ class Templates:
         return hashes, kind, [parts[i] for i in solid] if kind.any() else []
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A mixed hash of each run of `width` tokens."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, width, np.uint64)
-    for k in range(width):
-        out = out * _PRIME + hashes[k: k + n]
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+def width_of(n: int) -> int:
+    """Tokens of a window of an item of `n` tokens: two edited words leave half of the windows from 14 tokens on."""
+    return n if n < WINDOW else max(SHORTEST, min(WINDOW, (n + 1) // 5))
 
 
-def _slots(kind: np.ndarray, parts: list[str], at: int, width: int) -> list[str]:
-    """Values of the placeholders in a window, each behind its place in the window."""
-    return [f"{k}:{_EDGE.sub('', parts[at + k]).lower()}" for k in range(width) if kind[at + k]] if parts else []
+def window_hashes(hashes: np.ndarray, widths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, mixed hashes of the runs of `width` tokens) for each of the widths, which ascend."""
+    out = np.zeros(len(hashes), np.uint64)
+    for width in range(1, max(widths, default=0) + 1):
+        n = len(hashes) - width + 1
+        if n <= 0:
+            return
+        out = out[:n] * _PRIME + hashes[width - 1:]
+        if width in widths:
+            mixed = out + np.uint64(width)
+            mixed ^= mixed >> np.uint64(29)
+            yield width, mixed * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _value(chunk: str) -> str:
+    return _EDGE.sub("", chunk).lower()
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_pos, n_windows, width, hash, item_slots) of every window of every item."""
+    """(item_id, item_pos, n_windows, n_tokens, width, hash, item_slots) of every window of every item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
@@ -126,16 +138,25 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
                 hashes, kind, parts = templates(text)
-                width = min(WINDOW, len(hashes))
-                found = window_hashes(hashes, width).view(np.int64) if width else ()
-                rows += [(item, k, len(found), width, h, _slots(kind, parts, k, width)) for k, h in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["item_id", "item_pos", "n_windows", "width", "hash", "item_slots"])
+                n = len(hashes)
+                for width, found in window_hashes(hashes, [width_of(n)] if n else []):
+                    for at, h in enumerate(found.view(np.int64).tolist()):
+                        slots = [
+                            {"at": k, "kind": int(kind[k]), "value": _value(parts[k])}
+                            for k in range(at, at + width) if kind[k]
+                        ]
+                        rows.append((item, at, len(found), n, width, h, slots))
+            yield pd.DataFrame(
+                rows, columns=["item_id", "item_pos", "n_windows", "n_tokens", "width", "hash", "item_slots"]
+            )
 
     given = benchmark.filter(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     return given.mapInPandas(
-        run, "item_id long, item_pos int, n_windows int, width int, hash long, item_slots array<string>"
+        run,
+        "item_id long, item_pos int, n_windows int, n_tokens int, width int, hash long, "
+        "item_slots array<struct<at: int, kind: int, value: string>>",
     )
 
 
@@ -153,9 +174,23 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int]) -> DataFrame:
-    """(row, doc_id, pos, hash, doc_slots) of the documents' windows that the bitmap lets pass."""
+def _dense(passed: np.ndarray, reach: int, least: int) -> np.ndarray:
+    """Positions that pass and have `least` such positions, themselves among them, within `reach`."""
+    at = np.flatnonzero(passed)
+    if least > 1 and len(at):
+        near = np.searchsorted(at, at + reach, "right") - np.searchsorted(at, at - reach, "left")
+        at = at[near >= least]
+    return at
+
+
+def document_windows(docs: DataFrame, flags: np.ndarray, demands: dict[int, tuple[int, int]]) -> DataFrame:
+    """(row, doc_id, pos, hash, doc_slots) of the documents' windows that the bitmap lets pass.
+
+    `demands` has for each width (reach, least): an alignment has at least `least` windows, no two further apart than
+    `reach`; windows with fewer passing ones around them belong to none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(flags)
+    widths = sorted(demands)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates, flags = Templates(), np.unpackbits(sent.value, bitorder="little").astype(bool)
@@ -163,15 +198,12 @@ def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int]) -> D
             rows = []
             for row, doc_id, text in pdf.itertuples(index=False, name=None):
                 hashes, kind, parts = templates(text)
-                for width in widths:
-                    found = window_hashes(hashes, width)
-                    at = np.flatnonzero(flags[(found >> np.uint64(64 - BITS)).astype(np.int64)])
+                for width, found in window_hashes(hashes, widths):
+                    at = _dense(flags[(found >> np.uint64(64 - BITS)).astype(np.int64)], *demands[width])
                     if len(at):
                         doc = None if pd.isna(doc_id) else int(doc_id)
-                        rows += [
-                            (row, doc, k, h, _slots(kind, parts, k, width))
-                            for k, h in zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True)
-                        ]
+                        for k, h in zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True):
+                            rows.append((row, doc, k, h, [_value(parts[j]) for j in range(k, k + width) if kind[j]]))
             if rows:
                 out = pd.DataFrame(rows, columns=["row", "doc_id", "pos", "hash", "doc_slots"])
                 yield out.astype({"doc_id": "Int64"})
@@ -181,36 +213,51 @@ def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int]) -> D
     return numbered.mapInPandas(run, "row long, doc_id long, pos int, hash long, doc_slots array<string>")
 
 
+def _agree(pairs: list[tuple[int, str, str]]) -> bool:
+    """Whether the slots of an alignment, (kind, item's value, document's value) each, may stand for one another."""
+    if all(item == doc for _, item, doc in pairs):
+        return True
+    found = {(item, doc) for _, item, doc in pairs}
+    return len(found) == len({item for item, _ in found}) == len({doc for _, doc in found})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, coverage, same_values): documents that hold an item, or it with other values."""
     items = written(item_windows(benchmark), "items")
-    # items shorter than a window are few kinds: at most WINDOW widths
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())
-    found = written(document_windows(docs, _bitmap(items), widths), "windows")
-    met = found.join(items, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    key = ["row", "doc_id", "item_id", "shift"]
-    # a slot's place within the item makes windows that overlap name it once
-    pairs = F.transform(
-        F.arrays_zip("item_slots", "doc_slots"),
-        lambda p: F.struct(
-            F.substring_index(p["item_slots"], ":", 1).cast("int").alias("at"),
-            F.regexp_replace(p["item_slots"], "^[0-9]+:", "").alias("item"),
-            F.regexp_replace(p["doc_slots"], "^[0-9]+:", "").alias("doc"),
-        ),
+    # items have few widths: at most WINDOW
+    demands = {
+        r["width"]: (r["windows"] + 2 * BAND, max(1, r["least"]))
+        for r in items.groupBy("width").agg(
+            F.max("n_windows").alias("windows"), F.ceil(F.min("n_windows") * coverage - 1e-9).alias("least")
+        ).collect()
+    }
+    found = written(document_windows(docs, _bitmap(items), demands), "windows")
+    key = ["row", "doc_id", "item_id", "center"]
+    shift = F.col("pos") - F.col("item_pos")
+    met = found.join(items, "hash").withColumn("center", F.explode(F.sequence(shift - BAND, shift + BAND)))
+    # what is collected is bounded by an item's windows and the band
+    covered = F.array_distinct(
+        F.flatten(F.transform(F.collect_set("item_pos"), lambda p: F.sequence(p, p + F.first("width") - 1)))
     )
     runs = met.groupBy(*key).agg(
-        F.countDistinct("item_pos").alias("matched"), F.max("n_windows").alias("n_windows")
-    ).withColumn("coverage", F.col("matched") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
-    # slots of one alignment are no more than an item's tokens
+        F.least(F.size(F.collect_set("item_pos")), F.size(F.collect_set("pos"))).alias("matched"),
+        F.first("n_windows").alias("n_windows"), F.first("n_tokens").alias("n_tokens"), F.size(covered).alias("covered"),
+    ).withColumn("coverage", F.col("matched") / F.col("n_windows")).filter(
+        (F.col("coverage") >= coverage) & ((F.col("n_tokens") >= FEW) | (F.col("covered") >= FEW_COVERED * F.col("n_tokens")))
+    )
     kept = runs.select(*[F.col(k).alias(f"_{k}") for k in key])
+    pair = F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p")
     slots = met.filter(F.size("item_slots") > 0).join(kept, _equal(key), "left_semi").select(
-        *key, F.explode(pairs).alias("p")
-    ).select(*key, "p.item", "p.doc").distinct()
-    agree = slots.groupBy(*key).agg(
-        (F.count("*") == F.countDistinct("item")).alias("_one"), (F.count("*") == F.countDistinct("doc")).alias("_back"),
-        F.bool_and(F.col("item") == F.col("doc")).alias("_same"),
-    ).select(*[F.col(k).alias(f"_{k}") for k in key], "_one", "_back", "_same")
-    held = runs.join(agree, _equal(key), "left").filter("_one IS NULL OR _same OR (_one AND _back)")
+        *key, F.abs(shift - F.col("center")).alias("off"), pair
+    ).select(*key, "off", "p.item_slots.*", F.col("p.doc_slots").alias("doc"))
+    # shifts of a band may give a slot several values: an equal one counts first, then the nearest to the centre
+    rank = F.struct(F.col("value") == F.col("doc"), -F.col("off"), F.col("doc"))
+    told = slots.groupBy(*key, "at", "kind", "value").agg(F.max_by("doc", rank).alias("doc"))
+    agree = F.udf(lambda pairs: _agree([tuple(p) for p in pairs]), "boolean")
+    agreed = told.groupBy(*key).agg(
+        F.collect_list(F.struct("kind", "value", "doc")).alias("_pairs"), F.bool_and(F.col("value") == F.col("doc")).alias("_same")
+    ).select(*[F.col(k).alias(f"_{k}") for k in key], "_pairs", "_same")
+    held = runs.join(agreed, _equal(key), "left").filter(F.coalesce(agree(F.coalesce("_pairs", F.array())), F.lit(True)))
     best = F.max(F.struct("matched", F.coalesce("_same", F.lit(True)).alias("same"), "n_windows", "coverage")).alias("b")
     return held.groupBy("row", "doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.n_windows").alias("n_windows"),

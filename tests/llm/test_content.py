@@ -212,6 +212,32 @@ def test_decontamination(spark, docs_of, odd):
     assert decontaminate.contaminated(docs_of(rows), items.filter("false")).collect() == []
 
 
+def edited(text, how, at):
+    """The text with a word inserted before, deleted at or put in place of the words at these places."""
+    words = text.split()
+    for k in sorted(at, reverse=True):
+        words[k: k + (how != "insert")] = [] if how == "delete" else ["zzq"]
+    return " ".join(words)
+
+
+def letters(seed, n):
+    return " ".join(hashlib.sha256(f"{seed} {k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:6] for k in range(n))
+
+
+def test_decontamination_finds_edited_items(spark, docs_of):
+    items = [(n, letters(n, n), "t") for n in (8, 12, 15, 22, 38, 59)]
+    rows, want = [], set()
+    for n, text, _ in items:
+        places = [[n // 2]] + ([[n // 3, 2 * n // 3]] if n >= 15 else [])
+        for how, at in itertools.product(("insert", "delete", "replace"), places):
+            want.add((len(rows), n))
+            rows.append((len(rows), prose(n, 20) + ". " + edited(text, how, at) + " " + prose(n + 1, 20)))
+    halves = [(1000 + n, prose(n, 9) + " " + " ".join(t.split()[: n // 3]) + " " + prose(n, 9)) for n, t, _ in items]
+    benchmark = spark.createDataFrame(items, "item_id long, text string, hash string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(rows + halves), benchmark).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, docs_of, tmp_path):
     rows, labels = toxic_rows()
     asked = ITEMS[0][1]
