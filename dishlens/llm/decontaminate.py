@@ -5,7 +5,8 @@ value, all other words are lower-cased. Windows of a fifth of an item's template
 (items of fewer than `WINDOW` tokens: the whole item), are hashed; documents and benchmark items meet in a hash join on them. Only document windows that a bitmap of
 all benchmark windows lets pass are shuffled: the bitmap has one size whatever the benchmark's, and
 what passes by chance is refused by the join, and a window that has too few passing ones around it for any alignment
-is not shuffled. Matches of an item whose distances within a document differ from a common one by `BAND` tokens at
+is not shuffled. Each window is also hashed with its names as lower-cased words, a second key of the same join, so copies
+in capitals or small letters, or without full stops, are found although they show other names. Matches of an item whose distances within a document differ from a common one by `BAND` tokens at
 most make an alignment, so inserted and deleted words don't part it. It counts where it covers at least `COVERAGE` of the
 item's windows (and `FEW_COVERED` of its tokens, if it has fewer than `FEW`) and the slots agree: each value of the item
 always stands for one and the same value of the document, and the other way round. An item asked
@@ -84,8 +85,11 @@ class Templates:
         self.hashes[at], self.flags[at], _ = _facts(chunk)
         return at
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(hash, kind, chunk) of the text's tokens; kind 0 is a literal, else NUM, CAP or UNIT."""
+    def __call__(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+        """(hash, kind) of the text's tokens, with names as placeholders and, if there are any, as words; and the chunks.
+
+        Kind 0 is a literal, else NUM, CAP or UNIT.
+        """
         parts = text.replace("\n", " \n ").replace("\t", " ").split(" ")
         if len(self.number) + len(parts) > self.limit:
             self.reset()
@@ -102,8 +106,11 @@ class Templates:
         unit = (flags & UNIT > 0) & np.concatenate([[False], number[:-1]])[: len(solid)] & ~number
         name = (flags & CAP > 0) & ~starts & ~unit
         kind = np.where(number, NUM, np.where(unit, UNIT, np.where(name, CAP, 0))).astype(np.uint8)
-        hashes = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], np.where(name, _PLACE["name"], hashes)))
-        return hashes, kind, [parts[i] for i in solid] if kind.any() else []
+        plain = np.where(number, _PLACE["number"], np.where(unit, _PLACE["unit"], hashes))
+        forms = [(np.where(name, _PLACE["name"], plain), kind)]
+        if name.any():
+            forms.append((plain, np.where(name, 0, kind).astype(np.uint8)))
+        return forms, [parts[i] for i in solid] if kind.any() else []
 
 
 def width_of(n: int) -> int:
@@ -137,15 +144,19 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                hashes, kind, parts = templates(text)
-                n = len(hashes)
-                for width, found in window_hashes(hashes, [width_of(n)] if n else []):
-                    for at, h in enumerate(found.view(np.int64).tolist()):
-                        slots = [
-                            {"at": k, "kind": int(kind[k]), "value": _value(parts[k])}
-                            for k in range(at, at + width) if kind[k]
-                        ]
-                        rows.append((item, at, len(found), n, width, h, slots))
+                forms, parts = templates(text)
+                n, seen = len(forms[0][0]), set()
+                for hashes, kind in forms:
+                    for width, found in window_hashes(hashes, [width_of(n)] if n else []):
+                        for at, h in enumerate(found.view(np.int64).tolist()):
+                            if (at, h) in seen:  # a window without names
+                                continue
+                            seen.add((at, h))
+                            slots = [
+                                {"at": k, "kind": int(kind[k]), "value": _value(parts[k])}
+                                for k in range(at, at + width) if kind[k]
+                            ]
+                            rows.append((item, at, len(found), n, width, h, slots))
             yield pd.DataFrame(
                 rows, columns=["item_id", "item_pos", "n_windows", "n_tokens", "width", "hash", "item_slots"]
             )
@@ -197,13 +208,17 @@ def document_windows(docs: DataFrame, flags: np.ndarray, demands: dict[int, tupl
         for pdf in batches:
             rows = []
             for row, doc_id, text in pdf.itertuples(index=False, name=None):
-                hashes, kind, parts = templates(text)
-                for width, found in window_hashes(hashes, widths):
-                    at = _dense(flags[(found >> np.uint64(64 - BITS)).astype(np.int64)], *demands[width])
-                    if len(at):
-                        doc = None if pd.isna(doc_id) else int(doc_id)
-                        for k, h in zip(at.tolist(), found[at].view(np.int64).tolist(), strict=True):
-                            rows.append((row, doc, k, h, [_value(parts[j]) for j in range(k, k + width) if kind[j]]))
+                forms, parts = templates(text)
+                for found in zip(*[window_hashes(hashes, widths) for hashes, _ in forms], strict=True):
+                    width = found[0][0]
+                    passed = [flags[(h >> np.uint64(64 - BITS)).astype(np.int64)] for _, h in found]
+                    dense = _dense(np.logical_or.reduce(passed), *demands[width])
+                    for n, ((_, kind), (_, h), ok) in enumerate(zip(forms, found, passed, strict=True)):
+                        at = dense[ok[dense] & (h[dense] != found[0][1][dense])] if n else dense[ok[dense]]
+                        if len(at):
+                            doc = None if pd.isna(doc_id) else int(doc_id)
+                            for k, one in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True):
+                                rows.append((row, doc, k, one, [_value(parts[j]) for j in range(k, k + width) if kind[j]]))
             if rows:
                 out = pd.DataFrame(rows, columns=["row", "doc_id", "pos", "hash", "doc_slots"])
                 yield out.astype({"doc_id": "Int64"})

@@ -238,6 +238,20 @@ def test_decontamination_finds_edited_items(spark, docs_of):
     assert got == want
 
 
+def test_decontamination_whatever_the_case(spark, docs_of):
+    items = [ITEMS[0], (2, ITEMS[1][1]), (6, "Bob met Anna Maria Lund in Old Rome. Then Carl Berg, of New York, left with Eva on 3 trains")]
+    copies = {"upper": str.upper, "lower": str.lower, "title": str.title, "stops": lambda t: "and " + t.replace(".", "")}
+    rows, want = [], set()
+    for item, text in items:
+        for change in copies.values():
+            want.add((len(rows), item, True))
+            rows.append((len(rows), "well " + prose(item, 12) + " " + change(text) + " " + prose(item + 1, 12)))
+    rows += [(100, "x\n" + ITEMS[1][1].upper())]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.contaminated(docs_of(rows), benchmark).collect()}
+    assert got == want | {(100, 2, True)}
+
+
 def test_pipeline(spark, docs_of, tmp_path):
     rows, labels = toxic_rows()
     asked = ITEMS[0][1]
