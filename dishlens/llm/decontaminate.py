@@ -8,9 +8,10 @@ what passes by chance is refused by the join, and a window that has too few pass
 is not shuffled. Each window is also hashed with its names as lower-cased words, a second key of the same join, so copies
 in capitals or small letters, or without full stops, are found although they show other names. Matches of an item whose distances within a document differ from a common one by `BAND` tokens at
 most make an alignment, so inserted and deleted words don't part it. It counts where it covers at least `COVERAGE` of the
-item's windows (and `FEW_COVERED` of its tokens, if it has fewer than `FEW`) and the slots agree: each value of the item
-always stands for one and the same value of the document, and the other way round. An item asked
-with other numbers, names or units is thus found, and told from an exact copy.
+item's windows (and `FEW_COVERED` of its tokens, if it has fewer than `FEW`) and the slots agree: `MOSTLY` of the
+values are equal, or names that come more than once, in the item or in the document, stand for one and the same name at more than
+`STEADY` of their places. Numbers and units may take any values, as those of a question asked anew may coincide. An item asked with
+other numbers, names or units is thus found, and told from an exact copy.
 
 Rows: null and empty texts have no windows; null ids of documents are kept as null, repeated documents and items
 give as many rows; items without a word match nothing; empty tables give empty results; extra
@@ -20,6 +21,7 @@ columns are ignored. Of several alignments of an item within a document the best
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,6 +37,8 @@ WINDOW, COVERAGE, BITS = 8, 0.5, 24
 SHORTEST, BAND = 3, 3
 #: Of items of fewer tokens than FEW the windows must also cover this share of the tokens.
 FEW, FEW_COVERED = 14, 0.75
+#: Share of equal values that is enough, and share of the places of repeated names that must be more than met, both ways.
+MOSTLY, STEADY = 0.75, 0.5
 
 #: Words that are units after a number.
 UNITS = frozenset(
@@ -228,12 +232,18 @@ def document_windows(docs: DataFrame, flags: np.ndarray, demands: dict[int, tupl
     return numbered.mapInPandas(run, "row long, doc_id long, pos int, hash long, doc_slots array<string>")
 
 
-def _agree(pairs: list[tuple[int, str, str]]) -> bool:
-    """Whether the slots of an alignment, (kind, item's value, document's value) each, may stand for one another."""
-    if all(item == doc for _, item, doc in pairs):
-        return True
-    found = {(item, doc) for _, item, doc in pairs}
-    return len(found) == len({item for item, _ in found}) == len({doc for _, doc in found})
+def _steady(pairs: list[tuple[str, str]]) -> float:
+    """Of the places whose left value comes more than once the share that have that value's commonest right one."""
+    groups: dict[str, Counter] = {}
+    for left, right in pairs:
+        groups.setdefault(left, Counter())[right] += 1
+    repeated = [c for c in groups.values() if c.total() > 1]
+    return sum(max(c.values()) for c in repeated) / sum(c.total() for c in repeated) if repeated else 1.0
+
+
+def _agree(names: list[tuple[str, str]]) -> bool:
+    """Whether the (item's, document's) names of an alignment may stand for one another."""
+    return _steady(names) > STEADY and _steady([(doc, item) for item, doc in names]) > STEADY
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -252,11 +262,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     met = found.join(items, "hash").withColumn("center", F.explode(F.sequence(shift - BAND, shift + BAND)))
     # what is collected is bounded by an item's windows and the band
     covered = F.array_distinct(
-        F.flatten(F.transform(F.collect_set("item_pos"), lambda p: F.sequence(p, p + F.first("width") - 1)))
+        F.flatten(F.transform(F.collect_set("item_pos"), lambda p: F.sequence(p, p + F.max("width") - 1)))
     )
     runs = met.groupBy(*key).agg(
         F.least(F.size(F.collect_set("item_pos")), F.size(F.collect_set("pos"))).alias("matched"),
-        F.first("n_windows").alias("n_windows"), F.first("n_tokens").alias("n_tokens"), F.size(covered).alias("covered"),
+        F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.size(covered).alias("covered"),
     ).withColumn("coverage", F.col("matched") / F.col("n_windows")).filter(
         (F.col("coverage") >= coverage) & ((F.col("n_tokens") >= FEW) | (F.col("covered") >= FEW_COVERED * F.col("n_tokens")))
     )
@@ -268,11 +278,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     # shifts of a band may give a slot several values: an equal one counts first, then the nearest to the centre
     rank = F.struct(F.col("value") == F.col("doc"), -F.col("off"), F.col("doc"))
     told = slots.groupBy(*key, "at", "kind", "value").agg(F.max_by("doc", rank).alias("doc"))
-    agree = F.udf(lambda pairs: _agree([tuple(p) for p in pairs]), "boolean")
+    agree = F.udf(lambda names: _agree([tuple(n) for n in names]), "boolean")
+    same, name = F.col("value") == F.col("doc"), F.when(F.col("kind") == CAP, F.struct("value", "doc"))
     agreed = told.groupBy(*key).agg(
-        F.collect_list(F.struct("kind", "value", "doc")).alias("_pairs"), F.bool_and(F.col("value") == F.col("doc")).alias("_same")
-    ).select(*[F.col(k).alias(f"_{k}") for k in key], "_pairs", "_same")
-    held = runs.join(agreed, _equal(key), "left").filter(F.coalesce(agree(F.coalesce("_pairs", F.array())), F.lit(True)))
+        F.collect_list(name).alias("_names"), F.bool_and(same).alias("_same"), F.avg(same.cast("int")).alias("_equal")
+    ).select(*[F.col(k).alias(f"_{k}") for k in key], "_names", "_same", "_equal")
+    held = runs.join(agreed, _equal(key), "left").filter(
+        (F.coalesce("_equal", F.lit(1.0)) >= MOSTLY) | agree(F.coalesce("_names", F.array()))
+    )
     best = F.max(F.struct("matched", F.coalesce("_same", F.lit(True)).alias("same"), "n_windows", "coverage")).alias("b")
     return held.groupBy("row", "doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.n_windows").alias("n_windows"),

@@ -252,6 +252,28 @@ def test_decontamination_whatever_the_case(spark, docs_of):
     assert got == want | {(100, 2, True)}
 
 
+def test_decontamination_tolerates_single_slots(spark, docs_of):
+    items = [
+        (1, "The girl called Anna walked home while little Anna sang and then her friend saw Anna near the old mill by the lake"),
+        (2, "A jug holds 3 cups of milk and a bowl holds 5 cups of water so which of the two vessels must be filled more often"),
+        (3, "The baker sells 2 loaves to every child and 2 buns to every parent who comes so how much bread is left in the evening"),
+        (4, "It takes 7 minutes to walk from the farm to the well and then the whole way back again takes 7 minutes as well"),
+        (5, "When Anna met Carl at the gate she told him that Anna would leave and Carl would stay in the house for good"),
+    ]
+    text = dict(items)
+    copies = [
+        (10, 1, text[1].replace("saw Anna", "saw Ana")), (20, 2, text[2].replace("3", "4").replace("5", "4")),
+        (30, 3, text[3].replace("2 loaves", "3 loaves").replace("2 buns", "7 buns")),
+        (40, 4, text[4].replace("7 minutes to", "8 minute to").replace("7 minutes as", "9 mins as")),
+        (50, 5, text[5].replace("Anna", "Eva").replace("Carl", "Otto")),
+    ]
+    mixed = [(60, "well " + text[5].replace("met Carl", "met Otto").replace("Anna would", "Eva would"))]  # no name stays itself
+    rows = [(d, "well " + t + " " + prose(d, 9)) for d, _, t in copies] + mixed
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.contaminated(docs_of(rows), benchmark).collect()}
+    assert got == {(d, i, False) for d, i, _ in copies}
+
+
 def test_pipeline(spark, docs_of, tmp_path):
     rows, labels = toxic_rows()
     asked = ITEMS[0][1]
