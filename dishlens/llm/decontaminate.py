@@ -11,7 +11,12 @@ most make an alignment, so inserted and deleted words don't part it. It counts w
 item's windows (and `FEW_COVERED` of its tokens, if it has fewer than `FEW`) and the slots agree: `MOSTLY` of the
 values are equal, or names that come more than once, in the item or in the document, stand for one and the same name at more than
 `STEADY` of their places. Numbers and units may take any values, as those of a question asked anew may coincide. An item asked with
-other numbers, names or units is thus found, and told from an exact copy.
+other numbers, names or units is thus found, and told from an exact copy. Values other than those equal for `MOSTLY` are
+believed only where the alignment holds `LITERALS` literal words and `COVERAGE` of the item's.
+
+Items of fewer than `WINDOW` tokens count only with all values equal. Those of them with fewer than `LITERALS` words (numbers
+and units are none), such as '42' or 'Yes.', can't be told from chance: they are not decidable and match nothing;
+`undecidable` lists them and a warning gives their number.
 
 Rows: null and empty texts have no windows; null ids of documents are kept as null, repeated documents and items
 give as many rows; items without a word match nothing; empty tables give empty results; extra
@@ -20,6 +25,7 @@ columns are ignored. Of several alignments of an item within a document the best
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -39,6 +45,8 @@ SHORTEST, BAND = 3, 3
 FEW, FEW_COVERED = 14, 0.75
 #: Share of equal values that is enough, and share of the places of repeated names that must be more than met, both ways.
 MOSTLY, STEADY = 0.75, 0.5
+#: Words, not counting numbers and units, that a match needs if its values differ or the item is shorter than WINDOW.
+LITERALS = 3
 
 #: Words that are units after a number.
 UNITS = frozenset(
@@ -47,6 +55,7 @@ UNITS = frozenset(
     "days week weeks month months year years usd eur dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz "
     "w kw mw v a k c f degree degrees percent mph kmh".split()
 )
+_LOG = logging.getLogger(__name__)
 _NUMBER = re.compile(r"[+\-$€£]?(\d+(?:[.,:/]\d+)*)(%|[A-Za-z]{0,3})")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 _PLACE = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>", 1)) for kind in ("number", "name", "unit")}
@@ -141,7 +150,15 @@ def _value(chunk: str) -> str:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_pos, n_windows, n_tokens, width, hash, item_slots) of every window of every item."""
+    """Every window of every item; `literals` are the places of its literal words.
+
+    (item_id, item_pos, n_windows, n_tokens, n_words, n_literals, width, hash, literals, item_slots)
+    """
+    columns = {
+        "item_id": "long", "item_pos": "int", "n_windows": "int", "n_tokens": "int", "n_words": "int", "n_literals": "int",
+        "width": "int", "hash": "long", "literals": "array<int>",
+        "item_slots": "array<struct<at: int, kind: int, value: string>>",
+    }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
@@ -150,6 +167,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
                 forms, parts = templates(text)
                 n, seen = len(forms[0][0]), set()
+                n_words, n_literals = int((forms[-1][1] == 0).sum()), int((forms[0][1] == 0).sum())
                 for hashes, kind in forms:
                     for width, found in window_hashes(hashes, [width_of(n)] if n else []):
                         for at, h in enumerate(found.view(np.int64).tolist()):
@@ -160,19 +178,23 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                                 {"at": k, "kind": int(kind[k]), "value": _value(parts[k])}
                                 for k in range(at, at + width) if kind[k]
                             ]
-                            rows.append((item, at, len(found), n, width, h, slots))
-            yield pd.DataFrame(
-                rows, columns=["item_id", "item_pos", "n_windows", "n_tokens", "width", "hash", "item_slots"]
-            )
+                            words = [k for k in range(at, at + width) if not kind[k]]
+                            rows.append((item, at, len(found), n, n_words, n_literals, width, h, words, slots))
+            yield pd.DataFrame(rows, columns=list(columns))
 
     given = benchmark.filter(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    return given.mapInPandas(
-        run,
-        "item_id long, item_pos int, n_windows int, n_tokens int, width int, hash long, "
-        "item_slots array<struct<at: int, kind: int, value: string>>",
-    )
+    return given.mapInPandas(run, ", ".join(f"{name} {kind}" for name, kind in columns.items()))
+
+
+def _decidable() -> Column:
+    return (F.col("n_tokens") >= WINDOW) | (F.col("n_words") >= LITERALS)
+
+
+def undecidable(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_tokens, n_words) of the items too short to tell a copy from chance; no document is matched with them."""
+    return item_windows(benchmark).filter(~_decidable()).select("item_id", "n_tokens", "n_words").distinct()
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -248,7 +270,11 @@ def _agree(names: list[tuple[str, str]]) -> bool:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, coverage, same_values): documents that hold an item, or it with other values."""
-    items = written(item_windows(benchmark), "items")
+    every = written(item_windows(benchmark), "items")
+    items = every.filter(_decidable())
+    short = every.filter(~_decidable()).select("item_id").distinct().count()
+    if short:
+        _LOG.warning("%d benchmark items are too short to be decided; undecidable() lists them", short)
     # items have few widths: at most WINDOW
     demands = {
         r["width"]: (r["windows"] + 2 * BAND, max(1, r["least"]))
@@ -267,6 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     runs = met.groupBy(*key).agg(
         F.least(F.size(F.collect_set("item_pos")), F.size(F.collect_set("pos"))).alias("matched"),
         F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.size(covered).alias("covered"),
+        F.max("n_literals").alias("n_literals"), F.size(F.array_distinct(F.flatten(F.collect_set("literals")))).alias("literals"),
     ).withColumn("coverage", F.col("matched") / F.col("n_windows")).filter(
         (F.col("coverage") >= coverage) & ((F.col("n_tokens") >= FEW) | (F.col("covered") >= FEW_COVERED * F.col("n_tokens")))
     )
@@ -283,8 +310,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     agreed = told.groupBy(*key).agg(
         F.collect_list(name).alias("_names"), F.bool_and(same).alias("_same"), F.avg(same.cast("int")).alias("_equal")
     ).select(*[F.col(k).alias(f"_{k}") for k in key], "_names", "_same", "_equal")
+    # other values are only believed where words speak for the item
+    enough = F.col("literals") >= F.greatest(F.lit(LITERALS), F.col("n_literals") * coverage)
     held = runs.join(agreed, _equal(key), "left").filter(
-        (F.coalesce("_equal", F.lit(1.0)) >= MOSTLY) | agree(F.coalesce("_names", F.array()))
+        F.coalesce("_same", F.lit(True)) | (F.col("n_tokens") >= WINDOW) & (
+            (F.col("_equal") >= MOSTLY) | enough & agree(F.coalesce("_names", F.array()))
+        )
     )
     best = F.max(F.struct("matched", F.coalesce("_same", F.lit(True)).alias("same"), "n_windows", "coverage")).alias("b")
     return held.groupBy("row", "doc_id", "item_id").agg(best).select(

@@ -274,6 +274,25 @@ def test_decontamination_tolerates_single_slots(spark, docs_of):
     assert got == {(d, i, False) for d, i, _ in copies}
 
 
+def test_decontamination_of_short_items(spark, docs_of):
+    items = [
+        (1, "42"), (2, "Yes."), (3, "Paris"), (4, "12 km"), (5, "It weighs about 12 kg"), (6, ""), (7, "The answer is Paris"),
+        (8, "Add these " + " ".join(str(k) for k in range(100, 120))),
+    ]
+    rows = [
+        (k, f"so {k + 3} men said yes. They saw Rome " + prose(k, 20) + f" and {k} km on") for k in range(20)
+    ] + [
+        (100, "in all it weighs about 12 kg now"), (101, "in all it weighs about 13 kg now"), (102, "so the answer is Paris here"),
+        (103, "so the answer is Rome here"), (104, " ".join(str(k) for k in range(500, 560))), (105, "we " + items[7][1].lower()),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.same_values) for r in decontaminate.contaminated(docs_of(rows), benchmark).collect()}
+    assert got == {(100, 5, True), (102, 7, True), (105, 8, True)}
+    assert {r.item_id for r in decontaminate.undecidable(benchmark).collect()} == {1, 2, 3, 4}
+    kept = {r.doc_id for r in decontaminate.without_benchmark(docs_of(rows), benchmark).collect()}
+    assert kept == {r[0] for r in rows} - {100, 102, 105}
+
+
 def test_pipeline(spark, docs_of, tmp_path):
     rows, labels = toxic_rows()
     asked = ITEMS[0][1]
