@@ -1,13 +1,14 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance along directories.
 
-A document's lines, and the sentences of longer lines, are compared with the templates: TF-IDF vectors over
+A document's lines, paragraphs, sentences and runs of up to `RUN` adjacent ones of these within a paragraph are compared with
+the templates, which are notices and the paragraphs of licence texts and headers: TF-IDF vectors over
 words, document frequencies of the templates' words counted over all documents, words of no template
 weighing as rare ones. A segment of cosine `SURE` or more states the nearest template's licence; the best
 segment is the document's. A document most of whose words stand in such segments is a licence file and speaks for its
 directory. A document without a licence of its own inherits that of the nearest directory above it
 that has a licence file: directories are joined with their ancestors by path, and documents with directories.
 
-Only segments that could reach `SURE` by their share of template words are compared, which loses none.
+Only segments that could reach `SURE` by their template words are compared, which loses none.
 
 Rows: null and empty texts state nothing; null paths inherit nothing; equal cosines go to the first template by name; of
 several licence files in a directory the one of highest cosine, then smallest id, speaks; empty tables give empty
@@ -29,6 +30,61 @@ from dishlens.llm.common import WordCache, written
 
 SURE, FILE_SHARE = 0.75, 0.5
 
+#: Adjacent pieces (sentences or lines) that are compared as one; whole lines and paragraphs always are.
+RUN = 12
+
+#: Paragraphs of whole licence texts and headers.
+_MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    "files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+    "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+    "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+]
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+_APACHE = [
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. ",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 ",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS "
+    "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+    "governing permissions and limitations under the License.",
+]
+_MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+    "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+
+
+def _gnu(kind: str, version: int) -> list[str]:
+    """The header of a GNU licence: its first paragraph, and the whole."""
+    first = (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as "
+        f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+    )
+    rest = (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. You should have "
+        f"received a copy of the GNU {kind} Public License along with this program. If not, see https://www.gnu.org/licenses/."
+    )
+    return [first, first + rest]
+
+
 #: Names and wording of licence notices.
 TEMPLATES = {
     "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved."],
@@ -36,8 +92,9 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Apache License Version 2.0, January 2004",
+        _APACHE[0] + _APACHE[1], _APACHE[2], "".join(_APACHE),
     ],
-    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", *_BSD],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
@@ -47,11 +104,14 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
-    "gpl-2": ["This work is licensed under the GNU General Public License, version 2."],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "gpl-2": ["This work is licensed under the GNU General Public License, version 2.", *_gnu("General", 2)],
+    "gpl-3": ["This work is licensed under the GNU General Public License, version 3.", *_gnu("General", 3)],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", *_gnu("Lesser General", 3)],
+    "mit": [
+        "Released under the MIT License.", "Licensed under the MIT License.", *_MIT,
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", _MPL],
     "public-domain": ["This work is dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
 }
 _WORD = re.compile(r"\w+(?:\.\d+)*")
@@ -79,13 +139,18 @@ class Matcher:
                 self.names.append(name)
                 rows.append(row / np.sqrt((row**2).sum()))
         self.templates = np.array(rows)
-        # per chunk: words, squared weight of template words (a lower bound of nothing but their own), words of no template
+        # a segment without any heavy word of a template holds less than `sure` of its length: no cosine reaches `sure`
+        self.heavy = set()
+        for row in self.templates:
+            order = np.argsort(row, kind="stable")
+            self.heavy.update(order[np.sqrt(np.cumsum(row[order] ** 2)) >= sure - 1e-9].tolist())
+        # per chunk: words, weight of template words, words of no template, heavy words
         self.facts = WordCache(self._facts, 400_000)
 
-    def _facts(self, chunk: str) -> tuple[int, float, int] | None:
+    def _facts(self, chunk: str) -> tuple[int, float, int, int]:
         found = words(chunk)
-        known = [self.idf[self.vocabulary[w]] for w in found if w in self.vocabulary]
-        return len(found), float(sum(known)), len(found) - len(known)
+        known = [self.vocabulary[w] for w in found if w in self.vocabulary]
+        return len(found), float(sum(self.idf[k] for k in known)), len(found) - len(known), sum(k in self.heavy for k in known)
 
     def cosine(self, segment: str) -> tuple[float, str]:
         counts = Counter(words(segment))
@@ -102,34 +167,49 @@ class Matcher:
         best = int(values.argmax())
         return float(values[best]), self.names[best]
 
-    def _may_match(self, parts: list[str]) -> bool:
-        """cosine <= |template part| / |all|; the former is at most the sum of its weights, the latter's rest at least rare * sqrt(n)."""
-        known, other = 0.0, 0
-        for _, weight, rest in map(self.facts.__getitem__, parts):
-            known += weight
-            other += rest
-        return known > 0 and known**2 >= self.sure**2 * (known**2 + self.rare**2 * other)
+    def _segments(self, pieces: list[tuple[int, int, int, int]], facts: np.ndarray) -> list[tuple[int, int]]:
+        """Bounds, in chunks, of the runs of pieces (start, end, line, paragraph) that could reach `sure`.
+
+        cosine <= |template part| / |all|; the former is at most the sum of its weights, the latter's rest at least rare * sqrt(n).
+        """
+        start, end, line, paragraph = np.array(pieces).T
+        sums = np.concatenate([np.zeros((1, 4)), np.cumsum(facts, 0)])
+        first = np.concatenate([np.arange(len(start) - k) for k in range(min(RUN, len(start)))])
+        last = np.concatenate([np.arange(k, len(start)) for k in range(min(RUN, len(start)))])
+        for group in (line, paragraph):
+            low, count = np.unique(group, return_index=True, return_counts=True)[1:]
+            first, last = np.concatenate([first, low]), np.concatenate([last, low + count - 1])
+        part = sums[end[last]] - sums[start[first]]
+        square = part[:, 1] ** 2
+        may = (part[:, 3] > 0) & (square >= self.sure**2 * (square + self.rare**2 * part[:, 2]) - 1e-9)
+        may &= paragraph[first] == paragraph[last]
+        return sorted({(int(a), int(b)) for a, b in zip(start[first[may]], end[last[may]], strict=True)})
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """(licence, cosine, share of the words in licence segments)."""
-        best, licence, stated, total = 0.0, None, 0, 0
-        for line in text.split("\n"):
-            parts = line.replace("\t", " ").split(" ")
-            n = sum(self.facts[p][0] for p in parts)
-            total += n
-            segments = [parts]
-            if not self._may_match(parts):
-                cuts = [k + 1 for k, p in enumerate(parts) if p[-1:] in ".!?" and p]
-                bounds = [0, *cuts, len(parts)] if cuts else []
-                segments = [parts[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
-                segments = [s for s in segments if self._may_match(s)]
-            for segment in segments:
-                value, name = self.cosine(" ".join(segment))
-                if value >= self.sure:
-                    stated += sum(self.facts[p][0] for p in segment)
-                    if value > best + 1e-12:
-                        best, licence = value, name
-        return licence, best, stated / total if total else 0.0
+        parts, pieces, paragraph = [], [], 0
+        lines = [line.replace("\t", " ").split(" ") for line in text.split("\n")]
+        found = [[self.facts[p] for p in line] for line in lines]
+        if not any(f[3] for line in found for f in line):
+            return None, 0.0, 0.0
+        for number, (line, facts) in enumerate(zip(lines, found, strict=True)):
+            at = len(parts)
+            parts += line
+            if not any(f[0] for f in facts):
+                paragraph += 1
+                continue
+            cuts = [at + k + 1 for k, p in enumerate(line) if p[-1:] in ".!?" and p and k + 1 < len(line)]
+            bounds = [at, *cuts, len(parts)]
+            pieces += [(a, b, number, paragraph) for a, b in zip(bounds, bounds[1:], strict=False)]
+        facts = np.array([f for line in found for f in line], float)
+        best, licence, stated = 0.0, None, np.zeros(len(parts), bool)
+        for a, b in self._segments(pieces, facts):
+            value, name = self.cosine(" ".join(parts[a:b]))
+            if value >= self.sure:
+                stated[a:b] = True
+                if value > best + 1e-12:
+                    best, licence = value, name
+        return licence, best, float(facts[stated, 0].sum() / facts[:, 0].sum())
 
 
 def corpus_weights(docs: DataFrame) -> tuple[np.ndarray, float]:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -153,6 +154,30 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.filter("false")).collect() == []
 
 
+def test_license_segments(spark):
+    def wrapped(text, prefix=""):
+        return "\n".join(prefix + line for line in textwrap.wrap(text, 72))
+
+    mit, bsd, gpl = licenses._MIT, licenses._BSD, licenses._gnu("General", 3)[1]
+    texts = [
+        ("Copyright 2024 Jane Doe. Licensed under the MIT License.", "mit", False),
+        ("See below for terms. Released under the MIT License.", "mit", False),
+        (wrapped(gpl, "# "), "gpl-3", True), (gpl, "gpl-3", True), (wrapped(gpl.replace("version 3", "version 2"), " * "), "gpl-2", True),
+        (wrapped("".join(licenses._APACHE), "// "), "apache-2.0", True), (wrapped(licenses._MPL), "mpl-2.0", True),
+        ("MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + "\n\n".join(map(wrapped, mit)), "mit", True),
+        ("\n\n".join(mit), "mit", True), (mit[0], "mit", True),
+        ("Copyright (c) 2024, Jane Doe\n\n" + "\n\n".join(map(wrapped, bsd)), "bsd", True),
+        (prose(8, 50) + "\nThis work is licensed under the\nGNU General Public License, version 2. " + prose(9, 40), "gpl-2", False),
+        ("The licence of the car and the version of the work are in the house.", None, False),
+    ]
+    rows = [(k, f"d{k}/x", t) for k, (t, _, _) in enumerate(texts)] + [(100 + k, f"p{k}/x", prose(k, 60)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[k].own_license for k in range(len(texts))] == [name for _, name, _ in texts]
+    assert all(got[k].license_file for k, (_, _, file) in enumerate(texts) if file)
+    assert not any(got[100 + k].own_license for k in range(200))
+
+
 def plain_spans(text):
     pattern = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
     found = [(m.start(), 0, m.end(), "assign") for m in pattern.finditer(text) if len(m[2]) >= 12]
