@@ -14,6 +14,7 @@ from dishlens.llm import (
     licenses,
     merkle,
     packing,
+    quality,
     secrets,
     shard_tree,
     simhash,
@@ -26,7 +27,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID, PACK_ID, SEQUENCE = 2, 1, 4096
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of the ten can be said in SQL alone (checksums, trained models, tokenizers, components); tests/llm has brute force.
+#: What SQL can say; tests/llm has brute force for the others (checksums, trained models, tokenizers, components).
 ORACLES: dict[str, str] = {}
 
 
@@ -91,3 +92,38 @@ def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain counts alone, which SQL can say."""
+    return quality.counted(table(spark, sf_dir, "documents")).drop("words")
+
+
+ORACLES["quality_rules"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+windows AS (
+  SELECT r, i, array_to_string(words[i:i + 4], ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM t)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (
+  SELECT r, sum(least(5, coalesce(after - i, 5))) AS n
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM repeated) GROUP BY r),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+"""
