@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dishlens.llm import (
+    centroids,
     decontaminate,
     language,
     licenses,
@@ -20,6 +21,7 @@ from dishlens.llm import (
     simhash,
     toxicity,
     wavelet,
+    whitening,
 )
 from dishlens.llm.common import prepare, table
 
@@ -127,3 +129,16 @@ counts AS (
   FROM t LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
 """
+
+
+@query
+def op12_centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroid_drift"] = centroids.sql()
+
+
+@query
+def op13_shifted_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
