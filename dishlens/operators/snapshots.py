@@ -1,35 +1,17 @@
-"""Keyed tables that grow by batches.
+"""Tables that grow by batch folders: each batch writes the rows of the keys it touched under its own number.
 
-A table folder holds numbered bases (the whole table) and numbered batches (the rows a batch changed).
-The current table is the newest base plus the batches after it, where the newest batch of a key counts.
-Writing costs what changed, not what is there; `compact` makes a new base now and then.
-
-A folder counts once its _SUCCESS marker is there: a job that dies half-way leaves the last good state,
-and writing the same number again replaces it.
+A batch that runs again replaces its folder, so sinks are idempotent. The current rows of a key are those of the newest
+folder that holds it; `batch` is a partition column, so one scan reads all folders.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_NUMBER = "_number"
-
-
-def _numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    found = []
-    for status in files.listStatus(path):
-        match = re.fullmatch(rf"{kind}=(\d+)", status.getPath().getName())
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if match and files.exists(marker):
-            found.append(int(match.group(1)))
-    return sorted(found)
+NUMBER = "batch"
 
 
 def complete(spark: SparkSession, folder: str) -> bool:
@@ -38,56 +20,27 @@ def complete(spark: SparkSession, folder: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def bases(spark: SparkSession, root: str) -> list[int]:
-    return _numbers(spark, root, "base")
-
-
-def batches(spark: SparkSession, root: str) -> list[int]:
-    return _numbers(spark, root, "batch")
-
-
-def write_base(df: DataFrame, root: str, number: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/base={number}")
-
-
 def append_batch(df: DataFrame, root: str, number: int) -> None:
     """The changed rows of a batch: for every key it touches, all rows the key has from now on."""
-    df.write.mode("overwrite").parquet(f"{root}/batch={number}")
-
+    df.write.mode("overwrite").parquet(f"{root}/{NUMBER}={number}")
 
-def read_current(
-    spark: SparkSession, root: str, schema: str, keys: Sequence[str], before: int | None = None,
-    only: DataFrame | None = None,
-) -> DataFrame:
-    """The table after all batches, or after those numbered below `before`.
 
-    A key may have several rows; they come from the newest folder that holds the key. With `only`, a
-    table of distinct keys, other keys are dropped as they are read, before anything is grouped.
-    """
-    limit = float("inf") if before is None else before
-    base = max((n for n in bases(spark, root) if n < limit), default=None)
-    later = [n for n in batches(spark, root) if n < limit and (base is None or n > base)]
-    parts = [] if base is None else [(f"{root}/base={base}", base)]
-    parts += [(f"{root}/batch={n}", n) for n in later]
-    if not parts:
+def read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All rows of all batches with their number; none where nothing has been written."""
+    schema = f"{schema}, {NUMBER} LONG"
+    try:
+        return spark.read.schema(schema).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = None
-    for path, number in parts:
-        part = spark.read.schema(schema).parquet(path).withColumn(_NUMBER, F.lit(number))
-        rows = part if rows is None else rows.unionByName(part)
-    if only is not None:
-        rows = rows.join(only, list(keys), "left_semi")
-    if len(parts) == 1:
-        return rows.drop(_NUMBER)
-    # Keys are pre-aggregated in every task; the semi join is then on a key that occurs once.
-    newest = rows.groupBy(*keys).agg(F.max(_NUMBER).alias(_NUMBER))
-    return rows.join(newest, [*keys, _NUMBER], "left_semi").drop(_NUMBER)
 
 
-def compact(spark: SparkSession, root: str, schema: str, keys: Sequence[str]) -> int | None:
-    """Fold all batches into a base numbered like the last of them; older folders may then go."""
-    done = batches(spark, root)
-    if not done or done[-1] in bases(spark, root):
-        return None
-    write_base(read_current(spark, root, schema, keys), root, done[-1])
-    return done[-1]
+def read_current(spark: SparkSession, root: str, schema: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of the newest batch of each key.
+
+    Keys are reduced in every task before the shuffle; the semi join is then on a key that occurs once.
+    """
+    rows = read_batches(spark, root, schema)
+    newest = rows.groupBy(*keys).agg(F.max(NUMBER).alias(NUMBER))
+    return rows.join(newest, [*keys, NUMBER], "left_semi").drop(NUMBER)

@@ -8,25 +8,21 @@ names; on a cluster those must be shared.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dishlens import schemas
-from dishlens.operators.fold import fold_scrape_results
-from dishlens.operators.snapshots import append_batch, compact, read_current
+from dishlens.operators.snapshots import append_batch, read_batches, read_current
 from dishlens.operators.merge import last_of_batch
 from dishlens.plans.indexing import EmbedFn, index_batch
 from dishlens.plans.menus import last_items, replay
 
 log = logging.getLogger(__name__)
 
-# Stream batches count from 0; table folders from 1, after an initial base numbered 0.
 CHUNK_SCHEMA = schemas.CHUNK + ", norm DOUBLE"
 CHUNK_COLUMNS = ["chunk_id", "review_id", "chunk_ix", "chunk_text", "embedding", "norm"]
-# After so many batches a table gets a new base, so that the parts a batch reads stay few.
-COMPACT_EVERY = 50
 
 
 def file_stream(
@@ -50,9 +46,7 @@ def run_available(
 
 # ---------------------------------------------------------------- index and replay
 
-def index_sink(
-    root: str, embed: EmbedFn, compact_every: int = COMPACT_EVERY
-) -> Callable[[DataFrame, int], None]:
+def index_sink(root: str, embed: EmbedFn) -> Callable[[DataFrame, int], None]:
     """Chunk and embed each batch of joined reviews and append it to the chunk table under `root`.
 
     All chunks of a review in the batch replace those it had, so a shorter text leaves none behind. Each
@@ -66,9 +60,7 @@ def index_sink(
             F.col(c) if c == "review_id" else F.lit(None).cast(fresh.schema[c].dataType).alias(c)
             for c in CHUNK_COLUMNS
         ])
-        append_batch(fresh.unionByName(marks), root, number + 1)
-        if (number + 1) % compact_every == 0:
-            compact(batch.sparkSession, root, CHUNK_SCHEMA, ["review_id"])
+        append_batch(fresh.unionByName(marks), root, number)
 
     return sink
 
@@ -77,26 +69,6 @@ def current_chunks(spark: SparkSession, root: str) -> DataFrame:
     return read_current(spark, root, CHUNK_SCHEMA, ["review_id"]).filter("chunk_id IS NOT NULL")
 
 
-def merge_sink(
-    root: str, schema: str, keys: Sequence[str], merge: Callable[[DataFrame, DataFrame], DataFrame],
-    compact_every: int = COMPACT_EVERY,
-) -> Callable[[DataFrame, int], None]:
-    """Merge each batch into a keyed table by a function of (rows the batch touches, batch).
-
-    Only touched rows are read into the merge and written; batch n sees the table as of batch n-1,
-    so running it again writes the same.
-    """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        spark, wanted = batch.sparkSession, batch.select(*keys).distinct()
-        touched = read_current(spark, root, schema, keys, before=number + 1, only=wanted)
-        append_batch(merge(touched, batch), root, number + 1)
-        if (number + 1) % compact_every == 0:
-            compact(spark, root, schema, keys)
-
-    return sink
-
-
 def replay_sink(
     root: str, rejects: str, restaurants: DataFrame, embed: EmbedFn, dim: int
 ) -> Callable[[DataFrame, int], None]:
@@ -105,8 +77,8 @@ def replay_sink(
 
     def sink(batch: DataFrame, number: int) -> None:
         items, bad = replay(batch, restaurants, embed, dim)
-        append_batch(last_items(items), root, number + 1)
-        append_batch(bad, rejects, number + 1)
+        append_batch(last_items(items), root, number)
+        append_batch(bad, rejects, number)
 
     return sink
 
@@ -128,11 +100,11 @@ def dual_sink(
 
 # ---------------------------------------------------------------- counts and unique jobs
 
-def daily_counts(stream: DataFrame, ts: str, late: str = "2 days") -> DataFrame:
-    """Rows per day; the watermark lets state of past days go."""
+def daily_counts(stream: DataFrame, ts: str) -> DataFrame:
+    """Rows per day, in update mode. A day is one row of state, so the state stays small without a watermark, and no row
+    comes too late to be counted."""
     return (
-        stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        stream.groupBy(F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
         .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
     )
 
@@ -141,45 +113,19 @@ def batch_folder_sink(root: str) -> Callable[[DataFrame, int], None]:
     """Each batch's changed rows in a folder of its own number."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        append_batch(batch, root, number)
 
     return sink
 
 
 def latest_values(spark: SparkSession, root: str, key: str, schema: str) -> DataFrame:
     """Newest row per key over the batch folders of an update-mode stream."""
-    rows = spark.read.schema(schema + ", batch LONG").parquet(root)
+    rows = read_batches(spark, root, schema)
     value = F.struct("batch", *[c for c in rows.columns if c not in (key, "batch")])
     newest = rows.groupBy(key).agg(F.max(value).alias("v"))
     return newest.select(key, "v.*").drop("batch")
 
 
-def unique_jobs(
-    stream: DataFrame, args: list[str], ts: str, period: str = "30 days", salts: int = 16
-) -> DataFrame:
-    """One job per argument set; repeats within the period are dropped.
-
-    Repeats go first within salted keys, so an argument set that repeats endlessly is thinned out in
-    many tasks and only a few of its rows meet in one.
-    """
-    salted = stream.withWatermark(ts, period).withColumn(
-        "_salt", F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
-    )
-    thinned = salted.dropDuplicatesWithinWatermark([*args, "_salt"])
-    return thinned.dropDuplicatesWithinWatermark(args).drop("_salt")
-
-
-# ---------------------------------------------------------------- scrape results
-
-def scrape_fold_sink(root: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """Fold each batch of result events onto the restaurants it touches.
-
-    A batch is reduced by mergeable aggregates before it meets the table, so nothing is collected per
-    restaurant and a hot one is as cheap as any. `seq` must rise from batch to batch.
-    """
-    return merge_sink(root, schema, ["camis"], fold_scrape_results)
-
-
 # ---------------------------------------------------------------- incremental import
 
 def since_high_water(source: DataFrame, base: DataFrame, record: str, updated: Column) -> DataFrame:

@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dishlens.operators.snapshots import read_current, write_base
 from dishlens.plans import indexing as I
 from dishlens.session import shared_folder
-from dishlens.streaming import jobs as J
+from dishlens.streaming import jobs as J, state as S
 from dishlens.suite.base import ORACLES, derive, query, table
 from dishlens.suite.restaurants import _FOLD_BASE, SCRAPE_EVENT
 
@@ -27,21 +26,25 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stream_daily_activity(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = J.daily_counts(events, "ts", "40 days")
+    counts = J.daily_counts(events, "ts")
     J.run_available(counts, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log", "update").awaitTermination()
     return J.latest_values(spark, f"{folder}/out", "day", "day STRING, n LONG")
 
 
-@query("SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS batch FROM events")
+_PERIOD = 2_592_000  # 30 days
+
+
+@query(f"""
+SELECT user_id, event_type, CAST(epoch_ms(ts) // {_PERIOD * 1000} AS BIGINT) AS period, CAST(0 AS BIGINT) AS batch, 'job' AS kind
+FROM events GROUP BY ALL
+""")
 def stream_unique_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the state store gave out, late rows included: there are none in one batch."""
     folder = _run_folder(spark)
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    unique = J.unique_jobs(events, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+    unique = S.unique_jobs(events, ["user_id", "event_type"], "ts", _PERIOD)
     J.run_available(unique, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log").awaitTermination()
-    return spark.read.schema("user_id LONG, event_type STRING, batch LONG").parquet(f"{folder}/out")
-
-
-_FOLD_SCHEMA = "camis STRING, status STRING, item_count INT, last_error STRING, scraped_at TIMESTAMP_NTZ"
+    return spark.read.schema("user_id LONG, event_type STRING, period LONG, kind STRING, batch LONG").parquet(f"{folder}/out")
 
 
 @query(ORACLES["scrape_state_fold"])
@@ -49,11 +52,10 @@ def stream_scrape_fold(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)
     users = table(spark, sf, "events").filter("event_type <> 'signup'").select("user_id").distinct()
     base = derive(users, {**_FOLD_BASE, "scraped_at": "CAST(NULL AS TIMESTAMP_NTZ)"})
-    write_base(base, f"{folder}/table", 0)
-    events = derive(_stream(spark, sf, "events"), SCRAPE_EVENT)
-    sink = J.scrape_fold_sink(f"{folder}/table", _FOLD_SCHEMA)
-    J.run_available(events, sink, f"{folder}/log").awaitTermination()
-    return read_current(spark, f"{folder}/table", _FOLD_SCHEMA, ["camis"])
+    changed = S.scrape_states(derive(_stream(spark, sf, "events"), SCRAPE_EVENT), base)
+    J.run_available(changed, J.batch_folder_sink(f"{folder}/out"), f"{folder}/log", "update").awaitTermination()
+    rows = spark.read.schema(changed.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return S.with_states(base, rows)
 
 
 @query()

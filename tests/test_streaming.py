@@ -1,13 +1,14 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dishlens import schemas
 from dishlens.operators import fold
-from dishlens.operators.merge import merge_upsert
-from dishlens.operators.snapshots import bases, batches, read_current, write_base
-
+from dishlens.operators.snapshots import read_current
 from dishlens.plans import indexing as I, menus as M, restaurants as R
-from dishlens.streaming import jobs as J
+from dishlens.streaming import jobs as J, state as S
 
 EVENT = "camis string, seq long, ts timestamp, status string, item_count int, last_error string"
 BASE = "camis string, status string, item_count int, last_error string, scraped_at timestamp"
@@ -18,20 +19,54 @@ def events(spark, rows):
     return df.withColumn("ts", F.timestamp_seconds(F.col("seq"))).select("camis", "seq", "ts", "status", "item_count", "last_error")
 
 
+def folded(spark, base, source, out, log):
+    """Work off what is new, then the base with all states so far, and the rows put aside."""
+    changed = S.scrape_states(J.file_stream(spark, source, EVENT), base)
+    J.run_available(changed, J.batch_folder_sink(out), log, "update").awaitTermination()
+    rows = spark.read.parquet(out)
+    aside = {(r.camis, r.kind, r.n) for r in rows.filter("kind <> 'state'").collect()}
+    return S.with_states(base, rows), aside
+
+
 def test_fold_over_several_batches_equals_one_fold(spark, tmp_path, rows):
-    base = spark.createDataFrame([("a", "url_found", 0, None, None), ("b", "scraped", 3, None, None)], BASE)
-    first = [("a", 1, "scraping", 2, ""), ("a", 2, "scraped", 5, ""), ("b", 1, "failed_scrape", 0, "x")]
-    second = [("a", 3, "failed_scrape", 0, "late"), ("a", 4, "scraped", 7, ""), ("b", 2, "scraped", 4, "")]
-    root, source, log = str(tmp_path / "t"), str(tmp_path / "in"), str(tmp_path / "log")
-    write_base(base, root, 0)
-    sink = J.scrape_fold_sink(root, BASE)
+    base = spark.createDataFrame([("a", "url_found", 0, None, None), ("b", "scraped", 3, None, None), ("c", "scraping", 2, "e", None)], BASE)
+    first = [("a", 1, "scraping", 2, ""), ("a", 2, "scraped", 5, ""), ("a", 5, "failed_scrape", 0, "z"), ("b", 1, "failed_scrape", 0, "x")]
+    second = [("a", 6, "failed_scrape", 0, "late"), ("a", 7, "scraped", 7, ""), ("b", 2, "scraped", 4, "")]
+    stale = [("a", 3, "scraped", 100, ""), ("a", 4, "failed_scrape", 1, ""), ("q", 1, "scraped", 1, ""), ("q", 2, "failed_scrape", 1, "")]
+    source, out, log = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
+    sent = []
     for part in (first, second):
+        sent += part
+        events(spark, part).write.mode("append").parquet(source)
+        streamed, aside = folded(spark, base, source, out, log)
+        assert rows(streamed) == rows(fold.fold_scrape_results(base, events(spark, sent))) and aside == set()
+    events(spark, stale).write.mode("append").parquet(source)
+    streamed, aside = folded(spark, base, source, out, log)
+    assert {r.camis: r.item_count for r in streamed.collect()} == {"a": 14, "b": 7, "c": 2}
+    assert aside == {("a", "late", 2), ("q", "unknown", 2)}
+
+
+def test_random_results_by_stream_and_by_fold(spark, tmp_path, rows):
+    draw = random.Random(4)
+    names = [f"r{k}" for k in range(12)]
+    base = spark.createDataFrame([(k, draw.choice(["url_found", "scraping", "scraped"]), draw.randrange(5), None, None) for k in names], BASE)
+    kinds = ["failed_scrape"] * 5 + ["scraping", "url_found", "scraped"]
+    sent = [(draw.choice(names[:3] * 5 + names), k, draw.choice(kinds), draw.randrange(9), draw.choice(["", "oops"])) for k in range(600)]
+    source, out, log = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
+    for at in range(0, 600, 200):
+        part = sent[at: at + 200]
+        draw.shuffle(part)
         events(spark, part).write.mode("append").parquet(source)
-        J.run_available(J.file_stream(spark, source, EVENT), sink, log).awaitTermination()
-    streamed = read_current(spark, root, BASE, ["camis"])
-    assert batches(spark, root) == [1, 2]
-    assert rows(streamed) == rows(fold.fold_scrape_results(base, events(spark, first + second)))
-    assert {r.camis: r.item_count for r in streamed.collect()} == {"a": 14, "b": 7}
+        streamed, aside = folded(spark, base, source, out, log)
+    assert rows(streamed) == rows(fold.fold_scrape_results(base, events(spark, sent))) and aside == set()
+    assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == 600  # thinned rows are counted
+
+
+def test_failures_behind_a_success_do_not_travel():
+    part = pd.DataFrame({"camis": ["a"] * 6 + ["b"], "seq": [6, 1, 2, 3, 4, 5, 1], "us": 0, "item_count": 1, "last_error": "",
+                         "status": ["failed", "failed", "scraped", "failed", "scraped", "failed", "failed"], "n": 1})
+    got = S.thin_results(part, "camis")
+    assert list(zip(got["camis"], got["seq"], got["n"], strict=True)) == [("a", 1, 1), ("a", 2, 2), ("a", 4, 3), ("b", 1, 1)]
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path, rows):
@@ -71,7 +106,7 @@ def test_stream_replay_equals_batch_replay(spark, tmp_path, rows):
     columns = ["menu_item_id", "business_id", "dish_name", "city", "embedding"]
     schema = "menu_item_id string, business_id string, dish_name string, city string, embedding array<float>"
     assert rows(read_current(spark, root, schema, ["menu_item_id"]), *columns) == rows(items.dropDuplicates(["menu_item_id"]), *columns)
-    assert spark.read.parquet(f"{bad}/batch=1").count() == rejects.count() == 1
+    assert spark.read.parquet(f"{bad}/batch=0").count() == rejects.count() == 1
 
 
 def test_mirror_failure_is_only_logged(spark, tmp_path):
@@ -97,9 +132,28 @@ def test_daily_counts_and_unique_jobs(spark, tmp_path, rows):
     got = rows(J.latest_values(spark, str(tmp_path / "c"), "day", "day STRING, n LONG"))
     batch = days.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).count()
     assert got == rows(batch)
-    unique = J.unique_jobs(stream, ["k"], "ts").select("k")
-    J.run_available(unique, J.batch_folder_sink(str(tmp_path / "u")), str(tmp_path / "log2")).awaitTermination()
-    assert rows(spark.read.schema("k long").parquet(str(tmp_path / "u")), "k") == [(0,), (1,)]
+
+
+def test_unique_jobs_and_late_ones(spark, tmp_path, rows):
+    source, out, log = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "log")
+    day = 86_400
+    parts = [
+        [("a", 10), ("a", 20), ("b", 5), (None, 7), (None, 8)],
+        [("a", 6 * day), ("a", 8 * day), ("c", 30 * day)],  # the watermark passes the first weeks after this batch
+        [("a", 9 * day), ("a", 9 * day + 1), ("d", 30 * day), ("c", 31 * day), ("x", None)],
+    ]
+    sent = []
+    for part in parts:
+        sent += part
+        df = spark.createDataFrame(part, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        unique = S.unique_jobs(J.file_stream(spark, source, "k string, ts timestamp"), ["k"], "ts", 7 * day)
+        J.run_available(unique, J.batch_folder_sink(out), log).awaitTermination()
+    got = spark.read.parquet(out)
+    every = spark.createDataFrame(sent, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).filter("ts IS NOT NULL")
+    twin = R.unique_in_period(every, ["k"], "ts", 7 * day)
+    assert rows(got.filter("kind = 'job'"), "k", "period") == rows(twin, "k", "period")
+    assert rows(got.filter("kind = 'late'"), "k", "period", "n") == [("a", 1, 2)]
 
 
 def test_import_from_high_water_mark(spark):
@@ -118,19 +172,9 @@ def test_unique_in_period(spark):
 
 def test_text_turned_null_leaves_no_chunks(spark, tmp_path, rows):
     root, schema = str(tmp_path / "t"), "review_id string, text string"
-    sink = J.index_sink(root, I.hashing_embedder(4), compact_every=2)
+    sink = J.index_sink(root, I.hashing_embedder(4))
     sink(spark.createDataFrame([("r1", "some words"), ("r2", "b")], schema), 0)
     sink(spark.createDataFrame([("r1", None)], schema), 1)
     assert rows(J.current_chunks(spark, root), "review_id", "chunk_text") == [("r2", "b")]
     sink(spark.createDataFrame([("r1", "back"), ("r2", "")], schema), 2)
     assert [r.chunk_text for r in J.current_chunks(spark, root).filter("chunk_text <> ''").collect()] == ["back"]
-
-
-def test_table_is_compacted_on_schedule(spark, tmp_path, rows):
-    root, schema = f"file://{tmp_path}/t", "k string, v int"
-    sink = J.merge_sink(root, schema, ["k"], lambda old, new: merge_upsert(old, new, ["k"]), compact_every=2)
-    for number, data in enumerate(([("a", 1), ("b", 1)], [("b", 2)], [("c", 3)])):
-        sink(spark.createDataFrame(data, schema), number)
-    assert bases(spark, root) == [2] and batches(spark, root) == [1, 2, 3]
-    assert rows(spark.read.parquet(f"{root}/batch=3")) == [("c", 3)]  # only what the batch touched
-    assert rows(read_current(spark, root, schema, ["k"])) == [("a", 1), ("b", 2), ("c", 3)]
