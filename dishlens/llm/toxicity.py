@@ -1,17 +1,20 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and their beginnings of four and five letters. A bounded sample of labelled documents teaches:
-near copies are taken once, one half names the terms that mark label 1 and the other half are the examples,
-so a term that only seemed to mark it loses its votes. Examples and documents are TF-IDF vectors over these
-terms, document frequencies counted over all documents. The examples stand in an inverted index whose
-postings come in blocks of `BLOCK` examples with the largest weight of each term in each block; blocks
-are visited in the order of their bound until no bound exceeds the k-th best cosine, so the nearest are exact.
-The score is the cosine-weighted vote of the nearest examples, drawn towards the rate of label 1 among all
-examples by `PRIOR` votes; documents without any of the terms get the rate among such examples.
-
-Rows: null and empty texts are scored like texts without terms; null labels don't teach, of contradicting labels
-of one id the larger counts; equal cosines rank by example number; equal texts have equal scores; without
-labels all scores are 0; extra columns are ignored.
+Terms are words and their beginnings of four and five letters. A bounded sample of labelled documents are the examples;
+their whole vocabulary makes the vectors. A term's weight is (1 + log tf) * idf, with document frequencies counted over all
+documents, times a factor of 1 or more for terms that mark label 1 in the sample, near copies counted once. So every
+text meets its nearest examples, whatever its words, and marking terms only draw texts that share them closer together.
+
+The examples stand in blocks of `BLOCK` in an inverted index: postings of a term come block by block with the largest weight
+of each block. The bound of a block is the sum of the text's weights times these; blocks are scored in the order of
+their bounds, and those whose bound is below the k-th best cosine are never opened, so the nearest are exact. The
+`DENSE` most frequent terms have a matrix instead of postings, blocks and maxima alike.
+The score is the vote of the nearest examples, each weighing 1 / (distance + NEAR)^2 with distance = 1 - cosine, drawn
+towards the rate of label 1 among all examples by `PRIOR` votes. A copy of an example so outvotes its other neighbours.
+
+Rows: null and empty texts, and texts without any word of the sample, get the rate of label 1; null labels don't teach, of
+contradicting labels of one id the larger counts; equal cosines rank by id; equal texts have equal scores; without
+labels all scores are 0; very long texts are read whole, as counts of the sample's terms; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from dishlens.llm.common import WordCache, id_mod, texts, written
 
 #: Bounds of the labelled sample, by label.
-TOXIC, CLEAN = 3_000, 9_000
-TERMS, NEIGHBOURS, BLOCK, PRIOR, SUSPECT = 1_000, 15, 64, 0.15, 0.7
+TOXIC, CLEAN = 1_000, 2_000
+NEIGHBOURS, BLOCK, DENSE, PRIOR, NEAR, SUSPECT = 15, 64, 256, 0.5, 0.05, 0.7
+#: A term marks label 1 if its root of twice the log-likelihood ratio is above SURE; each step above adds GAIN.
+SURE, GAIN = 5.0, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,74 +53,108 @@ def chunks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 
-@dataclass
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges start .. start + length, one after another."""
+    ends = lengths.cumsum()
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
-    """Examples over the chosen terms, their labels, and block maxima of each term's weights."""
-
-    terms: dict[str, int]
-    idf: np.ndarray
-    vectors: np.ndarray  # example x term, of length one
-    labels: np.ndarray
-    ids: np.ndarray
-    base_rate: float
-    blank_rate: float
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    bounds: np.ndarray | None = None
-
-    def __post_init__(self):
-        n_blocks = -(-len(self.vectors) // BLOCK)
-        self.bounds = np.zeros((len(self.idf), n_blocks), np.float32)
-        self.postings = [{} for _ in range(n_blocks)]
-        for block in range(n_blocks):
-            part = self.vectors[block * BLOCK: (block + 1) * BLOCK]
-            if part.size:
-                self.bounds[:, block] = part.max(0)
-            for term in np.flatnonzero(part.any(0)):
-                rows = np.flatnonzero(part[:, term])
-                self.postings[block][int(term)] = (rows, part[rows, term])
-        self.vectors = self.vectors[:0]  # the postings hold what isn't zero
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, exactly: (example numbers, cosines)."""
-        bound = weights @ self.bounds[terms]
-        best, least = [], 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < least - 1e-6):
-                break
-            score = np.zeros(BLOCK)
-            held = self.postings[block]
-            for term, weight in zip(terms.tolist(), weights, strict=True):
-                if term in held:
-                    rows, value = held[term]
-                    score[rows] += weight * value
-            for row in np.flatnonzero(score > 0):
-                best.append((-round(float(score[row]), 6), int(block) * BLOCK + int(row)))
-            if len(best) > k:
-                best = sorted(best)[:k]
+    """Examples as vectors over the terms, their labels, and block maxima of each term's weights."""
+
+    def __init__(self, terms: dict[str, int], weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids):
+        """`vectors` are (term numbers, weights) of length one; `weight` is idf times the factor, per term."""
+        self.terms, self.weight = terms, weight
+        labels, ids = np.asarray(labels, float), np.asarray(ids, np.int64)
+        self.base_rate = float(labels.mean()) if len(labels) else 0.0
+        often = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, int)]), minlength=len(weight))
+        frequent = np.argsort(-often, kind="stable")[:DENSE]
+        self.dense_of = np.full(len(weight), -1, np.int32)
+        self.dense_of[frequent] = np.arange(len(frequent))
+        # examples whose heaviest frequent term is the same, so mostly of one language, share blocks
+        heaviest = [max(((w, -c) for c, w in zip(self.dense_of[t], v, strict=True) if c >= 0), default=(0, 0))[1] for t, v in vectors]
+        order = np.lexsort((ids, np.array(heaviest, int))) if len(vectors) else np.zeros(0, int)
+        self.labels, self.ids = labels[order], ids[order]
+        self.n_blocks = -(-len(order) // BLOCK)
+        self.dense = np.zeros((self.n_blocks, BLOCK, len(frequent)), np.float32)
+        term, row, value = [], [], []
+        for at, example in enumerate(order):
+            t, v = vectors[example]
+            column = self.dense_of[t]
+            self.dense[at // BLOCK, at % BLOCK, column[column >= 0]] = v[column >= 0]
+            term.append(t[column < 0])
+            value.append(v[column < 0])
+            row.append(np.full((column < 0).sum(), at))
+        self.dense_most = self.dense.max(1, initial=0)
+        term, row, value = (np.concatenate(x) if x else np.zeros(0, int) for x in (term, row, value))
+        by = np.lexsort((row, term))
+        term, row, self.value = term[by], row[by], value[by].astype(np.float32)
+        self.place = (row % BLOCK).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(row // BLOCK) != 0))) if len(term) else np.zeros(0, int)
+        self.start, self.length = starts, np.diff(np.append(starts, len(term)))
+        self.block = (row[starts] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0, np.float32)
+        self.first = np.searchsorted(term[starts], np.arange(len(weight) + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k examples of largest cosine above 0, exactly: (example numbers, cosines), and how many blocks were opened."""
+        column = self.dense_of[terms]
+        query = np.zeros(self.dense.shape[2], np.float32)
+        query[column[column >= 0]] = weights[column >= 0]
+        rare = terms[column < 0]
+        many = self.first[rare + 1] - self.first[rare]
+        runs = spans(self.first[rare], many)
+        weight = np.repeat(weights[column < 0], many)
+        bound = self.dense_most @ query + np.bincount(self.block[runs], weight * self.most[runs], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best: list[tuple[float, int, int]] = []
+        opened, step = 0, 4
+        while opened < len(order) and (len(best) < k or bound[order[opened]] >= -best[-1][0] - 1e-5):
+            chosen = order[opened: opened + step]
             if len(best) == k:
-                least = -max(best)[0]
-        best.sort()
-        return np.array([b[1] for b in best], np.int64), np.array([-b[0] for b in best])
+                chosen = chosen[bound[chosen] >= -best[-1][0] - 1e-5]
+            cosines = self._open(chosen, query, runs, weight)
+            at, row = np.nonzero(cosines > 5e-7)
+            if len(at) > k:
+                high = np.partition(cosines[at, row], -k)[-k] - 1e-6
+                at, row = at[cosines[at, row] >= high], row[cosines[at, row] >= high]
+            numbers = chosen[at] * BLOCK + row
+            best += [(-round(float(c), 6), int(self.ids[n]), int(n)) for c, n in zip(cosines[at, row], numbers, strict=True)]
+            best = sorted(best)[:k]
+            opened += len(chosen)
+            step = len(order)  # what the first blocks left in question is scored at once
+        return np.array([b[2] for b in best], np.int64), np.array([-b[0] for b in best]), opened
+
+    def _open(self, blocks: np.ndarray, query: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of some blocks: block x place."""
+        at = np.full(self.n_blocks, -1)
+        at[blocks] = np.arange(len(blocks))
+        here = at[self.block[runs]]
+        runs, weight, here = runs[here >= 0], weight[here >= 0], here[here >= 0]
+        length = self.length[runs]
+        posting = spans(self.start[runs], length)
+        cells = np.repeat(here * BLOCK, length) + self.place[posting]
+        sums = np.bincount(cells, np.repeat(weight, length) * self.value[posting], len(blocks) * BLOCK)
+        return self.dense[blocks] @ query + sums.reshape(len(blocks), BLOCK)
 
     def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
         """Vote of the nearest examples and the ids of the three nearest."""
-        at, cosine = self.nearest(terms, weights, NEIGHBOURS)
-        if not len(at):
-            return self.blank_rate, []
-        votes = float(cosine @ self.labels[at]) + PRIOR * self.base_rate
-        return votes / (float(cosine.sum()) + PRIOR), [int(i) for i in self.ids[at[:3]]]
-
-
-def vector(hits: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and weights (1 + log tf) * idf of length one."""
-    counts = Counter(hits)
-    terms = np.array(sorted(counts), np.int64)
-    weights = np.array([1 + math.log(counts[t]) for t in terms]) * idf[terms]
+        at, cosine, _ = self.nearest(terms, weights, NEIGHBOURS)
+        votes = 1 / (np.maximum(1 - cosine, 0) + NEAR) ** 2
+        total = float(votes @ self.labels[at]) + PRIOR * self.base_rate
+        return total / (float(votes.sum()) + PRIOR), [int(i) for i in self.ids[at[:3]]]
+
+
+def vector(hits: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and weights (1 + log tf) * weight of length one."""
+    terms, counts = np.unique(np.array(hits, np.int64), return_counts=True)
+    weights = (1 + np.log(counts)) * weight[terms]
     return terms, weights / max(float(np.sqrt((weights**2).sum())), 1e-12)
 
 
 def lookup(terms: dict[str, int]) -> WordCache:
-    """Chunk -> the numbers of the chosen terms in it; None for the many that have none."""
+    """Chunk -> the numbers of the sample's terms in it; None for those that have none."""
     return WordCache(lambda c: tuple(terms[t] for t in terms_of(c) if t in terms) or None, 400_000)
 
 
@@ -138,7 +176,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, teaches: Column) -> Data
 
 
 def distinct_examples(sample: DataFrame) -> pd.DataFrame:
-    """(doc_id, label, half) without near copies: documents that share the smallest of their shingle hashes are one.
+    """(doc_id, label) without near copies: documents that share the smallest of their shingle hashes are one.
 
     Hashes of five words under three seeds; the sample's bound holds for what reaches the driver.
     """
@@ -160,43 +198,38 @@ def distinct_examples(sample: DataFrame) -> pd.DataFrame:
         for v, s in zip(values, seen, strict=True):
             s.add(v)
         keep.append(new)
-    kept = found[np.array(keep, bool)][["doc_id", "label"]].drop_duplicates("doc_id")
-    return kept.assign(half=[xxhash.xxh64_intdigest(str(i), 7) % 2 for i in kept["doc_id"]])
+    return found[np.array(keep, bool)][["doc_id", "label"]].drop_duplicates("doc_id")
 
 
-def marking_terms(sample: DataFrame, kept: pd.DataFrame) -> list[str]:
-    """Terms that mark label 1 in the first half: far more frequent there, beyond chance; the surest first."""
+def vocabulary(sample: DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """(term, n0, n1): every term of the sample, and how many of the kept documents of each label hold it."""
     labels = dict(zip(kept["doc_id"], kept["label"], strict=True))
-    size = Counter(labels.values())
-    if not size[0] or not size[1]:
-        return []
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [Counter(), Counter()]
+            found = [Counter(), Counter(), Counter()]
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if doc_id in labels:
-                    found[labels[doc_id]].update({t for c in chunks(text) for t in terms_of(c)})
-            rows = {t: (found[0][t], found[1][t]) for t in found[0] | found[1]}
+                found[labels.get(doc_id, 2)].update({t for c in chunks(text) for t in terms_of(c)})
+            rows = {t: (found[0][t], found[1][t]) for t in found[0] | found[1] | found[2]}
             yield pd.DataFrame([(t, *n) for t, n in rows.items()], columns=["term", "n0", "n1"])
 
-    counts = sample.select("doc_id", "text").mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
-    )
-    share = size[1] / (size[0] + size[1])
-    # log-likelihood of as many hits among label 1 as seen against chance, per term
-    hits, rate = F.col("n1") + F.col("n0"), F.greatest(F.col("n1") / (F.col("n1") + F.col("n0")), F.lit(1e-9))
-    miss = 1 - rate
-    gain = F.col("n1") * F.ln(rate / share) + F.when(miss > 0, F.col("n0") * F.ln(miss / (1 - share))).otherwise(0.0)
-    odds = (F.col("n1") + 0.5) / (F.col("n0") + 0.5) * (size[0] / size[1])
-    found = counts.filter((F.col("n1") >= 3) & (hits > 3)).withColumn("gain", gain).filter(
-        (F.col("gain") > 8.0) & (odds > 6.0)
-    ).orderBy(F.desc("gain"), "term").limit(TERMS)
-    return [r["term"] for r in found.select("term").collect()]
+    counts = sample.select("doc_id", "text").mapInPandas(count, "term string, n0 long, n1 long").groupBy("term")
+    return counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas().sort_values("term")
+
+
+def marking(n0: np.ndarray, n1: np.ndarray, clean: int, toxic: int) -> np.ndarray:
+    """Factor of each term: above 1 for terms more frequent with label 1 than chance explains, most for the purest."""
+    if not clean or not toxic:
+        return np.ones(len(n0))
+    share = toxic / (clean + toxic)
+    rate = np.clip(n1 / np.maximum(n0 + n1, 1), 1e-9, 1)
+    gain = n1 * np.log(rate / share) + n0 * np.log(np.clip(1 - rate, 1e-9, 1) / (1 - share))
+    purity = np.clip((rate - share) / (1 - share), 0, 1)
+    return 1 + GAIN * np.maximum(np.sqrt(2 * np.maximum(gain, 0)) - SURE, 0) * purity
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each chosen term occurs, and the number of documents."""
+    """In how many of all documents each term occurs, and the number of documents."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +242,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nda
         yield pd.DataFrame({"term": [-1, *at], "n": [n, *sums[at]]})
 
     rows = texts(docs).select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in rows.collect()}  # one row for each chosen term
+    found = {r["term"]: r["n"] for r in rows.collect()}  # one row for each term
     return np.array([found.get(t, 0) for t in range(len(terms))], float), int(found.get(-1, 0))
 
 
@@ -218,32 +251,22 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Index | None:
     kept = distinct_examples(sample)
     if kept.empty:
         return None
-    halves = [kept[kept["half"] == h] for h in (0, 1)]
-    terms = {t: k for k, t in enumerate(marking_terms(sample, halves[0]))}
+    found = vocabulary(sample, kept)
+    terms = {t: k for k, t in enumerate(found["term"])}
+    size = Counter(kept["label"])
+    factor = marking(found["n0"].to_numpy(float), found["n1"].to_numpy(float), size[0], size[1])
     frequency, n = document_frequencies(docs, terms)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
-    examples = halves[1] if len(halves[1]) else kept
-    label_of = dict(zip(examples["doc_id"], examples["label"], strict=True))
+    weight = (np.log((1 + n) / (1 + frequency)) + 1) * factor
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = lookup(terms)
+        cache = lookup(sent.value)
         for pdf in batches:
-            rows = [(d, hits_of(t, cache)) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if d in label_of]
-            yield pd.DataFrame(rows, columns=["doc_id", "hits"])
-
-    found = sample.select("doc_id", "text").mapInPandas(hits, "doc_id long, hits array<int>").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
-    y = np.array([label_of[d] for d in found["doc_id"]], float)
-    some = np.array([len(h) > 0 for h in found["hits"]], bool)
-    vectors = np.zeros((int(some.sum()), len(terms)), np.float32)
-    for row, h in zip(vectors, found["hits"][some], strict=True):
-        at, weight = vector(list(h), idf)
-        row[at] = weight
-    blank = y[~some]
-    return Index(
-        terms, idf, vectors, y[some], found["doc_id"].to_numpy(np.int64)[some], float(y.mean()),
-        float((blank.sum() + y.mean()) / (len(blank) + 1)),
-    )
+            yield pdf[["doc_id", "label"]].assign(hits=[hits_of(t, cache) for t in pdf["text"]])
+
+    rows = sample.mapInPandas(hits, "doc_id long, label int, hits array<int>").toPandas()
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    return Index(terms, weight, [vector(h, weight) for h in rows["hits"]], rows["label"], rows["doc_id"])
 
 
 # ---- scoring -------------------------------------------------------------------------------------
@@ -257,14 +280,14 @@ def scorer(index: Index | None):
 
     def score(text: str) -> tuple[float, list[int]]:
         hits = hits_of(text, cache)
-        return index.score(*vector(hits, index.idf)) if hits else (index.blank_rate, [])
+        return index.score(*vector(hits, index.weight)) if hits else (index.base_rate, [])
 
     return score
 
 
 def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     """(doc_id, score, evidence): evidence are the ids of the nearest examples."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer(sent.value)

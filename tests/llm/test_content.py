@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -125,17 +127,63 @@ def test_toxicity(spark, docs_of, odd):
     assert toxicity.toxicity(docs_of([]), given).collect() == []
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE", 5)
     rng = np.random.default_rng(2)
-    vectors = rng.random((300, 12)) * (rng.random((300, 12)) < 0.3)
+    vectors = rng.random((700, 40)) * (rng.random((700, 40)) < 0.1)
+    vectors[:250, 30:] = 0
     vectors /= np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-9)
-    index = toxicity.Index({}, np.ones(12), vectors.astype(np.float32), np.zeros(300), np.arange(300), 0.1, 0.1)
-    for _ in range(40):
-        terms = np.sort(rng.choice(12, 4, replace=False))
+    vectors = vectors.astype(np.float32)
+    rows = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
+    index = toxicity.Index({}, np.ones(40), rows, np.zeros(700), np.arange(700)[::-1])
+    opened = []
+    for _ in range(60):
+        terms = np.sort(rng.choice(40, 4, replace=False))
         weights = rng.random(4)
-        at, cosine = index.nearest(terms, weights, 9)
-        all_ = vectors.astype(np.float32)[:, terms] @ weights
-        assert np.allclose(np.sort(all_)[::-1][:9], cosine, atol=2e-6) and np.allclose(all_[at], cosine, atol=2e-6)
+        at, cosine, n = index.nearest(terms, weights, 9)
+        opened.append(n)
+        all_ = np.round(vectors[:, terms] @ weights, 6)
+        want = sorted(((-c, 699 - k) for k, c in enumerate(all_) if c > 0))[:9]
+        assert np.allclose([-c for c, _ in want], cosine, atol=2e-6)
+        assert np.allclose(all_[699 - index.ids[at]], cosine, atol=2e-6)
+    assert min(opened) < index.n_blocks
+
+
+def test_scores_and_evidence_by_definition(spark, docs_of):
+    """300 texts against all examples by plain cosines, no index."""
+    rows, labels = toxic_rows()
+    docs, given = docs_of(rows), spark.createDataFrame([(*r, 1) for r in labels], "doc_id long, toxic int, quality int")
+    index = toxicity.learn(docs, given, toxicity.teaching())
+    of = {t: k for t, k in index.terms.items()}
+    vectors, names = {}, {k: t for k, t in rows}
+    counts = lambda t: Counter(of[x] for c in toxicity.chunks(t) for x in toxicity.terms_of(c) if x in of)
+    for k, t in rows:
+        raw = {x: (1 + math.log(n)) * index.weight[x] for x, n in counts(t).items()}
+        size = math.sqrt(sum(w * w for w in raw.values()))
+        vectors[k] = {x: w / size for x, w in raw.items()}
+    label = dict(labels)
+    examples = [k for k in names if zlib.crc32(str(k).encode()) % 3 != 1]
+    base = sum(label[k] for k in examples) / len(examples)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, given).collect()}
+    for k in list(names)[:300]:
+        near = sorted((-round(sum(w * vectors[e].get(x, 0) for x, w in vectors[k].items()), 5), e) for e in examples)[:15]
+        votes = [1 / (max(1 + c, 0) + toxicity.NEAR) ** 2 for c, _ in near]
+        want = (sum(v * label[e] for v, (_, e) in zip(votes, near, strict=True)) + toxicity.PRIOR * base) / (sum(votes) + toxicity.PRIOR)
+        assert got[k].score == pytest.approx(want, abs=0.02)
+        if k in examples:
+            assert got[k].evidence[0] == k
+
+
+def test_copies_of_toxic_examples_of_their_own_wording(spark, docs_of):
+    """44 labelled toxic documents share no word that marks them; their copies are found by the neighbours alone."""
+    own = lambda k: " ".join(f"q{chr(97 + (k * 7 + i) % 26)}{chr(97 + (k + i * 5) % 26)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for i in range(30))
+    rows, labels = toxic_rows()
+    taught = [k for k in range(5000, 5200) if zlib.crc32(str(k).encode()) % 3 != 1][:44]
+    rows += [(k, own(k)) for k in taught] + [(k + 1000, own(k)) for k in taught]
+    given = spark.createDataFrame([(*r, 1) for r in labels] + [(k, 1, 1) for k in taught], "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs_of(rows), given).collect()}
+    for k in taught:
+        assert got[k + 1000].predicted == 1 and got[k + 1000].evidence[0] == k and got[k + 1000].score == got[k].score
 
 
 def test_licenses(spark):
