@@ -1,14 +1,14 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and their beginnings of four and five letters. A bounded sample of labelled documents are the examples;
+Terms are words and, of longer ones, their beginnings of five letters. A bounded sample of labelled documents are the examples;
 their whole vocabulary makes the vectors. A term's weight is (1 + log tf) * idf, with document frequencies counted over all
 documents, times a factor of 1 or more for terms that mark label 1 in the sample, near copies counted once. So every
 text meets its nearest examples, whatever its words, and marking terms only draw texts that share them closer together.
 
 The examples stand in blocks of `BLOCK` in an inverted index: postings of a term come block by block with the largest weight
-of each block. The bound of a block is the sum of the text's weights times these; blocks are scored in the order of
-their bounds, and those whose bound is below the k-th best cosine are never opened, so the nearest are exact. The
-`DENSE` most frequent terms have a matrix instead of postings, blocks and maxima alike.
+of each block. The `DENSE` most frequent terms have a matrix instead of postings, multiplied with many texts at once. The
+bound of a block is its largest product plus the text's other weights times the block's maxima; blocks are opened
+in the order of their bounds, and those whose bound is below the k-th best cosine never are, so the nearest are exact.
 The score is the vote of the nearest examples, each weighing 1 / (distance + NEAR)^2 with distance = 1 - cosine, drawn
 towards the rate of label 1 among all examples by `PRIOR` votes. A copy of an example so outvotes its other neighbours.
 
@@ -19,10 +19,10 @@ labels all scores are 0; very long texts are read whole, as counts of the sample
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,19 +33,21 @@ from pyspark.sql import functions as F
 from dishlens.llm.common import WordCache, id_mod, texts, written
 
 #: Bounds of the labelled sample, by label.
-TOXIC, CLEAN = 1_000, 2_000
-NEIGHBOURS, BLOCK, DENSE, PRIOR, NEAR, SUSPECT = 15, 64, 256, 0.5, 0.05, 0.7
+TOXIC, CLEAN = 500, 1_000
+START = 5
+NEIGHBOURS, BLOCK, DENSE, TEXTS, PRIOR, NEAR, SUSPECT = 15, 64, 2048, 64, 0.5, 0.05, 0.7
 #: A term marks label 1 if its root of twice the log-likelihood ratio is above SURE; each step above adds GAIN.
 SURE, GAIN = 5.0, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(chunk: str) -> tuple[str, ...]:
-    """Words of a chunk between blanks, and the beginnings of longer words (marked with a star)."""
+    """Words of a chunk between blanks, and the beginnings of words longer than START (marked with a star)."""
     out: list[str] = []
     for word in _WORD.findall(chunk.lower()):
         out.append(word)
-        out += [word[:n] + "*" for n in (4, 5) if len(word) > n]
+        if len(word) > START:
+            out.append(word[:START] + "*")
     return tuple(out)
 
 
@@ -76,16 +78,20 @@ class Index:
         order = np.lexsort((ids, np.array(heaviest, int))) if len(vectors) else np.zeros(0, int)
         self.labels, self.ids = labels[order], ids[order]
         self.n_blocks = -(-len(order) // BLOCK)
-        self.dense = np.zeros((self.n_blocks, BLOCK, len(frequent)), np.float32)
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(frequent)), np.float32)
+        self.query = np.zeros(len(weight))  # of the text at hand
+        # the examples as they are, for the cosines of those found
+        self.held = np.cumsum([0] + [len(vectors[e][0]) for e in order])
+        self.held_term = np.concatenate([vectors[e][0] for e in order] or [np.zeros(0, int)]).astype(np.int32)
+        self.held_value = np.concatenate([vectors[e][1] for e in order] or [np.zeros(0)]).astype(np.float32)
         term, row, value = [], [], []
         for at, example in enumerate(order):
             t, v = vectors[example]
             column = self.dense_of[t]
-            self.dense[at // BLOCK, at % BLOCK, column[column >= 0]] = v[column >= 0]
+            self.dense[at, column[column >= 0]] = v[column >= 0]
             term.append(t[column < 0])
             value.append(v[column < 0])
             row.append(np.full((column < 0).sum(), at))
-        self.dense_most = self.dense.max(1, initial=0)
         term, row, value = (np.concatenate(x) if x else np.zeros(0, int) for x in (term, row, value))
         by = np.lexsort((row, term))
         term, row, self.value = term[by], row[by], value[by].astype(np.float32)
@@ -96,38 +102,42 @@ class Index:
         self.most = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0, np.float32)
         self.first = np.searchsorted(term[starts], np.arange(len(weight) + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k examples of largest cosine above 0, exactly: (example numbers, cosines), and how many blocks were opened."""
-        column = self.dense_of[terms]
-        query = np.zeros(self.dense.shape[2], np.float32)
-        query[column[column >= 0]] = weights[column >= 0]
-        rare = terms[column < 0]
-        many = self.first[rare + 1] - self.first[rare]
-        runs = spans(self.first[rare], many)
-        weight = np.repeat(weights[column < 0], many)
-        bound = self.dense_most @ query + np.bincount(self.block[runs], weight * self.most[runs], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int, int]] = []
-        opened, step = 0, 4
-        while opened < len(order) and (len(best) < k or bound[order[opened]] >= -best[-1][0] - 1e-5):
-            chosen = order[opened: opened + step]
-            if len(best) == k:
-                chosen = chosen[bound[chosen] >= -best[-1][0] - 1e-5]
-            cosines = self._open(chosen, query, runs, weight)
-            at, row = np.nonzero(cosines > 5e-7)
-            if len(at) > k:
-                high = np.partition(cosines[at, row], -k)[-k] - 1e-6
-                at, row = at[cosines[at, row] >= high], row[cosines[at, row] >= high]
-            numbers = chosen[at] * BLOCK + row
-            best += [(-round(float(c), 6), int(self.ids[n]), int(n)) for c, n in zip(cosines[at, row], numbers, strict=True)]
-            best = sorted(best)[:k]
-            opened += len(chosen)
-            step = len(order)  # what the first blocks left in question is scored at once
-        return np.array([b[2] for b in best], np.int64), np.array([-b[0] for b in best]), opened
-
-    def _open(self, blocks: np.ndarray, query: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Cosines of all examples of some blocks: block x place."""
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text (terms, weights) the k examples of largest cosine above 0, exactly: (example numbers, cosines),
+        and how many blocks were opened."""
+        queries = np.zeros((len(texts), self.dense.shape[1]), np.float32)
+        for query, (terms, weights) in zip(queries, texts, strict=True):
+            column = self.dense_of[terms]
+            query[column[column >= 0]] = weights[column >= 0]
+        for products, (terms, weights) in zip(queries @ self.dense.T, texts, strict=True):
+            products = products.reshape(self.n_blocks, BLOCK)
+            rare = self.dense_of[terms] < 0
+            first = self.first[terms[rare]]
+            many = self.first[terms[rare] + 1] - first
+            runs, weight = spans(first, many), np.repeat(weights[rare], many)
+            bound = products.max(1, initial=0) + np.bincount(self.block[runs], weight * self.most[runs], self.n_blocks)
+            order = np.argsort(-bound, kind="stable")
+            opened, least, seen = 0, 5e-7, []
+            for step in (4, self.n_blocks):  # what the first blocks leave in question is opened at once
+                chosen = order[opened: opened + step]
+                chosen = chosen[bound[chosen] >= least - 1e-5]
+                if not len(chosen):
+                    break
+                cosines = products[chosen] + self._rest(chosen, runs, weight)
+                block, place = np.nonzero(cosines >= max(least - 1e-5, 2e-7))
+                seen.append((chosen[block] * BLOCK + place, cosines[block, place]))
+                opened += len(chosen)
+                so_far = np.concatenate([c for _, c in seen])
+                if k < len(so_far):
+                    least = max(least, float(np.partition(so_far, -k)[-k]))
+            found = np.concatenate([e[c >= least - 1e-5] for e, c in seen] or [np.zeros(0, int)])
+            found = found[found < len(self.ids)]
+            exact = self._cosines(found, terms, weights)
+            best = sorted((-c, int(self.ids[n]), int(n)) for c, n in zip(exact.tolist(), found.tolist(), strict=True) if c > 0)[:k]
+            yield np.array([b[2] for b in best], np.int64), np.array([-b[0] for b in best]), opened
+
+    def _rest(self, blocks: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings add to the products of all examples of some blocks: block x place."""
         at = np.full(self.n_blocks, -1)
         at[blocks] = np.arange(len(blocks))
         here = at[self.block[runs]]
@@ -136,14 +146,27 @@ class Index:
         posting = spans(self.start[runs], length)
         cells = np.repeat(here * BLOCK, length) + self.place[posting]
         sums = np.bincount(cells, np.repeat(weight, length) * self.value[posting], len(blocks) * BLOCK)
-        return self.dense[blocks] @ query + sums.reshape(len(blocks), BLOCK)
-
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
-        """Vote of the nearest examples and the ids of the three nearest."""
-        at, cosine, _ = self.nearest(terms, weights, NEIGHBOURS)
-        votes = 1 / (np.maximum(1 - cosine, 0) + NEAR) ** 2
-        total = float(votes @ self.labels[at]) + PRIOR * self.base_rate
-        return total / (float(votes.sum()) + PRIOR), [int(i) for i in self.ids[at[:3]]]
+        return sums.reshape(len(blocks), BLOCK)
+
+    def _cosines(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines in full precision, the same for equal texts whatever they were multiplied with."""
+        self.query[terms] = weights
+        first, length = self.held[examples], self.held[examples + 1] - self.held[examples]
+        at = spans(first, length)
+        parts = self.query[self.held_term[at]] * self.held_value[at]
+        self.query[terms] = 0
+        sums = np.zeros(len(examples))
+        full = length > 0
+        if full.any():
+            sums[full] = np.add.reduceat(parts, (length.cumsum() - length)[full])
+        return np.round(sums, 6)
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        """Votes of the nearest examples and the ids of the three nearest."""
+        for at, cosine, _ in self.nearest(texts, NEIGHBOURS):
+            votes = 1 / (np.maximum(1 - cosine, 0) + NEAR) ** 2
+            total = float(votes @ self.labels[at]) + PRIOR * self.base_rate
+            yield total / (float(votes.sum()) + PRIOR), [int(i) for i in self.ids[at[:3]]]
 
 
 def vector(hits: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +182,7 @@ def lookup(terms: dict[str, int]) -> WordCache:
 
 
 def hits_of(text: str, cache: WordCache) -> list[int]:
-    return [t for found in map(cache.__getitem__, chunks(text)) if found is not None for t in found]
+    return list(chain.from_iterable(filter(None, map(cache.__getitem__, chunks(text)))))
 
 
 # ---- learning ------------------------------------------------------------------------------------
@@ -273,14 +296,16 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Index | None:
 
 
 def scorer(index: Index | None):
-    """Function from a text to (score, evidence) with a cache of its own."""
+    """Function from texts to their (score, evidence), with a cache of its own."""
     if index is None:
-        return lambda text: (0.0, [])
+        return lambda texts: [(0.0, [])] * len(texts)
     cache = lookup(index.terms)
 
-    def score(text: str) -> tuple[float, list[int]]:
-        hits = hits_of(text, cache)
-        return index.score(*vector(hits, index.weight)) if hits else (index.base_rate, [])
+    def score(texts: list[str]) -> list[tuple[float, list[int]]]:
+        out: list[tuple[float, list[int]]] = []
+        for at in range(0, len(texts), TEXTS):
+            out += index.scores([vector(hits_of(t, cache), index.weight) for t in texts[at: at + TEXTS]])
+        return out
 
     return score
 
@@ -292,7 +317,7 @@ def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer(sent.value)
         for pdf in batches:
-            found = [score(t) for t in pdf["text"]]
+            found = score(pdf["text"].to_list())
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "score": [s for s, _ in found], "evidence": [e for _, e in found],
             })
@@ -321,6 +346,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3) -> DataFra
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = scorer(index.value)
         for text in batches:
-            yield text.fillna("").map(lambda t: score(t)[0])
+            yield pd.Series([s for s, _ in score(text.fillna("").to_list())], text.index, "float64")
 
     return docs.filter(rate("text") < SUSPECT)

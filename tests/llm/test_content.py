@@ -136,11 +136,8 @@ def test_block_max_search_is_exact(monkeypatch):
     vectors = vectors.astype(np.float32)
     rows = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
     index = toxicity.Index({}, np.ones(40), rows, np.zeros(700), np.arange(700)[::-1])
-    opened = []
-    for _ in range(60):
-        terms = np.sort(rng.choice(40, 4, replace=False))
-        weights = rng.random(4)
-        at, cosine, n = index.nearest(terms, weights, 9)
+    opened, asked = [], [(np.sort(rng.choice(40, 4, replace=False)), rng.random(4)) for _ in range(60)]
+    for (terms, weights), (at, cosine, n) in zip(asked, index.nearest(asked, 9), strict=True):
         opened.append(n)
         all_ = np.round(vectors[:, terms] @ weights, 6)
         want = sorted(((-c, 699 - k) for k, c in enumerate(all_) if c > 0))[:9]
@@ -202,6 +199,66 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.filter("false")).collect() == []
 
 
+def whole_files():
+    """Complete licence files: the title, and for long licences a body of which no paragraph is a template."""
+    body = "\n\n".join(prose(k, 120) + "." for k in range(6))
+    mit, bsd, isc = (list(x) for x in (licenses._MIT, licenses._BSD, licenses._ISC))
+    reserved = "Copyright (c) 2024, Jane Doe. All rights reserved."
+    files = [
+        ("apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n\n" + body),
+        ("gpl-2", "GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + body),
+        ("gpl-3", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + body),
+        ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\n" + body),
+        ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + body),
+        ("mpl-2.0", "Mozilla Public License Version 2.0\n==================================\n\n" + body),
+        ("cc0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n" + body),
+        ("artistic-2.0", "The Artistic License 2.0\n\n" + body),
+        ("isc", "ISC License\n\nCopyright (c) 2024 Jane Doe\n\n" + "\n\n".join(isc)),
+        ("mit", "MIT License\n\n" + reserved + "\n\n" + "\n\n".join(mit)), ("mit", reserved + "\n\n" + "\n\n".join(mit)),
+        ("bsd", reserved + "\n\n" + "\n\n".join(bsd)), ("bsd", "BSD License\n\nAll rights reserved.\n\n" + "\n\n".join(bsd)),
+        ("all-rights-reserved", "All rights reserved."),
+    ]
+    return [(want, text) for want, text in files]
+
+
+def test_complete_licence_files_speak_for_their_directories(spark):
+    files = whole_files()
+    rows = [(2 * k, f"d{k}/LICENSE", text) for k, (_, text) in enumerate(files)] + [
+        (2 * k + 1, f"d{k}/src/x", prose(k + 40, 60)) for k in range(len(files))]
+    rows += [(900, "e/empty", ""), (901, "e/long", "\n".join(prose(k, 50) for k in range(300))), (902, "e/long", "x"), (902, "e/long", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)
+    got = licenses.scan_licenses(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for k, (want, _) in enumerate(files):
+        assert (by[2 * k].own_license, by[2 * k].license_file) == (want, True), want
+        assert (by[2 * k + 1].own_license, by[2 * k + 1].license, by[2 * k + 1].inherited_from) == (None, want, f"d{k}")
+    assert by[900].license is None and by[901].license is None and by[902].license is None
+
+
+def test_segments_by_plain_cosine():
+    """Every line of the files above against every template by a plain definition."""
+    idf = np.linspace(1, 9, len(licenses._vocabulary()))
+    matcher = licenses.Matcher(idf, 9.5)
+    place = licenses._vocabulary()
+    for _, text in whole_files():
+        for line in text.split("\n")[:12]:
+            counts = Counter(licenses.words(line))
+            if not counts:
+                continue
+            weigh = lambda c: {w: n * (idf[place[w]] if w in place else 9.5) for w, n in c.items()}
+            v = weigh(counts)
+            size = lambda x: math.sqrt(sum(a * a for a in x.values()))
+            best = 0.0
+            for name in sorted(licenses.TEMPLATES):
+                for wording in licenses.TEMPLATES[name]:
+                    t = weigh(Counter(licenses.words(wording)))
+                    best = max(best, sum(v[w] * t.get(w, 0) for w in v) / size(v) / size(t))
+            assert matcher.cosine(line)[0] == pytest.approx(best, abs=1e-9)
+            if best >= licenses.SURE:
+                assert matcher.scan(line)[1] == pytest.approx(best, abs=1e-9)
+
+
 def test_license_segments(spark):
     def wrapped(text, prefix=""):
         return "\n".join(prefix + line for line in textwrap.wrap(text, 72))
