@@ -3,16 +3,17 @@
 A document's lines, paragraphs, sentences and runs of up to `RUN` adjacent ones of these within a paragraph are compared with
 the templates, which are notices and the paragraphs of licence texts and headers: TF-IDF vectors over
 words, document frequencies of the templates' words counted over all documents, words of no template
-weighing as rare ones. A segment of cosine `SURE` or more states the nearest template's licence; the best
-segment is the document's. A document most of whose words stand in such segments is a licence file and speaks for its
-directory. A document without a licence of its own inherits that of the nearest directory above it
+weighing as rare ones. A segment of cosine `SURE` or more states the nearest template's licence. The document's licence is
+the one whose segments hold most words, each counting with its cosine; a reservation of all rights only counts where
+nothing is granted. A document most of whose words stand in such segments, or whose first two lines hold the title
+of a licence text, is a licence file and speaks for its directory. A document without a licence of its own inherits that of the nearest directory above it
 that has a licence file: directories are joined with their ancestors by path, and documents with directories.
 
 Only segments that could reach `SURE` by their template words are compared, which loses none.
 
-Rows: null and empty texts state nothing; null paths inherit nothing; equal cosines go to the first template by name; of
-several licence files in a directory the one of highest cosine, then smallest id, speaks; empty tables give empty
-results; extra columns are ignored.
+Rows: null and empty texts state nothing; null paths inherit nothing; equal masses go to the first licence by name; of
+several licence files in a directory the one of highest cosine, then smallest id, speaks; repeated rows stay; very long
+texts are read whole, in pieces of lines and sentences; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dishlens.llm.common import WordCache, written
+from dishlens.operators.joins import join_unique
 
 SURE, FILE_SHARE = 0.75, 0.5
 
@@ -70,6 +72,15 @@ _MPL = (
     "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 )
 
+_ISC = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+    "that the above copyright notice and this permission notice appear in all copies.",
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+]
+
 
 def _gnu(kind: str, version: int) -> list[str]:
     """The header of a GNU licence: its first paragraph, and the whole."""
@@ -114,6 +125,24 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", _MPL],
     "public-domain": ["This work is dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
 }
+#: Titles that licence texts open with.
+TITLES = {
+    "apache-2.0": ["Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "artistic-2.0": ["The Artistic License 2.0", "Artistic License 2.0"],
+    "cc0": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "gpl-2": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl-3": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "isc": ["ISC License"],
+    "lgpl": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ],
+    "mit": ["The MIT License", "MIT License"],
+    "mpl-2.0": ["Mozilla Public License Version 2.0"],
+}
+for _name, _titles in TITLES.items():
+    TEMPLATES[_name] = [*TEMPLATES.get(_name, []), *_titles]
+TEMPLATES["isc"] += _ISC
+RESERVED = "all-rights-reserved"
 _WORD = re.compile(r"\w+(?:\.\d+)*")
 
 
@@ -130,9 +159,10 @@ class Matcher:
 
     def __init__(self, idf: np.ndarray, rare: float, sure: float = SURE):
         self.vocabulary, self.idf, self.rare, self.sure = _vocabulary(), idf, rare, sure
-        self.names, rows = [], []
+        self.names, self.title, rows = [], [], []
         for name in sorted(TEMPLATES):
             for wording in TEMPLATES[name]:
+                self.title.append(wording in TITLES.get(name, ()))
                 row = np.zeros(len(idf))
                 for word, n in Counter(words(wording)).items():
                     row[self.vocabulary[word]] = n * idf[self.vocabulary[word]]
@@ -152,7 +182,8 @@ class Matcher:
         known = [self.vocabulary[w] for w in found if w in self.vocabulary]
         return len(found), float(sum(self.idf[k] for k in known)), len(found) - len(known), sum(k in self.heavy for k in known)
 
-    def cosine(self, segment: str) -> tuple[float, str]:
+    def cosine(self, segment: str) -> tuple[float, int]:
+        """Cosine to the nearest template, and its number."""
         counts = Counter(words(segment))
         row, square = np.zeros(len(self.idf)), 0.0
         for word, n in counts.items():
@@ -162,10 +193,10 @@ class Matcher:
             if at is not None:
                 row[at] = weight
         if not square:
-            return 0.0, self.names[0]
+            return 0.0, 0
         values = self.templates @ row / np.sqrt(square)
         best = int(values.argmax())
-        return float(values[best]), self.names[best]
+        return float(values[best]), best
 
     def _segments(self, pieces: list[tuple[int, int, int, int]], facts: np.ndarray) -> list[tuple[int, int]]:
         """Bounds, in chunks, of the runs of pieces (start, end, line, paragraph) that could reach `sure`.
@@ -185,8 +216,16 @@ class Matcher:
         may &= paragraph[first] == paragraph[last]
         return sorted({(int(a), int(b)) for a, b in zip(start[first[may]], end[last[may]], strict=True)})
 
+    @staticmethod
+    def _lines(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+        """Bounds of the lines that hold a word, in order."""
+        ends: dict[int, tuple[int, int]] = {}
+        for a, b, line, _ in pieces:
+            ends[line] = (ends.get(line, (a, b))[0], b)
+        return list(ends.values())
+
     def scan(self, text: str) -> tuple[str | None, float, float]:
-        """(licence, cosine, share of the words in licence segments)."""
+        """(licence, its best cosine, share of the words in licence segments; 1 for a text that opens with a title)."""
         parts, pieces, paragraph = [], [], 0
         lines = [line.replace("\t", " ").split(" ") for line in text.split("\n")]
         found = [[self.facts[p] for p in line] for line in lines]
@@ -202,14 +241,22 @@ class Matcher:
             bounds = [at, *cuts, len(parts)]
             pieces += [(a, b, number, paragraph) for a, b in zip(bounds, bounds[1:], strict=False)]
         facts = np.array([f for line in found for f in line], float)
-        best, licence, stated = 0.0, None, np.zeros(len(parts), bool)
+        masses: dict[str, np.ndarray] = {}
+        titled = False
+        openings = [next(k for k in range(a, b) if facts[k, 0]) for a, b in self._lines(pieces)[:2]]
         for a, b in self._segments(pieces, facts):
-            value, name = self.cosine(" ".join(parts[a:b]))
+            value, at = self.cosine(" ".join(parts[a:b]))
             if value >= self.sure:
-                stated[a:b] = True
-                if value > best + 1e-12:
-                    best, licence = value, name
-        return licence, best, float(facts[stated, 0].sum() / facts[:, 0].sum())
+                mass = masses.setdefault(self.names[at], np.zeros(len(parts)))
+                mass[a:b] = np.maximum(mass[a:b], value)
+                titled |= self.title[at] and any(a <= o < b for o in openings)
+        if not masses:
+            return None, 0.0, 0.0
+        granted = {n: float(m @ facts[:, 0]) for n, m in masses.items() if n != RESERVED}
+        licence = max(sorted(granted), key=granted.__getitem__) if granted else RESERVED
+        stated = np.any([m > 0 for m in masses.values()], 0)
+        share = 1.0 if titled else float(facts[stated, 0].sum() / facts[:, 0].sum())
+        return licence, float(masses[licence].max()), share
 
 
 def corpus_weights(docs: DataFrame) -> tuple[np.ndarray, float]:
@@ -273,8 +320,11 @@ def scan_licenses(files: DataFrame, sure: float = SURE) -> DataFrame:
     nearest = up.join(speaking, "above").groupBy("directory").agg(
         F.max_by(F.struct("spoken", "above"), F.length("above")).alias("n")
     )
-    left = found.withColumn("directory", F.when(F.col("own_license").isNull(), directory))
-    return left.join(nearest, "directory", "left").select(
-        "doc_id", "path", "own_license", "cosine", "license_file",
-        F.coalesce("own_license", "n.spoken").alias("license"), F.col("n.above").alias("inherited_from"),
+    own = found.filter("own_license IS NOT NULL").withColumns({"license": F.col("own_license"), "inherited_from": F.lit(None).cast("string")})
+    # only files without a licence of their own are joined, a directory's many files from several tasks
+    bare = found.filter("own_license IS NULL").withColumn("directory", directory)
+    left = join_unique(bare, nearest, ["directory"], "left", ["doc_id", "path"]).withColumns(
+        {"license": F.col("n.spoken"), "inherited_from": F.col("n.above")}
     )
+    columns = ["doc_id", "path", "own_license", "cosine", "license_file", "license", "inherited_from"]
+    return own.select(*columns).unionByName(left.select(*columns))
