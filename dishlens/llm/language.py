@@ -16,7 +16,6 @@ as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,6 @@ from dishlens.llm.common import id_mod, texts
 SPACES = {1: 10, 2: 12, 3: 14}
 WIDTH = sum(1 << b for b in SPACES.values())
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 400, 4_000, 96, 1e-3, 5.0
-_LETTER = re.compile(r"[^\W\d_]")
 _WINDOW, _ROWS = 1 << 20, 128
 
 
@@ -140,7 +138,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for pdf in batches:
             text = pdf["text"].to_numpy(object)
             lang, share = np.full(len(text), "und", object), np.zeros(len(text))
-            usable = [k for k, t in enumerate(text) if _LETTER.search(t)] if model else []
+            usable = [k for k, t in enumerate(text) if any(map(str.isalpha, t))] if model else []
             for start in range(0, len(usable), _ROWS):
                 part = usable[start: start + _ROWS]
                 dense[:] = 0
