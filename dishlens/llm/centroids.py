@@ -270,7 +270,7 @@ def sql(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) -> str:
     """The same in SQL: one pair of subqueries a round, every vector against every centroid."""
     near = (
         "{name} AS MATERIALIZED (SELECT r, min(vec_id) AS vec_id, arg_min(k, d * {k} + k) AS k, min(d) AS d FROM ("
-        "SELECT v.r, v.vec_id, c.k, CAST(list_sum(list_transform(range(1, {w} + 1), i -> (v.x[i] - c.c[i]) * (v.x[i] - c.c[i]))) AS BIGINT) AS d "
+        "SELECT v.r, v.vec_id, c.k, CAST(list_sum(list_transform(range(1, {w} + 1), lambda i: (v.x[i] - c.c[i]) * (v.x[i] - c.c[i]))) AS BIGINT) AS d "
         "FROM kept v, {of} c) GROUP BY r)"
     )
     step = (
@@ -282,9 +282,9 @@ def sql(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) -> str:
     parts = [
         f"""usable AS (
   SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
-  WHERE len(embedding) = {width} AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = {width}),
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {width}),
 kept AS MATERIALIZED (
-  SELECT r, vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM usable),
+  SELECT r, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM usable),
 parts AS MATERIALIZED (SELECT r, unnest(range(1, {width} + 1)) AS i, unnest(x) AS x FROM kept),
 c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS k, x AS c FROM kept
