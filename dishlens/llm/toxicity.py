@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dishlens.llm.common import WordCache, id_mod, texts, written
+from dishlens.llm.common import id_mod, texts, written
 
 #: Bounds of the labelled sample, by label.
 TOXIC, CLEAN = 500, 1_000
@@ -41,18 +40,10 @@ SURE, GAIN = 5.0, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(chunk: str) -> tuple[str, ...]:
-    """Words of a chunk between blanks, and the beginnings of words longer than START (marked with a star)."""
-    out: list[str] = []
-    for word in _WORD.findall(chunk.lower()):
-        out.append(word)
-        if len(word) > START:
-            out.append(word[:START] + "*")
-    return tuple(out)
-
-
-def chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").split(" ")
+def terms_of(text: str) -> list[str]:
+    """Words of a text, and the beginnings of words longer than START (marked with a star)."""
+    found = _WORD.findall(text.lower())
+    return found + [word[:START] + "*" for word in found if len(word) > START]
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -176,13 +167,16 @@ def vector(hits: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return terms, weights / max(float(np.sqrt((weights**2).sum())), 1e-12)
 
 
-def lookup(terms: dict[str, int]) -> WordCache:
-    """Chunk -> the numbers of the sample's terms in it; None for those that have none."""
-    return WordCache(lambda c: tuple(terms[t] for t in terms_of(c) if t in terms) or None, 400_000)
+def lookup(terms: dict[str, int]) -> Callable[[str], list[int]]:
+    """Function from a text to the numbers of the sample's terms in it, repeats included."""
+    starts = {t[:-1]: n for t, n in terms.items() if t[-1] == "*"}
 
+    def hits(text: str) -> list[int]:
+        found = _WORD.findall(text.lower())
+        out = [n for n in map(terms.get, found) if n is not None]
+        return out + [n for n in map(starts.get, [w[:START] for w in found if len(w) > START]) if n is not None]
 
-def hits_of(text: str, cache: WordCache) -> list[int]:
-    return list(chain.from_iterable(filter(None, map(cache.__getitem__, chunks(text)))))
+    return hits
 
 
 # ---- learning ------------------------------------------------------------------------------------
@@ -232,7 +226,7 @@ def vocabulary(sample: DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         for pdf in batches:
             found = [Counter(), Counter(), Counter()]
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found[labels.get(doc_id, 2)].update({t for c in chunks(text) for t in terms_of(c)})
+                found[labels.get(doc_id, 2)].update(set(terms_of(text)))
             rows = {t: (found[0][t], found[1][t]) for t in found[0] | found[1] | found[2]}
             yield pd.DataFrame([(t, *n) for t, n in rows.items()], columns=["term", "n0", "n1"])
 
@@ -256,11 +250,11 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nda
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, sums, n = lookup(sent.value), np.zeros(len(sent.value), np.int64), 0
+        hits, sums, n = lookup(sent.value), np.zeros(len(sent.value), np.int64), 0
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
-                sums[list(set(hits_of(text, cache)))] += 1
+                sums[list(set(hits(text)))] += 1
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"term": [-1, *at], "n": [n, *sums[at]]})
 
@@ -283,9 +277,9 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Index | None:
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = lookup(sent.value)
+        found = lookup(sent.value)
         for pdf in batches:
-            yield pdf[["doc_id", "label"]].assign(hits=[hits_of(t, cache) for t in pdf["text"]])
+            yield pdf[["doc_id", "label"]].assign(hits=[found(t) for t in pdf["text"]])
 
     rows = sample.mapInPandas(hits, "doc_id long, label int, hits array<int>").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
@@ -296,15 +290,15 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Index | None:
 
 
 def scorer(index: Index | None):
-    """Function from texts to their (score, evidence), with a cache of its own."""
+    """Function from texts to their (score, evidence)."""
     if index is None:
         return lambda texts: [(0.0, [])] * len(texts)
-    cache = lookup(index.terms)
+    hits = lookup(index.terms)
 
     def score(texts: list[str]) -> list[tuple[float, list[int]]]:
         out: list[tuple[float, list[int]]] = []
         for at in range(0, len(texts), TEXTS):
-            out += index.scores([vector(hits_of(t, cache), index.weight) for t in texts[at: at + TEXTS]])
+            out += index.scores([vector(hits(t), index.weight) for t in texts[at: at + TEXTS]])
         return out
 
     return score

@@ -153,7 +153,7 @@ def test_scores_and_evidence_by_definition(spark, docs_of):
     index = toxicity.learn(docs, given, toxicity.teaching())
     of = {t: k for t, k in index.terms.items()}
     vectors, names = {}, {k: t for k, t in rows}
-    counts = lambda t: Counter(of[x] for c in toxicity.chunks(t) for x in toxicity.terms_of(c) if x in of)
+    counts = lambda t: Counter(of[x] for x in toxicity.terms_of(t) if x in of)
     for k, t in rows:
         raw = {x: (1 + math.log(n)) * index.weight[x] for x, n in counts(t).items()}
         size = math.sqrt(sum(w * w for w in raw.values()))
