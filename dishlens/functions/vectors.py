@@ -77,7 +77,8 @@ def _arrow_certainty(query: list[float]):
         out[fits.to_numpy(zero_copy_only=False)] = values
         return pa.array(out, mask=np.isnan(out))
 
-    return score
+    # nondeterministic in name only: a filter on the score must not evaluate it a second time
+    return score.asNondeterministic()
 
 
 def dimension_error(vector: Column | str, dim: int) -> Column:

@@ -65,6 +65,13 @@ def _width(rows: DataFrame, vector: str) -> int | None:
     return found["low"]
 
 
+def common_width(rows: DataFrame, vector: str) -> int | None:
+    """The width most vectors have, of equally many the smaller; None if there are none."""
+    sizes = rows.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("width")).count()
+    found = sizes.orderBy(F.desc("count"), "width").first()
+    return found["width"] if found else None
+
+
 def nearest_batch(
     table: DataFrame, vector: str, id_col: str,
     queries: DataFrame, query_vector: str, query_id: str,

@@ -11,7 +11,7 @@ from dishlens.functions.arrays import ingredient_names, or_empty, strip_tag_loca
 from dishlens.functions.text import name_key, trim_space
 from dishlens.operators.filters import catalog_filter
 from dishlens.operators.joins import join_unique
-from dishlens.operators.knn import nearest_match
+from dishlens.operators.knn import common_width, nearest_match
 from dishlens.operators.merge import delete_keys, insert_absent, last_of_batch, merge_upsert
 from dishlens.operators.paging import paginate
 
@@ -126,40 +126,39 @@ def delete_entries(catalog: DataFrame, names: DataFrame) -> DataFrame:
 
 def lookup(
     ingredients: DataFrame, catalog: DataFrame, vectors: bool = False, threshold: float | None = None,
-    salt_by: Sequence[str] = ("item_id",),
+    salt_by: Sequence[str] = ("item_id",), dim: int | None = None,
 ) -> DataFrame:
     """Catalog match of each row (item_id, ingredient[, embedding]): by name first, else nearest.
 
     The nearest entry counts as found however far it is, unless a threshold is set. Adds
     `matched`, `level`, `groups`, `certainty`; unmatched rows carry NULLs. `salt_by` tells rows apart,
-    so that an ingredient in every product can be spread.
+    so that an ingredient in every product can be spread. Vectors of another width than `dim`, by default
+    the width most catalog entries have, match nothing (`split_by_dimension` lists them); the result has no vectors.
     """
     facts = catalog.select(
         F.col("ingredient").alias("_key"), F.col("ingredient").alias("matched"), "level", "groups"
     )
     keyed = ingredients.withColumn("_key", name_key("ingredient"))
-    exact = join_unique(keyed, facts, ["_key"], "left", salt_by)
     if not vectors:
+        exact = join_unique(keyed, facts, ["_key"], "left", salt_by)
         certain = F.when(F.col("matched").isNotNull(), F.lit(1.0))
         return exact.withColumn("certainty", certain).drop("_key")
-    open_rows = exact.filter("matched IS NULL").select("item_id", "embedding")
-    pairs = nearest_match(open_rows, "embedding", "item_id", catalog, "embedding", "ingredient")
-    pairs = pairs.withColumnRenamed("ingredient", "_near").withColumnRenamed("certainty", "_certainty")
+    dim = common_width(catalog, "embedding") if dim is None else dim
+    # Only rows that no name matches need vectors, and these never cross a join with facts.
+    names = facts.select("_key")
+    unnamed = keyed.select("_key", "item_id", "embedding").join(names, "_key", "left_anti")
+    found = nearest_match(unnamed, "embedding", "item_id", catalog, "embedding", "ingredient", dim=dim or 1)
     if threshold is not None:
-        pairs = pairs.filter(F.col("_certainty") >= threshold)
-    near_facts = catalog.select(
-        F.col("ingredient").alias("_near"), F.col("level").alias("_level"), F.col("groups").alias("_groups")
-    )
-    found = join_unique(pairs, near_facts, ["_near"], "inner", ["item_id"])
-    joined = exact.join(found, "item_id", "left")
-    hit = F.col("matched").isNotNull()
-    return joined.select(
-        *[c for c in ingredients.columns],
-        F.coalesce("matched", "_near").alias("matched"),
-        F.coalesce("level", "_level").alias("level"),
-        F.coalesce("groups", "_groups").alias("groups"),
-        F.when(hit, F.lit(1.0)).otherwise(F.col("_certainty")).alias("certainty"),
-    )
+        found = found.filter(F.col("certainty") >= threshold)
+    found = found.select("item_id", F.col("ingredient").alias("_near"), "certainty")
+    rest = keyed.drop("embedding").join(found, "item_id", "left")
+    # A row is looked up once: under its own name, or else under that of its nearest entry.
+    asked = rest.withColumn("_key", F.coalesce("_near", "_key"))
+    joined = join_unique(asked, facts, ["_key"], "left", salt_by)
+    named = F.col("matched").isNotNull() & F.col("_near").isNull()
+    out = joined.withColumn("certainty", F.when(named, F.lit(1.0)).otherwise(F.col("certainty")))
+    kept = [c for c in ingredients.columns if c != "embedding"]
+    return out.select(*kept, "matched", "level", "groups", "certainty")
 
 
 def level_rank(level: Column) -> Column:

@@ -18,6 +18,9 @@ from dishlens.operators.filters import SearchFilter
 from dishlens.operators.joins import join_unique
 from dishlens.operators.spread import spread_small
 
+# Rows of an answer, with a chunk of bounded length each, that may be sent to every task.
+MAX_ANSWER = 5_000
+
 _PLACE = ("business_name", "city", "state", "categories")
 
 
@@ -130,17 +133,22 @@ def rank_reviews(
         best_chunks(chunks, query).join(kept, "review_id", "left_semi")
         .orderBy(F.desc_nulls_last("certainty"), F.asc("review_id")).limit(limit)
     )
-    return _with_texts(top, chunks, reviews).orderBy(
+    return _with_texts(top, chunks, reviews, limit).orderBy(
         F.desc_nulls_last("certainty"), F.asc("review_id")
     )
 
 
-def _with_texts(top: DataFrame, chunks: DataFrame, reviews: DataFrame) -> DataFrame:
-    # `top` holds at most the requested rows: it is the side that may be broadcast.
+def _with_texts(top: DataFrame, chunks: DataFrame, reviews: DataFrame, limit: int) -> DataFrame:
+    """Chunk and review texts of an answer of at most `limit` rows.
+
+    Up to MAX_ANSWER rows it is sent to the tasks that read the texts (a chunk's length is bounded); a larger
+    answer is joined as Spark sees fit.
+    """
+    send = F.broadcast if limit <= MAX_ANSWER else lambda df: df
     texts = reviews.select("review_id", "business_id", "business_name", "city", "state", "text")
     parts = chunks.select("chunk_id", "chunk_text")
-    found = parts.join(F.broadcast(top), "chunk_id")
-    return texts.join(F.broadcast(found), "review_id")
+    found = parts.join(send(top), "chunk_id")
+    return texts.join(send(found), "review_id")
 
 
 def hybrid_reviews(
@@ -152,7 +160,7 @@ def hybrid_reviews(
     order = [F.desc_nulls_last("certainty"), F.asc("chunk_id")]
     near = score_chunks(chunks, query).join(kept, "review_id", "left_semi").orderBy(*order).limit(limit)
     top = top_per_key(near, ["review_id"], order)
-    scored = _with_texts(top, chunks, reviews).withColumn(
+    scored = _with_texts(top, chunks, reviews, limit).withColumn(
         "score", blend(F.col("certainty"), bm25(query_text, tokens("text")), alpha)
     )
     return scored.orderBy(F.desc("score"), F.asc("review_id"))

@@ -60,30 +60,36 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def decode_json(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
-    """Typed rows of JSON lines; field names match without case, malformed lines are dropped.
+def _named(name: str):
+    return lambda entry: entry["k"] == name.lower()
 
-    A member of the wrong type makes the line malformed. Absent members become '' or 0.
+
+def decode_json(lines: DataFrame, schema: str, value: str = "value", strict: bool = False) -> DataFrame:
+    """Typed rows of JSON lines; field names match without case, a repeated name counts with its last value.
+
+    A member of the wrong type makes a line malformed; absent members become '' or 0. Malformed lines are dropped, or,
+    if `strict`, end the job with the line in the message. No session setting matters for the names of a line's object.
     """
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
-    members = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
-    folded = F.map_from_entries(
-        F.transform(
-            F.map_entries(members), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"])
-        )
-    )
-
-    def row(by_name: Column) -> Column:
-        good: Column = by_name.isNotNull()
+    # Read as a map, an object keeps all its entries in their order.
+    entries = F.map_entries(F.from_json(value, "map<string,variant>"))
+    folded = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def row(members: Column) -> Column:
+        good: Column = members.isNotNull()
         outputs = []
         for name, kind in fields:
-            leaf = F.try_element_at(by_name, F.lit(name.lower()))
+            leaf = F.try_element_at(F.filter(members, _named(name)), F.lit(-1))["v"]
             shape = F.coalesce(F.schema_of_variant(leaf), F.lit("VOID"))
             wanted = "STRING" if kind == "STRING" else "BIGINT|DOUBLE|DECIMAL|TINYINT|SMALLINT|INT|FLOAT"
             good &= shape.rlike(f"^({wanted}|VOID)")
             blank = F.lit("") if kind == "STRING" else F.lit(0)
             picked = F.try_variant_get(leaf, "$", kind.lower())
             outputs.append(F.coalesce(picked, blank.cast(kind.lower())).alias(name))
+        if strict:
+            return F.when(good, F.struct(*outputs)).otherwise(
+                F.raise_error(F.concat(F.lit("malformed line: "), F.coalesce(F.substring(F.col(value), 1, 200), F.lit("NULL"))))
+            )
         return F.when(good, F.struct(*outputs))
 
     # A line becomes an array of one row or none, so it is parsed once and filtered on the way.
@@ -91,8 +97,8 @@ def decode_json(lines: DataFrame, schema: str, value: str = "value") -> DataFram
     return lines.select(*keep, F.inline(F.array_compact(F.array(let(folded, row)))))
 
 
-def reviews(lines: DataFrame) -> DataFrame:
-    return decode_json(lines, schemas.REVIEW)
+def reviews(lines: DataFrame, strict: bool = False) -> DataFrame:
+    return decode_json(lines, schemas.REVIEW, strict=strict)
 
 
 def businesses(lines: DataFrame) -> DataFrame:

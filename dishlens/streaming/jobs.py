@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -84,20 +85,71 @@ def replay_sink(
 
 
 def dual_sink(
-    primary: Callable[[DataFrame, int], None], mirror: Callable[[DataFrame, int], None]
+    primary: Callable[[DataFrame, int], None], mirror: Callable[[DataFrame, int], None], root: str
 ) -> Callable[[DataFrame, int], None]:
-    """The primary write must succeed; a failing mirror is only logged."""
+    """The primary write must succeed; what a failing mirror didn't take waits in an outbox below `root`.
 
-    def sink(batch: DataFrame, number: int) -> None:
-        primary(batch, number)
+    Waiting batches are delivered again, the oldest first, before the newest one is sent, so the mirror sees all batches in
+    their order. A batch is recorded only when it fails; if the job dies before, the stream runs it again.
+    """
+    known: dict[str, set[int]] = {}
+
+    def note(spark: SparkSession, number: int, tried: bool, error: str | None) -> None:
+        row = spark.createDataFrame([(number, tried, error)], ATTEMPT)
+        row.coalesce(1).write.mode("append").parquet(f"{root}/attempts")
+        known["noted"].add(number)
+
+    def send(rows: DataFrame, number: int) -> bool:
         try:
-            mirror(batch, number)
-        except Exception:
+            mirror(rows, number)
+        except Exception as problem:
             log.exception("mirror write of batch %s failed", number)
+            note(rows.sparkSession, number, True, f"{type(problem).__name__}: {problem}"[:500])
+            return False
+        if number in known["noted"]:
+            note(rows.sparkSession, number, True, None)
+        return True
+
+    def keep(rows: DataFrame, number: int) -> None:
+        append_batch(rows, f"{root}/rows", number)
+        known["waiting"].add(number)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        primary(batch, number)
+        spark = batch.sparkSession
+        if not known:  # at the start and after a restart
+            found = outbox(spark, root).collect()
+            known["noted"] = {r["number"] for r in found}
+            known["waiting"] = {r["number"] for r in found if not r["delivered"]} - {number}
+        for old in sorted(known["waiting"]):
+            if not send(spark.read.schema(batch.schema).parquet(f"{root}/rows/batch={old}"), old):
+                keep(batch, number)
+                note(spark, number, False, f"waits for batch {old}")
+                return
+            known["waiting"].discard(old)
+        if not send(batch, number):
+            keep(batch, number)
 
     return sink
 
 
+ATTEMPT = "number LONG, tried BOOLEAN, error STRING"
+
+
+def outbox(spark: SparkSession, root: str) -> DataFrame:
+    """(number, attempts, delivered, last_error) of every batch that the mirror didn't take at once."""
+    try:
+        notes = spark.read.schema(ATTEMPT).parquet(f"{root}/attempts")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        notes = spark.createDataFrame([], ATTEMPT)
+    return notes.groupBy("number").agg(
+        F.count_if("tried").alias("attempts"), (F.count_if(F.col("tried") & F.col("error").isNull()) > 0).alias("delivered"),
+        F.max("error").alias("last_error"),
+    )
+
+
 # ---------------------------------------------------------------- counts and unique jobs
 
 def daily_counts(stream: DataFrame, ts: str) -> DataFrame:

@@ -122,7 +122,7 @@ class ScrapeState(StatefulProcessor):
         if not self.row.exists():
             yield self._out(key, UNKNOWN, int(events["n"].sum()))
             return
-        status, count, error, us, last = self.row.get()
+        status, count, error, us, last = before = self.row.get()
         late = events["seq"] <= last
         for e in events[~late].itertuples(index=False):
             success, n = e.status == SCRAPED, _value(e.item_count, int)
@@ -138,12 +138,14 @@ class ScrapeState(StatefulProcessor):
             yield self._out(key, LATE, int(events["n"][late].sum()))
         if not late.all():
             self.row.update((status, count, error, us, int(events["seq"].iloc[-1])))
-            yield self._out(key, STATE, int(events["n"][~late].sum()), status, count, error, us)
+            yield self._out(key, STATE, int(events["n"][~late].sum()), (status, count, error, us), before[:2])
 
-    def _out(self, key, kind, n, status=None, count=None, error=None, us=None) -> pd.DataFrame:
+    def _out(self, key, kind, n, now=(None,) * 4, before=(None,) * 2) -> pd.DataFrame:
+        status, count, error, us = now
         return pd.DataFrame({
             self.key: [key[0]], "status": [status], "item_count": pd.array([count], "Int64"), "last_error": [error],
-            "us": pd.array([us], "Int64"), "kind": [kind], "n": [n],
+            "us": pd.array([us], "Int64"), "kind": [kind], "n": [n], "old_status": [before[0]],
+            "old_item_count": pd.array([before[1]], "Int64"),
         })
 
     def close(self) -> None:
@@ -159,7 +161,8 @@ def _value(value, kind=None):
 def scrape_states(events: DataFrame, base: DataFrame, key: str = "camis") -> DataFrame:
     """Fold result events (key, seq, ts, status, item_count, last_error) onto the base rows' state.
 
-    Each batch gives the new row of every restaurant it changed (kind `state`), and with their number the events whose
+    Each batch gives the new row of every restaurant it touched (kind `state`, with the status and item count it had
+    before, so that counts can follow), and with their number the events whose
     `seq` isn't above what was applied before (kind `late`) and those of restaurants that the base lacks (`unknown`).
     `base` is read when the stream starts for the first time; from then on the state store knows the rows.
     """
@@ -177,12 +180,12 @@ def scrape_states(events: DataFrame, base: DataFrame, key: str = "camis") -> Dat
                 yield thin_results(part, key)
 
     first = base.select(key, "status", F.col("item_count").cast("int").alias("item_count"), "last_error", us("scraped_at"))
-    out = f"{key} {text}, status string, item_count int, last_error string, us long, kind string, n long"
+    out = f"{key} {text}, status string, item_count int, last_error string, us long, kind string, n long, old_status string, old_item_count int"
     found = rows.mapInPandas(thin, rows.schema).groupBy(key).transformWithStateInPandas(
         ScrapeState(key), out, "update", "None", first.filter(F.col(key).isNotNull()).groupBy(key)
     )
     at = F.timestamp_micros("us").cast(base.schema["scraped_at"].dataType)
-    return found.select(key, "status", "item_count", "last_error", at.alias("scraped_at"), "kind", "n")
+    return found.select(key, "status", "item_count", "last_error", at.alias("scraped_at"), "kind", "n", "old_status", "old_item_count")
 
 
 def with_states(base: DataFrame, changed: DataFrame, key: str = "camis") -> DataFrame:

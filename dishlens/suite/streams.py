@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dishlens.plans import indexing as I
 from dishlens.session import shared_folder
-from dishlens.streaming import jobs as J, state as S
+from dishlens.streaming import counts as N, jobs as J, state as S
 from dishlens.suite.base import ORACLES, derive, query, table
 from dishlens.suite.restaurants import _FOLD_BASE, SCRAPE_EVENT
 
@@ -58,6 +58,40 @@ def stream_scrape_fold(spark: SparkSession, sf: str) -> DataFrame:
     return S.with_states(base, rows)
 
 
+@query(f"""
+SELECT status, count(*) AS n, CAST(coalesce(sum(item_count), 0) AS BIGINT) AS items
+FROM ({ORACLES["scrape_state_fold"]}) GROUP BY status
+""")
+def stream_status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the base brought up to date by the differences that the stream left; no restaurant is read again."""
+    folder = _run_folder(spark)
+    users = table(spark, sf, "events").filter("event_type <> 'signup'").select("user_id").distinct()
+    base = derive(users, {**_FOLD_BASE, "scraped_at": "CAST(NULL AS TIMESTAMP_NTZ)"})
+    changed = S.scrape_states(derive(_stream(spark, sf, "events"), SCRAPE_EVENT), base)
+    sink = N.differences_sink(f"{folder}/counts", N.status_differences)
+    J.run_available(changed, sink, f"{folder}/log", "update").awaitTermination()
+    start = N.totals(base, {"status": F.col("status")}, {"n": F.lit(1), "items": F.col("item_count")})
+    return N.current(start, f"{folder}/counts", ["status"], ["n", "items"])
+
+
+@query("SELECT event_id, user_id, event_type, event_id % 4 AS batch FROM events")
+def mirror_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches to a table and a mirror that fails twice: what the mirror holds in the end."""
+    folder, down = _run_folder(spark), {1: 2}
+
+    def mirror(batch: DataFrame, number: int) -> None:
+        if down.get(number):
+            down[number] -= 1
+            raise OSError("mirror down")
+        J.batch_folder_sink(f"{folder}/mirror")(batch, number)
+
+    sink = J.dual_sink(J.batch_folder_sink(f"{folder}/table"), mirror, f"{folder}/outbox")
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    for number in range(4):
+        sink(events.filter(F.col("event_id") % 4 == number), number)
+    return spark.read.schema("event_id LONG, user_id LONG, event_type STRING, batch LONG").parquet(f"{folder}/mirror")
+
+
 @query()
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     folder = _run_folder(spark)

@@ -8,7 +8,7 @@ from dishlens import schemas
 from dishlens.operators import fold
 from dishlens.operators.snapshots import read_current
 from dishlens.plans import indexing as I, menus as M, restaurants as R
-from dishlens.streaming import jobs as J, state as S
+from dishlens.streaming import counts as C, jobs as J, state as S
 
 EVENT = "camis string, seq long, ts timestamp, status string, item_count int, last_error string"
 BASE = "camis string, status string, item_count int, last_error string, scraped_at timestamp"
@@ -109,15 +109,57 @@ def test_stream_replay_equals_batch_replay(spark, tmp_path, rows):
     assert spark.read.parquet(f"{bad}/batch=0").count() == rejects.count() == 1
 
 
-def test_mirror_failure_is_only_logged(spark, tmp_path):
+def test_mirror_gets_everything_in_order_in_the_end(spark, tmp_path):
+    got, down = [], {1: 2, 3: 1}
+
+    def mirror(batch, number):
+        if down.get(number, 0):
+            down[number] -= 1
+            raise RuntimeError("mirror down")
+        got.append((number, sorted(r.id for r in batch.collect())))
+
+    path, root = str(tmp_path / "p"), str(tmp_path / "outbox")
+    for number in range(6):
+        if number == 3:  # a new process knows what waits
+            sink = None
+        sink = sink if number not in (0, 3) else J.dual_sink(J.batch_folder_sink(path), mirror, root)
+        sink(spark.range(number * 10, number * 10 + 2), number)
+    assert got == [(n, [n * 10, n * 10 + 1]) for n in range(6)]
+    assert spark.read.parquet(path).count() == 12
+    state = {r.number: (r.attempts, r.delivered) for r in J.outbox(spark, root).collect()}
+    assert state == {1: (3, True), 2: (1, True), 3: (2, True)}
+
+
+def test_primary_must_succeed_and_a_repeated_batch_is_sent_again(spark, tmp_path):
     def broken(batch, number):
-        raise RuntimeError("mirror down")
+        raise RuntimeError("down")
 
-    path = str(tmp_path / "p")
-    J.dual_sink(J.batch_folder_sink(path), broken)(spark.range(3), 0)
-    assert spark.read.parquet(path).count() == 3
     with pytest.raises(RuntimeError):
-        J.dual_sink(broken, J.batch_folder_sink(path))(spark.range(3), 1)
+        J.dual_sink(broken, J.batch_folder_sink(str(tmp_path / "m")), str(tmp_path / "o"))(spark.range(3), 1)
+    J.dual_sink(J.batch_folder_sink(str(tmp_path / "p")), broken, str(tmp_path / "o"))(spark.range(3), 1)
+    J.dual_sink(J.batch_folder_sink(str(tmp_path / "p")), J.batch_folder_sink(str(tmp_path / "m")), str(tmp_path / "o"))(spark.range(3), 1)
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 3
+    assert [(r.attempts, r.delivered) for r in J.outbox(spark, str(tmp_path / "o")).collect()] == [(2, True)]
+
+
+def test_counts_follow_every_batch(spark, tmp_path, rows):
+    draw = random.Random(8)
+    base = spark.createDataFrame([(f"r{k}", draw.choice(["url_found", "scraping"]), k, None, None) for k in range(9)], BASE)
+    start = C.totals(base, {"status": F.col("status")}, {"n": F.lit(1), "items": F.col("item_count")})
+    source, root, log, out = (str(tmp_path / n) for n in ("in", "counts", "log", "out"))
+    seq = 0
+    for kinds in (["scraping"], ["failed_scrape", "url_found"], ["scraping", "url_found"], ["scraped", "failed_scrape"]):
+        part = []
+        for k in range(9):
+            seq += 1
+            part.append((f"r{k}", seq, draw.choice(kinds), draw.randrange(6), ""))
+        events(spark, part).write.mode("append").parquet(source)
+        changed = S.scrape_states(J.file_stream(spark, source, EVENT), base)
+        sink, keep = C.differences_sink(root, C.status_differences), J.batch_folder_sink(out)
+        J.run_available(changed, lambda b, n, s=sink, k=keep: (k(b, n), s(b, n)), log, "update").awaitTermination()
+        full = S.with_states(base, spark.read.parquet(out))
+        want = C.totals(full, {"status": F.col("status")}, {"n": F.lit(1), "items": F.col("item_count")})
+        assert rows(C.current(start, root, ["status"], ["n", "items"])) == rows(want)
 
 
 def test_daily_counts_and_unique_jobs(spark, tmp_path, rows):
