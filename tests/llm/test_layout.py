@@ -14,6 +14,8 @@ from dishlens.llm import merkle, packing, shard_tree, wavelet
 from dishlens.llm.queries import TOKENIZER
 from dishlens.llm.tokens import encoder
 
+from .conftest import prose
+
 TREE = shard_tree.balanced(16)
 
 
@@ -70,9 +72,10 @@ def test_shards_move_only_within_changed_subtrees(spark):
 
 
 def test_fingerprints(docs_of, odd):
-    rows = [r for r in odd if r[0] is not None] + [(None, "zz"), (6, "x" * 500)]
+    rows = [r for r in odd if r[0] is not None] + [(None, "zz"), (6, "x" * 500)] + [(None, prose(k, 5)) for k in range(9)] + [(None, "zz")]
     got = merkle.document_fingerprints(docs_of(rows), docs_per_range=3).collect()
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    mixed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 12
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, mixed(r[1]), r[1]))
     want = Counter()
     for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1]):
         new = merkle.edited(text, after)
@@ -87,12 +90,60 @@ def test_trees_locate_edits():
     a = "One two.\nThree four, five.\n\nSix seven.\nEight."
     b = a.replace("seven", "nine")
     assert merkle.tree(a)[0] != merkle.tree(b)[0]
-    assert merkle.first_difference(merkle.tree(a), merkle.tree(b))[:1] == (1,)
+    where = merkle.first_difference(merkle.tree(a), merkle.tree(b))
+    node = merkle.tree(a)
+    for k in where[:3]:
+        node = node[2][k]
+    assert node[2].startswith("Six seven") and len(where) == 4
     assert merkle.first_difference(merkle.tree(a), merkle.tree(a)) == ()
     assert 0.6 < merkle.likeness(merkle.tree(a), merkle.tree(b)) < 1
     assert merkle.likeness(merkle.tree(""), merkle.tree("")) == 1.0 and merkle.likeness(merkle.tree(""), merkle.tree("x")) == 0.0
 
 
+def long_text(seed):
+    return "\n".join(", ".join(prose(seed * 1000 + 7 * k + j, 6) for j in range(5)) + "." for k in range(60)) + "\n"
+
+
+def test_an_edit_opens_no_other_branch():
+    """An edit in one paragraph opens its section, the paragraph and the clause; all other clauses stay unseen."""
+    text = long_text(1)
+    own = merkle.tree(text)
+    assert len(own[2]) > 3  # several sections, without a blank line
+    lines = text.split("\n")
+    for at in (0, 17, 40, 59):
+        changed = lines[:]
+        changed[at] = changed[at].replace(" ", " q", 1)
+        other = merkle.tree("\n".join(changed))
+        same, edits, seen = merkle.compare(own, other)
+        wide = max(len(x[2]) for x in own[2])
+        assert seen <= 1 + 2 * (len(own[2]) + 2) + 2 * 2 * (wide + 2) + 2 * 6 + 2 * merkle.LONGEST
+        assert len({e[:3] for e in edits}) <= 3 and 0.97 < merkle.likeness(own, other) < 1
+        assert merkle.likeness(own, other) == merkle.likeness(other, own)
+
+
+def test_likeness_and_edits_by_definition():
+    """Removed, added and moved paragraphs; all edits are named, and what is matched is equal and in order."""
+    lines = long_text(2).splitlines(keepends=True)
+    size = sum(map(len, lines))
+    own = merkle.tree("".join(lines))
+    for new, share in (
+        (lines[:20] + lines[23:], 1 - sum(map(len, lines[20:23])) / size),
+        (lines[:20] + lines[40:] , sum(map(len, lines[:20] + lines[40:])) / size),
+        (lines[30:] + lines[:30], 0.4), (lines[:5], sum(map(len, lines[:5])) / size), ([x.upper() for x in lines], 0.0),
+    ):
+        near = merkle.likeness(own, merkle.tree("".join(new)))
+        assert near <= share + 0.2 and (near >= share - 0.2 or share == 0.4)
+    draw = random.Random(5)
+    for _ in range(200):
+        a = [merkle._leaf(draw.choice("abcdefgh")) for _ in range(draw.randrange(9))]
+        b = [merkle._leaf(draw.choice("abcdefgh")) for _ in range(draw.randrange(9))]
+        pairs = merkle.matched(a, b)
+        assert all(a[i][0] == b[j][0] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    short = "abcdefgh ijklm"
+    assert merkle.likeness(merkle.tree(short), merkle.tree(merkle.edited(short, "zzzz"))) > 0.5
+
+
 def test_encoder_equals_library():
     tokenizer, ours = Tokenizer.from_file(TOKENIZER), encoder(TOKENIZER)
     for text in ("", "  ", "It's 5kg, We'LL go.\tX\r\ny", "İstanbul Σας ΑΣ é ́b", "<|endoftext|>a b", "A$$$ b.** c'd 中文 \x1c x", "ÀÖßÿ."):
