@@ -142,3 +142,47 @@ ORACLES["op12_centroid_drift"] = centroids.sql()
 @query
 def op13_shifted_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: lengths and digests of the edited texts."""
+    return merkle.document_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+ORACLES["fingerprint_texts"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM t)
+SELECT doc_id, length(text) AS n_chars,
+  sha256(left(text, length(text) - length(text) // 4) || left(next, length(text) // 4)) AS edited_sha256
+FROM n
+"""
+
+
+@query
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: how many base matches of each kind."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+ORACLES["secret_counts"] = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+"""
+
+
+@query
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: sizes, and that the slots of each shard are gapless from 0."""
+    rows = shard_tree.shard_documents(table(spark, sf_dir, "documents"), shard_tree.balanced(16), 16)
+    slots = rows.groupBy("shard").agg((F.count_distinct("slot") == F.max("slot") + 1).alias("gapless"), F.min("slot").alias("low"))
+    return rows.join(slots, "shard").select("doc_id", "size", "gapless", "low")
+
+
+ORACLES["shard_sizes"] = """
+SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, true AS gapless, CAST(0 AS BIGINT) AS low
+FROM documents
+"""
