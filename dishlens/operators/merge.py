@@ -134,19 +134,24 @@ def replace_children(
     return kept.unionByName(fresh)
 
 
+def _judged(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The batch with `_known`: whether the base has the key. One join."""
+    return batch.join(base.select(*keys, F.lit(True).alias("_known")), list(keys), "left")
+
+
 def strict_create(
     base: DataFrame, batch: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(applied, rejected): a known key is a conflict."""
-    known = batch.join(base.select(*keys), list(keys), "left_semi")
-    fresh = batch.join(base.select(*keys), list(keys), "left_anti")
-    return fresh, known.withColumn("reason", F.lit("conflict"))
+    """(applied, rejected): a known key is a conflict. The base has each key at most once."""
+    judged = _judged(base, batch, keys)
+    known = judged.filter("_known").drop("_known")
+    return judged.filter("_known IS NULL").select(*batch.columns), known.select(*batch.columns).withColumn("reason", F.lit("conflict"))
 
 
 def strict_update(
     base: DataFrame, batch: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(applied, rejected): an unknown key is not found."""
-    known = batch.join(base.select(*keys), list(keys), "left_semi")
-    fresh = batch.join(base.select(*keys), list(keys), "left_anti")
-    return known, fresh.withColumn("reason", F.lit("not found"))
+    """(applied, rejected): an unknown key is not found. The base has each key at most once."""
+    judged = _judged(base, batch, keys)
+    missing = judged.filter("_known IS NULL").select(*batch.columns).withColumn("reason", F.lit("not found"))
+    return judged.filter("_known").select(*batch.columns), missing

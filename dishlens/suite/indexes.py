@@ -1,12 +1,15 @@
-"""Searches through stored indexes, against the SQL of the plain scan."""
+"""Searches through stored indexes and merges into bucketed tables, against the SQL of the plain form."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dishlens.operators import buckets, codes, knn, trigrams
+from dishlens.operators import bucketed, buckets, codes, knn, merge, trigrams
 from dishlens.plans import catalog as C, keywords
 from dishlens.suite.base import ORACLES, query, table
+from dishlens.suite.restaurants import _base, _batch
 from dishlens.suite.search import _CENTROIDS, _TERMS, _centroids, _query_vector, _rounded
 from dishlens.suite.streams import _run_folder
 
@@ -84,3 +87,15 @@ def catalog_lookup_widths(spark: SparkSession, sf: str) -> DataFrame:
         F.col("vec_id").alias("item_id"), F.concat(F.lit(" ING "), "vec_id").alias("ingredient"), cut("embedding", F.col("vec_id"), 7)
     )
     return _rounded(C.lookup(items, catalog, vectors=True)).select("item_id", "matched", "certainty")
+
+
+@query(ORACLES["merge_overwrite"])
+def merge_overwrite_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The base lies in buckets; merged twice, as a job that runs again does."""
+    columns = ["camis", "dba", "address", "phone"]
+    table_ = bucketed.write_bucketed(_base(spark, sf).select(columns), f"merged_{uuid.uuid4().hex}", ["camis"], 8)
+    for _ in range(2):
+        table_ = bucketed.merge_bucketed(
+            spark, table_, _batch(spark, sf).select(columns), ["camis"], lambda old, new: merge.merge_upsert(old, new, ["camis"])
+        )
+    return spark.table(table_)

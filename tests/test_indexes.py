@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dishlens.functions.vectors import certainty
-from dishlens.operators import buckets, codes, knn, trigrams
+from dishlens.operators import bucketed, buckets, codes, knn, trigrams
+from dishlens.operators.merge import merge_upsert
 from dishlens.plans import keywords, search as S
 
 VECTORS = "id long, v array<float>"
@@ -114,3 +115,23 @@ def test_patterns_by_trigrams(spark, tmp_path):
         got = trigrams.matching(spark, df, "name", "id", root, pattern)
         assert sorted(r.id for r in got.collect()) == sorted(r.id for r in df.filter(F.col("name").ilike(pattern)).collect()), pattern
     assert trigrams.literal_runs("%gr_en\\%x%") == ["gr", "en%x"]
+
+
+def test_bucketed_merge_never_shuffles_the_base(spark, rows):
+    base = spark.range(4000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
+    batch = spark.createDataFrame([(str(k), 100 + k) for k in range(3990, 4010)], "k string, v long")
+    upsert = lambda old, new: merge_upsert(old, new, ["k"])
+    name = bucketed.write_bucketed(base, "test_bucketed_merge", ["k"], 8)
+    assert bucketed.bucket_count(spark, name) == 8
+    plan = bucketed.merged_rows(spark, name, batch, ["k"], upsert, 8)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "Scan parquet" in line)
+    before = plan.split("\n")[: plan.split("\n").index(scan)]
+    # the base's branch is the first of the join: no exchange between them
+    assert "Bucketed: true" in scan and not any("Exchange" in line for line in before[next(i for i, x in enumerate(before) if "Join" in x):])
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = rows(merge_upsert(base, batch, ["k"]))
+    for _ in range(3):
+        name = bucketed.merge_bucketed(spark, name, batch, ["k"], upsert)
+        assert rows(spark.table(name)) == want
+    for end in "01":
+        spark.sql(f"DROP TABLE IF EXISTS test_bucketed_merge_{end}")
