@@ -19,6 +19,7 @@ labels all scores are 0; very long texts are read whole, as counts of the sample
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ from dishlens.llm.common import id_mod, texts, written
 
 #: Bounds of the labelled sample, by label.
 TOXIC, CLEAN = 500, 1_000
-START = 5
+START, REMEMBERED = 5, 50_000
 NEIGHBOURS, BLOCK, DENSE, TEXTS, PRIOR, NEAR, SUSPECT = 15, 64, 2048, 64, 0.5, 0.05, 0.7
 #: A term marks label 1 if its root of twice the log-likelihood ratio is above SURE; each step above adds GAIN.
 SURE, GAIN = 5.0, 3.0
@@ -290,16 +291,22 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Index | None:
 
 
 def scorer(index: Index | None):
-    """Function from texts to their (score, evidence)."""
+    """Function from texts to their (score, evidence). Equal texts are scored once, as long as REMEMBERED others fit."""
     if index is None:
         return lambda texts: [(0.0, [])] * len(texts)
     hits = lookup(index.terms)
+    known: dict[bytes, tuple[float, list[int]]] = {}
 
     def score(texts: list[str]) -> list[tuple[float, list[int]]]:
-        out: list[tuple[float, list[int]]] = []
-        for at in range(0, len(texts), TEXTS):
-            out += index.scores([vector(hits(t), index.weight) for t in texts[at: at + TEXTS]])
-        return out
+        digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {d: t for d, t in zip(digests, texts, strict=True) if d not in known}
+        names = list(new)
+        for at in range(0, len(names), TEXTS):
+            part = names[at: at + TEXTS]
+            known.update(zip(part, index.scores([vector(hits(new[d]), index.weight) for d in part]), strict=True))
+        return [known[d] for d in digests]
 
     return score
 
