@@ -251,11 +251,14 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nda
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits, sums, n = lookup(sent.value), np.zeros(len(sent.value), np.int64), 0
+        terms, sums, n = sent.value, np.zeros(len(sent.value), np.int64), 0
+        starts = {t[:-1]: k for t, k in terms.items() if t[-1] == "*"}
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
-                sums[list(set(hits(text)))] += 1
+                found = set(_WORD.findall(text.lower()))
+                for names, numbers in ((found, terms), ({w[:START] for w in found if len(w) > START}, starts)):
+                    sums[[k for k in map(numbers.get, names) if k is not None]] += 1
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"term": [-1, *at], "n": [n, *sums[at]]})
 
