@@ -220,3 +220,35 @@ def test_text_turned_null_leaves_no_chunks(spark, tmp_path, rows):
     assert rows(J.current_chunks(spark, root), "review_id", "chunk_text") == [("r2", "b")]
     sink(spark.createDataFrame([("r1", "back"), ("r2", "")], schema), 2)
     assert [r.chunk_text for r in J.current_chunks(spark, root).filter("chunk_text <> ''").collect()] == ["back"]
+
+
+def test_state_is_opened_by_bucket_not_by_key(spark, tmp_path, rows, monkeypatch):
+    source, log, out = (str(tmp_path / n) for n in ("in", "log", "out"))
+    jobs = [(k, None if k % 7 else 0.0, (1 << 60) + k, k % 3) for k in range(300)] + [(1, float("nan"), None, 1)] * 2
+    df = spark.createDataFrame(jobs, "a int, b double, c long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    df.write.parquet(source)
+    for _ in range(2):  # the second run finds all of them given out
+        unique = S.unique_jobs(J.file_stream(spark, source, df.schema), ["a", "b", "c"], "ts", 3600, buckets=2)
+        query = J.run_available(unique, J.batch_folder_sink(out), log)
+        query.awaitTermination()
+        df.write.mode("append").parquet(source)
+    got = spark.read.parquet(out)
+    plain = lambda d: rows(d.select("a", F.col("b").cast("string"), "c"))
+    assert plain(got) == plain(df.dropDuplicates(["a", "b", "c"])) and {r.period for r in got.collect()} == {0}
+    assert got.filter("a = 1 AND isnan(b)").first().n == 2
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8  # two buckets and their timers, not 301 keys
+
+
+def test_differences_read_the_changes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    kind = "kind string, status string, item_count int, old_status string, old_item_count int"
+    changed = spark.createDataFrame([("state", "scraped", 5, "scraping", 2), ("state", "scraping", None, None, None), ("late",) + (None,) * 4], kind)
+    got = C.status_differences(changed.mapInPandas(count, kind)).collect()
+    assert {(r.status, r.n, r["items"]) for r in got} == {("scraped", 1, 5), ("scraping", 0, -2), (None, -1, 0)} - {("scraping", 0, 0)}
+    assert seen.value == 3
