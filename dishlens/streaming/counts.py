@@ -30,10 +30,13 @@ def added(parts: Sequence[DataFrame], groups: Sequence[str], measures: Sequence[
 
 def status_differences(changed: DataFrame) -> DataFrame:
     """(status, n, items) by which changed rows (`scrape_states`, kind `state`) move the counts by status."""
-    rows = changed.filter("kind = 'state'")
-    old = totals(rows, {"status": F.col("old_status")}, {"n": F.lit(1), "items": F.col("old_item_count")}, -1)
-    new = totals(rows, {"status": F.col("status")}, {"n": F.lit(1), "items": F.col("item_count")})
-    return added([old, new], ["status"], ["n", "items"])
+    # both sides of a change leave its row together: reading `changed` twice would run the stream's state twice
+    sides = F.array(
+        F.struct(F.col("old_status").alias("status"), F.lit(-1).alias("n"), (-F.col("old_item_count")).alias("items")),
+        F.struct("status", F.lit(1).alias("n"), F.col("item_count").alias("items")),
+    )
+    rows = changed.filter("kind = 'state'").select(F.inline(sides))
+    return added([totals(rows, {"status": F.col("status")}, {"n": F.col("n"), "items": F.col("items")})], ["status"], ["n", "items"])
 
 
 def differences_sink(root: str, differences: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
