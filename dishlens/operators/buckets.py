@@ -2,7 +2,8 @@
 
 The signs of a vector's products with some random directions name its bucket in a table; near vectors share a bucket in
 one of many tables. A query also probes the buckets across the planes it lies closest to. The answer is approximate:
-`recall` measures it against the exact search, which stays the default. Only ids and bucket names are shuffled for
+`recall` measures it against the exact search, which stays the default. Finer buckets of a larger table lose neighbours, so the
+number of bits is fitted: the largest whose recall suffices for a bounded choice of queries against all rows. Only ids and bucket names are shuffled for
 the join. Copies of one vector are indexed once and handed out again at the end, so a vector that many rows share makes
 no bucket large.
 """
@@ -16,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens.functions.vectors import as_matrix, dot, norm
+from dishlens.operators import knn
 from dishlens.operators.dedup import top_per_key
 
 TABLES, PROBES, ROWS_PER_BUCKET = 24, 3, 64
+# Queries on which the number of bits is fitted, and the recall they must reach.
+FIT_QUERIES, FIT_RECALL = 100, 0.95
 
 
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -48,12 +52,44 @@ def nearest_batch_buckets(
 ) -> DataFrame:
     """(query_id, id, certainty, rank): about the `k` closest rows for every query; see `recall`.
 
-    Vectors of another width than `dim`, null, zero and not finite ones have no neighbours. `bits` follows the table's size unless given.
+    Vectors of another width than `dim`, null, zero and not finite ones have no neighbours. `bits` is fitted to at most `FIT_QUERIES`
+    queries unless given; where no number of bits is good enough, and for queries whose buckets hold fewer than `k` rows, the exact search answers.
     """
     usable = table.filter(F.size(vector) == dim).select(id_col, F.col(vector).alias("_v"))
     asked = queries.filter(F.size(query_vector) == dim).select(query_id, F.col(query_vector).alias("_q"))
     if bits is None:
-        bits = min(40, max(1, round(math.log2(max(usable.count(), 1) / ROWS_PER_BUCKET)))) if usable.take(1) else 1
+        bits = _fitted_bits(usable, id_col, asked, query_id, k, dim, tables, probes, seed)
+    if not bits:
+        return knn.nearest_batch(usable, "_v", id_col, asked, "_q", query_id, k, dim=dim)
+    found = _from_buckets(usable, id_col, asked, query_id, k, dim, tables, bits, probes, seed).persist()
+    full = found.groupBy(query_id).count().filter(F.col("count") >= k)
+    short = asked.join(full, query_id, "left_anti")
+    filled = knn.nearest_batch(usable, "_v", id_col, short, "_q", query_id, k, dim=dim)
+    return found.join(full, query_id, "left_semi").unionByName(filled)
+
+
+def _fitted_bits(
+    usable: DataFrame, id_col: str, asked: DataFrame, query_id: str, k: int, dim: int, tables: int, probes: int, seed: int
+) -> int:
+    """The most bits, `ROWS_PER_BUCKET` rows a bucket at the least, that reach `FIT_RECALL`; 0 if none do."""
+    rows = usable.count()
+    some = asked.orderBy(F.xxhash64(query_id), query_id).limit(FIT_QUERIES).persist()
+    exact = knn.nearest_batch(usable, "_v", id_col, some, "_q", query_id, k, dim=dim).persist()
+    most = min(40, max(1, round(math.log2(max(rows, 1) / ROWS_PER_BUCKET)))) if rows else 0
+    reached = 0
+    for bits in range(most, 0, -1):
+        found = _from_buckets(usable, id_col, some, query_id, k, dim, tables, bits, probes, seed)
+        if recall(found, exact, query_id, id_col).first()["recall"] >= FIT_RECALL:
+            reached = bits
+            break
+    exact.unpersist()
+    some.unpersist()
+    return reached
+
+
+def _from_buckets(
+    usable: DataFrame, id_col: str, asked: DataFrame, query_id: str, k: int, dim: int, tables: int, bits: int, probes: int, seed: int
+) -> DataFrame:
     probes = min(probes, bits)
     one = usable.select(
         id_col, F.xxhash64("_v").alias("_h1"), F.xxhash64("_v", F.lit("again")).alias("_h2"),

@@ -135,3 +135,15 @@ def test_bucketed_merge_never_shuffles_the_base(spark, rows):
         assert rows(spark.table(name)) == want
     for end in "01":
         spark.sql(f"DROP TABLE IF EXISTS test_bucketed_merge_{end}")
+
+
+def test_bucket_bits_are_fitted_and_short_answers_filled(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=32).tolist()) for k in range(12_000)]  # no blobs: fine buckets lose most neighbours
+    df = spark.createDataFrame(rows, VECTORS).repartition(4).cache()
+    asked = df.filter("id % 400 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    exact = knn.nearest_batch(df, "v", "id", asked, "q", "q_id", 10, dim=32)
+    fitted = buckets.nearest_batch_buckets(df, "v", "id", asked, "q", "q_id", 10, 32)
+    assert buckets.recall(fitted, exact, "q_id", "id").first().recall >= 0.9
+    fine = buckets.nearest_batch_buckets(df, "v", "id", asked, "q", "q_id", 10, 32, tables=1, bits=30)
+    assert {r["count"] for r in fine.groupBy("q_id").count().collect()} == {10} and fine.count() == 300
