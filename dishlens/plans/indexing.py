@@ -7,7 +7,8 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from dishlens.constants import CHUNK_OVERLAP, CHUNK_RUNES
@@ -22,6 +23,8 @@ from dishlens.operators.spread import spread_small
 EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 EMBED_BATCH = 100
 MAX_TRIES = 5
+# Numbers of the vectors that a task keeps for texts that come again.
+KEPT_CELLS = 4 << 20
 
 
 def hashing_embedder(dim: int) -> EmbedFn:
@@ -50,21 +53,37 @@ def _patiently(embed: EmbedFn, texts: Sequence[str], pause: float) -> Sequence[S
     raise AssertionError("unreachable")
 
 
+def _embed_texts(
+    columns: Iterator[pa.Array], embed: EmbedFn, batch: int, pause: float, cells: int = KEPT_CELLS,
+) -> Iterator[pa.Array]:
+    """A vector for every text; a text that a task meets again takes the vector it got, until `cells` numbers are kept."""
+    kind = pa.list_(pa.float32())
+    kept, place = pa.array([], kind), {}
+    for column in columns:
+        coded = pc.fill_null(column, "").dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        if len(kept.values) > cells:
+            kept, place = pa.array([], kind), {}
+        fresh = [text for text in texts if text not in place]
+        found: list = []
+        for start in range(0, len(fresh), batch):
+            found.extend(_patiently(embed, fresh[start:start + batch], pause))
+        place.update(zip(fresh, range(len(kept), len(kept) + len(found)), strict=True))
+        if found:
+            kept = pa.concat_arrays([kept, pa.array(found, kind)])
+        yield kept.take(pa.array([place[text] for text in texts], pa.int64()).take(coded.indices))
+
+
 def embed_column(
     df: DataFrame, text: str, embed: EmbedFn, out: str = "embedding",
     batch: int = EMBED_BATCH, pause: float = 1.0,
 ) -> DataFrame:
-    """Add vectors of a text column. Rows stay in order and stream through in model batches; a
+    """Add vectors of a text column. Rows stay in order and stream through in model batches of different texts; a
     failing call is retried with growing pauses before the task gives up."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
-            values = texts.fillna("").tolist()
-            found: list = []
-            for start in range(0, len(values), batch):
-                found.extend(_patiently(embed, values[start:start + batch], pause))
-            yield pd.Series(found)
+    @F.arrow_udf("array<float>")
+    def vectors(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _embed_texts(columns, embed, batch, pause)
 
     # Declared nondeterministic: the model must not be asked twice for the same text.
     return df.withColumn(out, vectors.asNondeterministic()(F.col(text)))
