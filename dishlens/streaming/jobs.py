@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dishlens import schemas
-from dishlens.operators.snapshots import append_batch, read_batches, read_current
+from dishlens.operators.snapshots import NUMBER, append_batch, read_batches, read_current
 from dishlens.operators.merge import last_of_batch
 from dishlens.plans.indexing import EmbedFn, index_batch
-from dishlens.plans.menus import last_items, replay
+from dishlens.plans.menus import replay_last
 
 log = logging.getLogger(__name__)
 
@@ -77,8 +77,8 @@ def replay_sink(
     the dead letters, one folder per batch."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        items, bad = replay(batch, restaurants, embed, dim)
-        append_batch(last_items(items), root, number)
+        items, bad = replay_last(batch, restaurants, embed, dim, f"{rejects}-texts/{NUMBER}={number}")
+        append_batch(items, root, number)
         append_batch(bad, rejects, number)
 
     return sink
