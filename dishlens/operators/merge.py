@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dishlens.operators.dedup import latest_per_key
+from dishlens.operators.spread import deal
 
 Rule = str | Callable[[Column, Column], Column]
 
@@ -136,7 +137,16 @@ def replace_children(
 
 def _judged(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The batch with `_known`: whether the base has the key. One join."""
-    return batch.join(base.select(*keys, F.lit(True).alias("_known")), list(keys), "left")
+    return deal(batch, keys).join(base.select(*keys, F.lit(True).alias("_known")), list(keys), "left")
+
+
+def strict_outcomes(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The batch with `create` and `update`: 'applied', or the reason why `strict_create` and `strict_update` reject the row."""
+    known = F.col("_known").isNotNull()
+    return _judged(base, batch, keys).select(
+        *batch.columns, F.when(known, "conflict").otherwise("applied").alias("create"),
+        F.when(known, "applied").otherwise("not found").alias("update"),
+    )
 
 
 def strict_create(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 SMALL_BYTES = 256 * 1024 * 1024
+# Estimated bytes of rows that one task sorts by a key.
+TASK_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -25,6 +27,16 @@ def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def deal(df: DataFrame, keys: Sequence[str], task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Rows in hash partitions by `keys`: as many as the session's, more where the size estimate asks for it.
+
+    Adaptive execution leaves their number. It would glue partitions by compressed bytes, of which keys have few, until one
+    task sorts millions of rows.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(df) // task_bytes))
+    return df.repartition(n, *keys)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

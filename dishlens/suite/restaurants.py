@@ -204,15 +204,8 @@ SELECT 'update', n.camis, CASE WHEN b.camis IS NULL THEN 'not found' ELSE 'appli
 FROM batch n LEFT JOIN base b ON b.camis = n.camis
 """)
 def strict_create_update(spark: SparkSession, sf: str) -> DataFrame:
-    base, batch = _base(spark, sf), _batch(spark, sf)
-    parts = []
-    for op, split in (("create", M.strict_create), ("update", M.strict_update)):
-        applied, rejected = split(base, batch, ["camis"])
-        both = applied.select("camis", F.lit("applied").alias("outcome")).unionByName(
-            rejected.select("camis", F.col("reason").alias("outcome"))
-        )
-        parts.append(both.select(F.lit(op).alias("op"), "camis", "outcome"))
-    return parts[0].unionByName(parts[1])
+    judged = M.strict_outcomes(_base(spark, sf), _batch(spark, sf).select("camis"), ["camis"])
+    return judged.unpivot(["camis"], ["create", "update"], "op", "outcome").select("op", "camis", "outcome")
 
 
 @query("""
