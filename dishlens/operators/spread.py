@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 SMALL_BYTES = 256 * 1024 * 1024
+# Estimated bytes, compressed as they are stored, of a small input's rows in one task.
+SPREAD_BYTES = 4 * 1024 * 1024
 # Estimated bytes of rows that one task sorts by a key.
 TASK_BYTES = 16 * 1024 * 1024
 
@@ -20,11 +22,13 @@ def spread_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
     """Spread a small input over all cores before work that is heavy per row.
 
     A small file is often one row group, hence one task. The size is the optimizer's estimate; above
-    the limit a table has row groups enough and keeps its scan partitions, without a shuffle.
+    the limit a table has row groups enough and keeps its scan partitions, without a shuffle. No task gets more than
+    `SPREAD_BYTES` by that estimate, so that what it sorts after a join stays small.
     """
-    if estimated_bytes(df) > limit:
+    size = estimated_bytes(df)
+    if size > limit:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))
 
 
 def deal(df: DataFrame, keys: Sequence[str], task_bytes: int = TASK_BYTES) -> DataFrame:

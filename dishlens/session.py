@@ -9,8 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 # Runtime settings the jobs rely on. forceOptimizeSkewedJoin lets AQE split a hot join key even
-# when the split costs one more shuffle; the advisory size keeps reduce tasks inside memory.
-# Long texts and pages go to Python by bytes: thousands of them would be gigabytes there.
+# when the split costs one more shuffle. The advisory size is of compressed bytes, which sorts and maps of narrow rows
+# hold 25 times over in memory, as do joins of what is scanned. Long texts and pages go to Python by bytes: thousands of them would be gigabytes there.
 # The excluded rule would evaluate an exploded array twice, once to drop empty ones: here arrays come
 # from regular expressions and parsers, and the second pass costs more than it saves.
 RUNTIME_CONF = {
@@ -22,7 +22,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.session.timeZone": "UTC",
