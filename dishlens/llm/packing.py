@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,25 +98,26 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): whole texts encoded, cut only where longer than a sequence."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_ids, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
-        for pdf in batches:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_runs, end = encoder(tokenizer).runs, np.array([end_id], "<u4")
+        for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.concatenate([encode_ids(text).astype("<u4"), end])
+            found = (ids[a:b] for ids, bounds in encode_runs(batch.column("text")) for a, b in zip(bounds, bounds[1:]))
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids = np.concatenate([encoded.astype("<u4"), end])
                 for k in range(0, len(ids), capacity):
                     part = ids[k: k + capacity]
-                    doc.append(None if pd.isna(doc_id) else int(doc_id))
+                    doc.append(doc_id)
                     piece.append(k // capacity)
                     start.append(k)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
-            yield pd.DataFrame({
-                "doc_id": pd.array(doc, dtype="Int64"), "piece": np.array(piece, np.int32), "start": start,
-                "length": length, "ids_crc32": crc,
-            })
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, "int64"), pa.array(piece, "int32"), *(pa.array(x, "int64") for x in (start, length, crc))],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
-    return texts(docs).mapInPandas(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(found: DataFrame, capacity: int, buckets: int = 256) -> DataFrame:

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-import re
+import string
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from dishlens.llm.common import WordCache
 
 #: Letters that lower-case one to one and that no normal form changes.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷")
+MARKS = string.punctuation
+_WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*$"
+#: Bytes of texts whose chunks are held at once.
+RUN_BYTES = 4 << 20
+
+
+def gathered(values: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The values of the runs named by `places`, one after another; run k is the next size[k] of the values."""
+    first, count = (size.cumsum() - size)[places], size[places]
+    ends = count.cumsum()
+    return values[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordEncoder:
@@ -19,6 +33,7 @@ class WordEncoder:
     chunks between blanks in turn. A chunk of plain letters with marks behind it is the ids of the
     lower-cased letters, which go straight to the tokenizer's model as the characters that stand for
     their bytes, and of the run of marks. Everything else goes to the tokenizer as it stands.
+    Texts are parted and their distinct chunks found by Arrow, a run of texts at a time.
     The caches are cleared when they hold `limit` entries, so a worker's memory is bounded.
     """
 
@@ -29,26 +44,53 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         stand = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        letters = [chr(c) for c in range(0xC0, 0x100) if _WORD.fullmatch(chr(c))]
-        self.bytes = str.maketrans({c: stand(c)[0][0] for c in letters})
+        self.bytes = str.maketrans({c: stand(c)[0][0] for c in LETTERS if not c.isascii()})
+        self.pairs = [n.to_bytes(2, "little") for n in range(1 << 16)]
         self.chunks = WordCache(self._chunk, limit)
-        self.chunks[""] = b""
         self.words = WordCache(self._word, 2 * limit)
 
     def _word(self, word: str) -> bytes:
         found = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.bytes))
-        return b"".join([t.id.to_bytes(2, "little") for t in found])
+        return b"".join([self.pairs[t.id] for t in found])
 
     def _chunk(self, chunk: str) -> bytes:
-        match = _WORD.fullmatch(chunk)
-        if match:
-            ids = self.words[match[1].lower()]
-            return ids + self.words[match[2]] if match[2] else ids
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after another, and how many each has."""
+        plain = pc.match_substring_regex(chunks, _WORD)
+        held = pc.if_else(plain, chunks, "")
+        letters = pc.utf8_lower(pc.utf8_rtrim(held, MARKS)).dictionary_encode()
+        marks = pc.utf8_ltrim(held, LETTERS).dictionary_encode()
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        parts = [self.words[w] if w else b"" for found in (letters, marks) for w in found.dictionary.to_numpy(zero_copy_only=False)]
+        places = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + len(letters.dictionary)], 1)
+        places[other, 0] = len(parts) + np.arange(len(other))
+        parts += [self.chunks[chunks[int(k)].as_py()] for k in other]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        ids = gathered(np.frombuffer(b"".join(parts), "<u2"), size, places.ravel())
+        return ids, size[places].sum(1)
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        parts = pc.split_pattern(texts, " ")
+        found = parts.flatten().dictionary_encode()
+        known, size = self._known(found.dictionary)
+        chunk = found.indices.to_numpy()
+        return gathered(known, size, chunk), np.append(0, size[chunk].cumsum())[parts.offsets.to_numpy()]
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of texts of about RUN_BYTES, in turn: the ids of all, and where each text starts and the last one ends."""
+        ends = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, "right")))
+            yield self._run(texts.slice(at, to - at))
+            at = to
+
     def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), "<u2")
+        return self._run(pa.array([text], "string"))[0]
 
 
 _encoders: dict[str, WordEncoder] = {}

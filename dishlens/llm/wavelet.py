@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +53,7 @@ class WaveletMatrix:
             packed = np.packbits(ones)
             count = np.bitwise_count(np.pad(packed, (0, -len(packed) % (STRIDE // 8)))).reshape(-1, STRIDE // 8)
             sums = np.concatenate([[0], np.cumsum(count.sum(1, dtype=np.int64))])
-            level = np.concatenate([level[~ones], level[ones]])
+            level = np.concatenate([level.compress(~ones), level.compress(ones)])
             zeros.append(len(ids) - int(sums[-1]))
             planes.append(packed.tobytes())
             ranks.append(sums.astype("<u4").tobytes())
@@ -122,8 +123,8 @@ class WaveletMatrix:
         for p in reversed(range(BITS)):
             ones = np.unpackbits(self.planes[p], count=self.n).astype(bool)
             above = np.empty_like(values)
-            above[~ones] = values[: self.zeros[p]]
-            above[ones] = values[self.zeros[p]:] | np.uint16(1 << (BITS - 1 - p))
+            above[np.flatnonzero(~ones)] = values[: self.zeros[p]]
+            above[np.flatnonzero(ones)] = values[self.zeros[p]:] | np.uint16(1 << (BITS - 1 - p))
             values = above
         return values
 
@@ -146,16 +147,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_p
     ids = rows.select("doc_id")
     cuts = np.array(range_splits(ids, min(MAX_SHARDS, -(-ids.count() // docs_per_shard))), np.int64)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_ids, end = encoder(tokenizer).ids, np.array([end_id], "<u2")
-        for pdf in batches:
-            given = pdf["doc_id"].notna().to_numpy()
-            number = pdf["doc_id"].fillna(0).to_numpy().astype(np.int64)
-            shard = np.where(given, np.maximum(np.searchsorted(cuts, number, "right") - 1, 0), 0)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "shard": shard.astype(np.int32),
-                "ids": [np.concatenate([encode_ids(t), end]).tobytes() for t in pdf["text"]],
-            })
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_runs, end = encoder(tokenizer).runs, np.array([end_id], "<u2").tobytes()
+        for batch in batches:
+            at = 0
+            for ids, bounds in encode_runs(batch.column("text")):
+                doc_ids = batch.column("doc_id").slice(at, len(bounds) - 1)
+                given = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+                number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+                shard = np.where(given, np.maximum(np.searchsorted(cuts, number, "right") - 1, 0), 0)
+                found = [ids[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids, pa.array(shard, "int32"), pa.array(found, "binary")], ["doc_id", "shard", "ids"]
+                )
+                at += len(found)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, block, size, doc_ids, parts = None, 0, 0, [], []
@@ -172,7 +177,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_p
         if parts:
             yield _row(shard, block, doc_ids, parts)
 
-    dealt = rows.mapInPandas(encode, "doc_id long, shard int, ids binary").repartitionById(
+    dealt = rows.mapInArrow(encode, "doc_id long, shard int, ids binary").repartitionById(
         max(1, len(cuts)), F.col("shard")
     )
     dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInPandas(build, SCHEMA).write.option(

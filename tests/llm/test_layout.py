@@ -6,13 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from dishlens.llm import merkle, packing, shard_tree, wavelet
+from dishlens.llm import merkle, packing, shard_tree, tokens, wavelet
 from dishlens.llm.queries import TOKENIZER
-from dishlens.llm.tokens import encoder
+from dishlens.llm.tokens import WordEncoder, encoder
 
 from .conftest import prose
 
@@ -150,6 +151,22 @@ def test_encoder_equals_library():
         assert ours.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_together():
+    """op4: a run's equal chunks are found and encoded once, whatever the texts they stand in."""
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    given = ["", " ", "Big Öl, öl... BIG", "×a÷ a÷ ÿß-- ẞ Á", "it's 'S x\x00y", "big\n\nöl,\tbig\r", "--- --- 12ab", ""] * 40
+    ours, asked = WordEncoder(TOKENIZER), []
+    for cache in (ours.words, ours.chunks):
+        cache.fill = lambda word, fill=cache.fill: asked.append(word) or fill(word)
+    got = [ids[a:b].tolist() for ids, bounds in ours.runs(pa.array(given)) for a, b in zip(bounds, bounds[1:])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in given]
+    assert len(asked) == len(set(asked)) < 25 and {"big", "öl"} <= set(asked)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "RUN_BYTES", 20)
+        sizes = [len(bounds) - 1 for _, bounds in ours.runs(pa.array(given).slice(3, 30))]
+    assert sum(sizes) == 30 and max(sizes) < 8
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 2), (1, 5), (511, 40), (512, 65536), (1300, 3)):
