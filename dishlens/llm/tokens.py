@@ -14,7 +14,7 @@ from dishlens.llm.common import WordCache
 #: Letters that lower-case one to one and that no normal form changes.
 LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷")
 MARKS = string.punctuation
-_WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*$"
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*$"
 #: Bytes of texts whose chunks are held at once.
 RUN_BYTES = 4 << 20
 
@@ -26,6 +26,33 @@ def gathered(values: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.nda
     return values[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def text_runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about RUN_BYTES; a longer text is a run of its own."""
+    ends = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def distinct_chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct chunks between blanks of all texts, the number of each chunk in turn, and where each text's chunks start."""
+    for blank in "\n\t\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    parts = pc.split_pattern(texts, " ")
+    found = parts.flatten().dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), parts.offsets.to_numpy()
+
+
+def plain_chunks(chunks: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Lower-cased letters and marks of chunks that are plain letters with marks behind, and the places of the other chunks."""
+    plain = pc.match_substring_regex(chunks, _PLAIN)
+    held = pc.if_else(plain, chunks, pa.scalar("", chunks.type))
+    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    return pc.utf8_lower(pc.utf8_rtrim(held, MARKS)), pc.utf8_ltrim(held, LETTERS), other
+
+
 class WordEncoder:
     """ids(text) equals the tokenizer's encode(text, add_special_tokens=False).
 
@@ -58,11 +85,8 @@ class WordEncoder:
 
     def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks one after another, and how many each has."""
-        plain = pc.match_substring_regex(chunks, _WORD)
-        held = pc.if_else(plain, chunks, "")
-        letters = pc.utf8_lower(pc.utf8_rtrim(held, MARKS)).dictionary_encode()
-        marks = pc.utf8_ltrim(held, LETTERS).dictionary_encode()
-        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        *found, other = plain_chunks(chunks)
+        letters, marks = (x.dictionary_encode() for x in found)
         parts = [self.words[w] if w else b"" for found in (letters, marks) for w in found.dictionary.to_numpy(zero_copy_only=False)]
         places = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + len(letters.dictionary)], 1)
         places[other, 0] = len(parts) + np.arange(len(other))
@@ -72,22 +96,13 @@ class WordEncoder:
         return ids, size[places].sum(1)
 
     def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        for blank in "\n\t\r":
-            texts = pc.replace_substring(texts, blank, " ")
-        parts = pc.split_pattern(texts, " ")
-        found = parts.flatten().dictionary_encode()
-        known, size = self._known(found.dictionary)
-        chunk = found.indices.to_numpy()
-        return gathered(known, size, chunk), np.append(0, size[chunk].cumsum())[parts.offsets.to_numpy()]
+        chunks, chunk, offsets = distinct_chunks(texts)
+        known, size = self._known(chunks)
+        return gathered(known, size, chunk), np.append(0, size[chunk].cumsum())[offsets]
 
     def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Runs of texts of about RUN_BYTES, in turn: the ids of all, and where each text starts and the last one ends."""
-        ends = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64)
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, "right")))
-            yield self._run(texts.slice(at, to - at))
-            at = to
+        """For each run of texts in turn the ids of all, and where each text starts and the last one ends."""
+        return map(self._run, text_runs(texts))
 
     def ids(self, text: str) -> np.ndarray:
         return self._run(pa.array([text], "string"))[0]

@@ -23,14 +23,18 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dishlens.llm.common import id_mod, texts, written
+from dishlens.llm.tokens import distinct_chunks, gathered, plain_chunks, text_runs
 
 #: Bounds of the labelled sample, by label.
 TOXIC, CLEAN = 500, 1_000
@@ -180,6 +184,44 @@ def lookup(terms: dict[str, int]) -> Callable[[str], list[int]]:
     return hits
 
 
+class TermCounts:
+    """What `lookup` finds, counted for many texts at once: Arrow parts them, and equal chunks are looked up once a run."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.other, self.n = lookup(terms), max(len(terms), 1)
+        self.tables = []
+        for names in (terms, {t[:-1]: k for t, k in terms.items() if t[-1] == "*"}):
+            self.tables.append((pa.array(list(names), "large_string"), np.array([*names.values(), -1], np.int64)))
+
+    def _numbers(self, names: pa.Array, table: tuple[pa.Array, np.ndarray]) -> np.ndarray:
+        at = pc.index_in(names, value_set=table[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+        return table[1][at]
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each run of texts: term numbers, ascending in each text, their counts, and where each text starts and the last one ends."""
+        for run in text_runs(texts.cast("large_string")):
+            chunks, chunk, offsets = distinct_chunks(run)
+            letters, _, other = plain_chunks(chunks)
+            starts = pc.if_else(pc.greater(pc.utf8_length(letters), START), pc.utf8_slice_codeunits(letters, 0, START), None)
+            both = np.stack([self._numbers(x, table) for x, table in zip((letters, starts), self.tables, strict=True)], 1)
+            extra = [self.other(chunks[int(k)].as_py()) for k in other]
+            size = np.append((both >= 0).sum(1), np.array([len(x) for x in extra], np.int64))
+            values = np.concatenate([both[both >= 0], *[np.array(x, np.int64) for x in extra]])
+            number = np.arange(len(chunks))
+            number[other] = len(chunks) + np.arange(len(other))
+            place = number[chunk]
+            ends = np.append(0, size[place].cumsum())[offsets]
+            found = np.repeat(np.arange(len(run)), np.diff(ends)) * self.n + gathered(values, size, place)
+            found, counts = np.unique(found, return_counts=True)
+            yield found % self.n, counts, np.searchsorted(found, np.arange(len(run) + 1) * self.n)
+
+    def vectors(self, texts: pa.Array, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for terms, counts, bounds in self.runs(texts):
+            weights = (1 + np.log(counts)) * weight[terms]
+            for a, b in zip(bounds, bounds[1:]):
+                yield terms[a:b], weights[a:b] / max(float(np.sqrt((weights[a:b] ** 2).sum())), 1e-12)
+
+
 # ---- learning ------------------------------------------------------------------------------------
 
 
@@ -250,19 +292,16 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nda
     """In how many of all documents each term occurs, and the number of documents."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, sums, n = sent.value, np.zeros(len(sent.value), np.int64), 0
-        starts = {t[:-1]: k for t, k in terms.items() if t[-1] == "*"}
-        for pdf in batches:
-            n += len(pdf)
-            for text in pdf["text"]:
-                found = set(_WORD.findall(text.lower()))
-                for names, numbers in ((found, terms), ({w[:START] for w in found if len(w) > START}, starts)):
-                    sums[[k for k in map(numbers.get, names) if k is not None]] += 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sums, n = TermCounts(sent.value), np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for held, _, _ in found.runs(batch.column("text")):
+                sums += np.bincount(held, minlength=len(sums))
         at = np.flatnonzero(sums)
-        yield pd.DataFrame({"term": [-1, *at], "n": [n, *sums[at]]})
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], "int32"), pa.array([n, *sums[at]], "int64")], ["term", "n"])
 
-    rows = texts(docs).select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = texts(docs).select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in rows.collect()}  # one row for each term
     return np.array([found.get(t, 0) for t in range(len(terms))], float), int(found.get(-1, 0))
 
@@ -297,7 +336,7 @@ def scorer(index: Index | None):
     """Function from texts to their (score, evidence). Equal texts are scored once, as long as REMEMBERED others fit."""
     if index is None:
         return lambda texts: [(0.0, [])] * len(texts)
-    hits = lookup(index.terms)
+    counts = TermCounts(index.terms)
     known: dict[bytes, tuple[float, list[int]]] = {}
 
     def score(texts: list[str]) -> list[tuple[float, list[int]]]:
@@ -305,10 +344,9 @@ def scorer(index: Index | None):
         if len(known) > REMEMBERED:
             known.clear()
         new = {d: t for d, t in zip(digests, texts, strict=True) if d not in known}
-        names = list(new)
-        for at in range(0, len(names), TEXTS):
-            part = names[at: at + TEXTS]
-            known.update(zip(part, index.scores([vector(hits(new[d]), index.weight) for d in part]), strict=True))
+        names, vectors = iter(new), counts.vectors(pa.array(list(new.values()), "large_string"), index.weight)
+        while part := list(islice(vectors, TEXTS)):
+            known.update(zip(islice(names, len(part)), index.scores(part), strict=True))
         return [known[d] for d in digests]
 
     return score

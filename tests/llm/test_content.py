@@ -10,10 +10,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from dishlens.llm import decontaminate, language, licenses, secrets, simhash, toxicity
+from dishlens.llm import decontaminate, language, licenses, secrets, simhash, tokens, toxicity
 from dishlens.llm.queries import QUERIES
 
 from .conftest import prose
@@ -450,6 +451,23 @@ def test_pipeline(spark, docs_of, tmp_path):
     assert {r.doc_id for r in got} == set(kept["secrets"])
 
 
+def test_terms_are_counted_for_many_texts_at_once(monkeypatch):
+    """op7: a run's equal chunks are looked up once; numbers and counts are those of each text by itself."""
+    given = ["", " ", "Straße, straße... STRASSE", "Σας ΑΣ ΑΣ.", "½ Ⅷ x²y", "über_straße Übergänge, İs foo-bar foobarbaz", "a\x00b\n\na\tA", "---", ""] * 20
+    terms = {t: k for k, t in enumerate(sorted({t for text in given for t in toxicity.terms_of(text)} - {"a"}))}
+    alone, asked = toxicity.lookup(terms), []
+    for held in (terms, {}):
+        counts = toxicity.TermCounts(held)
+        counts.other = lambda text, other=counts.other: asked.append(text) or other(text)
+        found = []
+        for numbers, times, bounds in counts.runs(pa.array(given)):
+            found += [dict(zip(numbers[a:b].tolist(), times[a:b].tolist(), strict=True)) for a, b in zip(bounds, bounds[1:])]
+        assert found == [dict(Counter(alone(t))) if held else {} for t in given]
+    assert len(asked) < 40
+    monkeypatch.setattr(tokens, "RUN_BYTES", 30)
+    assert sum(len(bounds) - 1 for *_, bounds in toxicity.TermCounts(terms).runs(pa.array(given))) == len(given)
+
+
 def test_registered():
     import __spark_entry__ as driver
 
