@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dishlens.llm.common import gapless, texts, written
-from dishlens.llm.tokens import encoder
+from dishlens.llm.tokens import task_encoder
 
 
 class CapacityTree:
@@ -99,23 +99,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """(doc_id, piece, start, length, ids_crc32): whole texts encoded, cut only where longer than a sequence."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_runs, end = encoder(tokenizer).runs, np.array([end_id], "<u4")
-        for batch in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
-            found = (ids[a:b] for ids, bounds in encode_runs(batch.column("text")) for a, b in zip(bounds, bounds[1:]))
-            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                ids = np.concatenate([encoded.astype("<u4"), end])
-                for k in range(0, len(ids), capacity):
-                    part = ids[k: k + capacity]
-                    doc.append(doc_id)
-                    piece.append(k // capacity)
-                    start.append(k)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, "int64"), pa.array(piece, "int32"), *(pa.array(x, "int64") for x in (start, length, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        end = np.array([end_id], "<u4")
+        with task_encoder(tokenizer) as ours:
+            for batch in batches:
+                doc, piece, start, length, crc = [], [], [], [], []
+                found = (ids[a:b] for ids, bounds in ours.runs(batch.column("text")) for a, b in zip(bounds, bounds[1:]))
+                for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                    ids = np.concatenate([encoded.astype("<u4"), end])
+                    for k in range(0, len(ids), capacity):
+                        part = ids[k: k + capacity]
+                        doc.append(doc_id)
+                        piece.append(k // capacity)
+                        start.append(k)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, "int64"), pa.array(piece, "int32"), *(pa.array(x, "int64") for x in (start, length, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return texts(docs).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

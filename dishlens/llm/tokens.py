@@ -1,9 +1,10 @@
-"""Token ids of whole texts by a public tokenizer file, each distinct word encoded once per worker."""
+"""Token ids of whole texts by a public tokenizer file, each distinct word encoded once per task."""
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ class WordEncoder:
     The caches are cleared when they hold `limit` entries, so a worker's memory is bounded.
     """
 
-    def __init__(self, file: str, limit: int = 500_000):
+    def __init__(self, file: str, limit: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -107,12 +108,26 @@ class WordEncoder:
     def ids(self, text: str) -> np.ndarray:
         return self._run(pa.array([text], "string"))[0]
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(file: str) -> WordEncoder:
-    """The worker's encoder for a file; its caches outlive the task."""
+    """The worker's encoder for a file; it outlives the task."""
     if file not in _encoders:
         _encoders[file] = WordEncoder(file)
     return _encoders[file]
+
+
+@contextmanager
+def task_encoder(file: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task; what it remembers goes with the task, as the worker lives on for other steps."""
+    found = encoder(file)
+    try:
+        yield found
+    finally:
+        found.forget()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dishlens.llm.common import folder, range_splits, texts
-from dishlens.llm.tokens import encoder
+from dishlens.llm.tokens import task_encoder
 
 BITS, BLOCK, STRIDE = 16, 1 << 21, 512
 #: More shards than this would make the list of range starts long; shards then grow, blocks don't.
@@ -148,19 +148,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_p
     cuts = np.array(range_splits(ids, min(MAX_SHARDS, -(-ids.count() // docs_per_shard))), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_runs, end = encoder(tokenizer).runs, np.array([end_id], "<u2").tobytes()
-        for batch in batches:
-            at = 0
-            for ids, bounds in encode_runs(batch.column("text")):
-                doc_ids = batch.column("doc_id").slice(at, len(bounds) - 1)
-                given = doc_ids.is_valid().to_numpy(zero_copy_only=False)
-                number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
-                shard = np.where(given, np.maximum(np.searchsorted(cuts, number, "right") - 1, 0), 0)
-                found = [ids[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(shard, "int32"), pa.array(found, "binary")], ["doc_id", "shard", "ids"]
-                )
-                at += len(found)
+        end = np.array([end_id], "<u2").tobytes()
+        with task_encoder(tokenizer) as ours:
+            for batch in batches:
+                at = 0
+                for ids, bounds in ours.runs(batch.column("text")):
+                    doc_ids = batch.column("doc_id").slice(at, len(bounds) - 1)
+                    given = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+                    number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+                    shard = np.where(given, np.maximum(np.searchsorted(cuts, number, "right") - 1, 0), 0)
+                    found = [ids[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids, pa.array(shard, "int32"), pa.array(found, "binary")], ["doc_id", "shard", "ids"]
+                    )
+                    at += len(found)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, block, size, doc_ids, parts = None, 0, 0, [], []

@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dishlens.llm import decontaminate, language, licenses, secrets, simhash, tokens, toxicity
+from dishlens.llm.common import prepare
 from dishlens.llm.queries import QUERIES
 
 from .conftest import prose
@@ -468,6 +470,29 @@ def test_terms_are_counted_for_many_texts_at_once(monkeypatch):
     assert sum(len(bounds) - 1 for *_, bounds in toxicity.TermCounts(terms).runs(pa.array(given))) == len(given)
 
 
+def test_texts_go_to_python_by_bytes(spark):
+    """pipeline: a session that says nothing of batches gets some of a few MB, in each of the ways that the stages use."""
+    bare, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    bare.conf.unset(key)
+    bare.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    prepare(bare)
+    docs = bare.range(0, 64, 1, 1).select("id", F.expr("repeat('lorem ipsum ', 50000)").alias("text"))  # 38 MB
+
+    def frames(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    def arrow(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = F.pandas_udf(lambda text: pd.Series(len(text), text.index), "long")
+    found = [docs.mapInPandas(frames, "n long"), docs.mapInArrow(arrow, "n long"), docs.select(rows("text").alias("n"))]
+    assert all(max(r.n for r in df.collect()) <= 16 for df in found)
+    bare.conf.set(key, "5m")
+    assert prepare(bare).conf.get(key) == "5m"
+
+
 def test_registered():
     import __spark_entry__ as driver
 

@@ -1,6 +1,7 @@
 """Sharding, fingerprints, token files and packing against plain Python."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -250,3 +251,23 @@ def test_packed_documents(docs_of, odd):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
     assert packing.pack_documents(docs_of([]), TOKENIZER, 1, 64).collect() == []
+
+
+def test_words_go_with_the_task(spark, docs_of):
+    """op4, op5: workers live on for other steps, so what an encoder remembered must not stay in them."""
+    docs = docs_of([(k, prose(k, 20) + f" word{k} x{k}y") for k in range(40)]).coalesce(1)
+
+    def asked(batches):
+        for _ in batches:
+            found = tokens.encoder(TOKENIZER)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(found.words) + len(found.chunks)])], ["pid", "n"])
+
+    def used(batches):
+        with tokens.task_encoder(TOKENIZER) as ours:
+            for batch in batches:
+                n = sum(len(ids) for ids, _ in ours.runs(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([n])], ["pid", "n"])
+
+    assert docs.select("text").mapInArrow(used, "pid long, n long").first().n > 400
+    assert packing.pieces(docs, TOKENIZER, 1, 64).count() >= 40
+    assert all(r.n == 0 for r in docs.select("text").mapInArrow(asked, "pid long, n long").collect())
