@@ -51,6 +51,10 @@ WHITE_SPACE = (
     "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# What SQL's trim takes off: space separators only, no tabs and no line ends.
+SPACE_SEPARATORS = (
+    " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+)
 
 # --- page text limits (fixed values) ---
 MAX_INPUT_RUNES = 60_000

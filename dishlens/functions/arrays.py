@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from dishlens.functions.text import trim_space
+from dishlens import constants as K
 
 
 def _col(value: Column | str) -> Column:
@@ -19,9 +19,9 @@ def or_empty(values: Column | str) -> Column:
     return F.coalesce(_col(values), empty_strings())
 
 
-def distinct_non_blank(values: Column | str) -> Column:
-    """Trimmed, non-blank strings, each at its first place."""
-    trimmed = F.transform(_col(values), trim_space)
+def distinct_non_blank(values: Column | str, space: str = K.WHITE_SPACE) -> Column:
+    """Trimmed, non-blank strings, each at its first place; `space` is what is trimmed."""
+    trimmed = F.transform(_col(values), lambda v: F.trim(v, F.lit(space)))
     return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
 
 
