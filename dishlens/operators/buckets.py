@@ -1,49 +1,98 @@
-"""Candidate search by random hyperplanes: several hash tables, an equi-join on buckets, exact re-ranking.
+"""Candidate search by random hyperplanes: several hash tables, look-up of buckets, exact scores of what they hold.
 
 The signs of a vector's products with some random directions name its bucket in a table; near vectors share a bucket in
 one of many tables. A query also probes the buckets across the planes it lies closest to. The answer is approximate:
 `recall` measures it against the exact search, which stays the default. Finer buckets of a larger table lose neighbours, so the
-number of bits is fitted: the largest whose recall suffices for a bounded choice of queries against all rows. Only ids and bucket names are shuffled for
-the join. Copies of one vector are indexed once and handed out again at the end, so a vector that many rows share makes
-no bucket large.
+number of bits is fitted: the largest whose recall suffices for a bounded choice of queries against all rows. Rows meet the queries
+as in the exact search, batch by batch, where only pairs that share a bucket are scored: pairs never exist as rows, however
+many copies of a vector there are, and only the best `k` of each query leave the task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from dishlens.functions.vectors import as_matrix, dot, norm
 from dishlens.operators import knn
-from dishlens.operators.dedup import top_per_key
 
 TABLES, PROBES, ROWS_PER_BUCKET = 24, 3, 64
 # Queries on which the number of bits is fitted, and the recall they must reach.
 FIT_QUERIES, FIT_RECALL = 100, 0.95
+# Pairs of a query and a row that are looked at in one go, the share of them above which one product scores them all, and the
+# numbers of vectors that are held otherwise to score them.
+PAIRS, DENSE, GATHERED_CELLS = 1 << 20, 1 / 16, 4 << 20
 
 
 def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(dim, tables * bits))
 
 
-def _keys(vector: str, dim: int, tables: int, bits: int, probes: int, seed: int) -> Column:
-    """Bucket numbers of a vector of width `dim`: one per table, and `probes` more per table for a query."""
+def _margins(matrix: np.ndarray, planes: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances from the planes, by table, what each bit is worth, and the vectors' own buckets: one per table."""
+    margins = (matrix @ planes).reshape(len(matrix), tables, -1)
+    powers = 1 << np.arange(margins.shape[2], dtype=np.int64)
+    return margins, powers, ((margins > 0) * powers).sum(2)
 
-    @F.arrow_udf("array<long>")
-    def keys(column: pa.Array) -> pa.Array:
-        margins = (as_matrix(column, dim) @ _planes(dim, tables, bits, seed)).reshape(-1, tables, bits)
-        powers = 1 << np.arange(bits, dtype=np.int64)
-        home = ((margins > 0) * powers).sum(2)
-        found = [home]
-        for at in np.moveaxis(np.argsort(np.abs(margins), 2)[:, :, :probes], 2, 0):
-            found.append(home ^ powers[at])
-        numbers = np.stack([f + (np.arange(tables, dtype=np.int64) << bits) for f in found], 2).reshape(len(column), -1)
-        return pa.array(list(numbers), pa.list_(pa.int64()))
 
-    return keys.asNondeterministic()(vector)
+def _probed(matrix: np.ndarray, planes: np.ndarray, tables: int, probes: int) -> np.ndarray:
+    """Buckets of queries: their own and `probes` more in each table, all different."""
+    margins, powers, home = _margins(matrix, planes, tables)
+    across = powers[np.argsort(np.abs(margins), 2)[:, :, :probes]]
+    return np.concatenate([home[:, :, None], home[:, :, None] ^ across], axis=2)
+
+
+def _sharing(probed: np.ndarray, home: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether a query and a row share a bucket of some table. `home`: the rows' buckets, sorted by table; `order`: whose they are."""
+    shared = np.zeros((len(probed), len(home)), bool)
+    for table in range(home.shape[1]):
+        low, high = (np.searchsorted(home[:, table], probed[:, table], side) for side in ("left", "right"))
+        sizes = (high - low).ravel()
+        before = sizes.cumsum() - sizes
+        place = np.arange(sizes.sum()) + np.repeat(low.ravel() - before, sizes)
+        shared[np.repeat(np.arange(len(probed)), (high - low).sum(1)), order[place, table]] = True
+    return shared
+
+
+def _scores(queries: np.ndarray, rows: np.ndarray, at_query: np.ndarray, at_row: np.ndarray) -> np.ndarray:
+    step = max(1, GATHERED_CELLS // queries.shape[1])
+    parts = [slice(start, start + step) for start in range(0, len(at_query), step)]
+    return np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", queries[at_query[p]], rows[at_row[p]]) for p in parts)])
+
+
+def _search(dim: int, tables: int, bits: int, probes: int, seed: int) -> knn.Search:
+    """Pairs that share a bucket, for `knn.nearest_batch`. A pair's score is summed up in one order, so copies are level."""
+
+    def prepared(queries: np.ndarray) -> Callable[[np.ndarray, int], knn.Best]:
+        planes = _planes(dim, tables, bits, seed)
+        probed = _probed(queries, planes, tables, probes)
+
+        def search(rows: np.ndarray, k: int) -> knn.Best:
+            home = _margins(rows, planes, tables)[2]
+            order = home.argsort(0, kind="stable")
+            home = np.take_along_axis(home, order, 0)
+            step = max(1, PAIRS // len(rows))
+            for start in range(0, len(queries), step):
+                part = queries[start:start + step]
+                shared = _sharing(probed[start:start + step], home, order)
+                if shared.mean() > DENSE:
+                    at_query, at_row = knn._best(np.where(shared, part @ rows.T, -np.inf), k)
+                    scores = _scores(part, rows, at_query, at_row)
+                else:
+                    at_query, at_row = np.nonzero(shared)
+                    scores = _scores(part, rows, at_query, at_row)
+                    best = np.lexsort((at_row, -scores, at_query))  # no number comes last
+                    at_query, at_row, scores = at_query[best], at_row[best], scores[best]
+                    rank = np.arange(len(best)) - np.searchsorted(at_query, at_query)
+                    keep = (rank < k) & np.isfinite(scores)
+                    at_query, at_row, scores = at_query[keep], at_row[keep], scores[keep]
+                yield at_query + start, at_row, scores
+
+        return search
+
+    return prepared
 
 
 def nearest_batch_buckets(
@@ -91,23 +140,10 @@ def _from_buckets(
     usable: DataFrame, id_col: str, asked: DataFrame, query_id: str, k: int, dim: int, tables: int, bits: int, probes: int, seed: int
 ) -> DataFrame:
     probes = min(probes, bits)
-    one = usable.select(
-        id_col, F.xxhash64("_v").alias("_h1"), F.xxhash64("_v", F.lit("again")).alias("_h2"),
-        _keys("_v", dim, tables, bits, 0, seed).alias("_keys"),
+    cells = knn.MAX_QUERY_CELLS * dim // (dim + tables * (1 + probes))  # the queries' buckets take room beside them
+    return knn.nearest_batch(
+        usable, "_v", id_col, asked, "_q", query_id, k, cells, dim, _search(dim, tables, bits, probes, seed)
     )
-    copies = top_per_key(one, ["_h1", "_h2"], [F.asc(id_col)], k, rank_col="_copy")
-    index = copies.filter("_copy = 1").select(F.col(id_col).alias("_rep"), F.explode("_keys").alias("_key"))
-    probed = asked.select(query_id, F.explode(_keys("_q", dim, tables, bits, probes, seed)).alias("_key"))
-    pairs = index.join(probed, "_key").select(query_id, "_rep").distinct()
-    near = pairs.join(asked, query_id).join(usable.withColumnRenamed(id_col, "_rep"), "_rep")
-    near_by = F.try_divide(dot(F.col("_v"), F.col("_q")), norm(F.col("_v")) * norm(F.col("_q")))
-    scored = near.select(query_id, "_rep", near_by.alias("certainty")).filter("certainty IS NOT NULL AND NOT isnan(certainty)")
-    best = top_per_key(scored, [query_id], [F.desc("certainty"), F.asc("_rep")], k)
-    # k copies of each of the k best are enough for the k best rows
-    names = copies.select(id_col, "_h1", "_h2")
-    groups = copies.filter("_copy = 1").select(F.col(id_col).alias("_rep"), "_h1", "_h2")
-    every = best.join(groups, "_rep").join(names, ["_h1", "_h2"]).select(query_id, id_col, "certainty")
-    return top_per_key(every, [query_id], [F.desc("certainty"), F.asc(id_col)], k, rank_col="rank")
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str, id_col: str) -> DataFrame:

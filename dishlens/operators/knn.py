@@ -8,7 +8,7 @@ shard by shard, again keeping `k` per query and shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,11 @@ BLOCK_QUERIES = 20_000
 SHARD_ROWS = 50_000
 PRODUCT_ROWS = 256
 
+# Given the query matrix, a function of a matrix of rows in id order and k that yields (query rows, table rows, scores) of the
+# best k pairs of each query. All vectors are of unit length.
+Best = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+Search = Callable[[np.ndarray], Callable[[np.ndarray, int], Best]]
+
 
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, id_col: str) -> DataFrame:
     """The `k` rows closest to one vector, ties by id."""
@@ -52,6 +57,31 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
+def every_pair(queries: np.ndarray) -> Callable[[np.ndarray, int], Best]:
+    """All pairs, by one product per block of queries."""
+
+    def search(rows: np.ndarray, k: int) -> Best:
+        for start in range(0, len(queries), PRODUCT_ROWS):  # the product stays of one size
+            scores = queries[start:start + PRODUCT_ROWS] @ rows.T
+            at_query, at_row = _best(scores, k)
+            yield at_query + start, at_row, scores[at_query, at_row]
+
+    return search
+
+
+def _not_beaten(kept: np.ndarray, at_query: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Which pairs, in order of their queries and at most k each, are as good as the k-th best a task has had; `kept` takes them in."""
+    k = kept.shape[1]
+    good = scores >= kept[at_query, 0]
+    at_query, scores = at_query[good], scores[good]
+    if len(at_query):
+        asked, first, counts = np.unique(at_query, return_index=True, return_counts=True)
+        more = np.full((len(asked), k), -np.inf)
+        more[np.repeat(np.arange(len(asked)), counts), np.arange(len(at_query)) - np.repeat(first, counts)] = scores
+        kept[asked] = np.sort(np.concatenate([kept[asked], more], axis=1), axis=1)[:, -k:]
+    return good
+
+
 def _ranked(pairs: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     order = [F.desc("certainty"), F.asc(id_col)]
     return top_per_key(pairs, [query_id], order, k, rank_col="rank")
@@ -75,9 +105,9 @@ def common_width(rows: DataFrame, vector: str) -> int | None:
 def nearest_batch(
     table: DataFrame, vector: str, id_col: str,
     queries: DataFrame, query_vector: str, query_id: str,
-    k: int, max_query_cells: int = MAX_QUERY_CELLS, dim: int | None = None,
+    k: int, max_query_cells: int = MAX_QUERY_CELLS, dim: int | None = None, search: Search = every_pair,
 ) -> DataFrame:
-    """(query_id, id, certainty, rank): the `k` closest rows for every query, exact.
+    """(query_id, id, certainty, rank): the `k` closest rows for every query, exact unless `search` leaves pairs out.
 
     Vectors of another width than `dim` have no neighbours (`split_by_dimension` tells them apart);
     without `dim` all queries must be of one width.
@@ -93,15 +123,17 @@ def nearest_batch(
     limit = max(1, max_query_cells // dim)
     head = head.filter(F.size(query_vector) == dim)
     sample = head.limit(limit + 1).toArrow()
+    if not sample.num_rows:
+        return table.sparkSession.createDataFrame([], schema + ", rank int")
     usable = table.filter(F.size(vector) == dim).select(id_col, vector)
     if sample.num_rows <= limit:
-        pairs = _stream_pairs(usable, sample, dim, k, schema)
+        pairs = _stream_pairs(usable, sample, dim, k, schema, search)
     else:
-        pairs = _block_pairs(usable, vector, id_col, head, query_vector, query_id, dim, k, schema)
+        pairs = _block_pairs(usable, vector, id_col, head, query_vector, query_id, dim, k, schema, search)
     return _ranked(pairs, query_id, id_col, k)
 
 
-def _stream_pairs(table: DataFrame, queries: pa.Table, dim: int, k: int, schema: str) -> DataFrame:
+def _stream_pairs(table: DataFrame, queries: pa.Table, dim: int, k: int, schema: str, search: Search) -> DataFrame:
     spark = table.sparkSession
     ids = queries.column(0).combine_chunks()
     matrix = _unit(as_matrix(queries.column(1), dim))
@@ -110,17 +142,16 @@ def _stream_pairs(table: DataFrame, queries: pa.Table, dim: int, k: int, schema:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
+        best, kept = search(query_matrix), np.full((len(query_matrix), k), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch = batch.sort_by(names[1])
-            rows = _unit(as_matrix(batch.column(1), dim)).T
-            for start in range(0, len(query_matrix), PRODUCT_ROWS):  # the product stays of one size
-                scores = query_matrix[start:start + PRODUCT_ROWS] @ rows
-                at_query, at_row = _best(scores, k)
+            for at_query, at_row, scores in best(_unit(as_matrix(batch.column(1), dim)), k):
+                good = _not_beaten(kept, at_query, scores)
                 yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(at_query + start)), batch.column(0).take(pa.array(at_row)),
-                     pa.array(scores[at_query, at_row])],
+                    [query_ids.take(pa.array(at_query[good])), batch.column(0).take(pa.array(at_row[good])),
+                     pa.array(scores[good])],
                     names=names,
                 )
 
@@ -129,7 +160,7 @@ def _stream_pairs(table: DataFrame, queries: pa.Table, dim: int, k: int, schema:
 
 def _block_pairs(
     table: DataFrame, vector: str, id_col: str,
-    queries: DataFrame, query_vector: str, query_id: str, dim: int, k: int, schema: str,
+    queries: DataFrame, query_vector: str, query_id: str, dim: int, k: int, schema: str, search: Search = every_pair,
 ) -> DataFrame:
     """Blocks of queries against shards of the table; both are cut to a size one task can hold."""
     shards = max(1, -(-table.count() // SHARD_ROWS))
@@ -145,15 +176,12 @@ def _block_pairs(
             return pd.DataFrame({query_id: [], id_col: [], "certainty": []})
         left = left.sort_values(id_col)
         rows = _unit(np.stack(left[vector].to_numpy()).astype("float64"))
-        found = []
-        for start in range(0, len(right), PRODUCT_ROWS):
-            part = right.iloc[start:start + PRODUCT_ROWS]
-            scores = _unit(np.stack(part[query_vector].to_numpy()).astype("float64")) @ rows.T
-            at_query, at_row = _best(scores, k)
+        asked, found = _unit(np.stack(right[query_vector].to_numpy()).astype("float64")), []
+        for at_query, at_row, scores in search(asked)(rows, k):
             found.append(pd.DataFrame({
-                query_id: part[query_id].to_numpy()[at_query],
+                query_id: right[query_id].to_numpy()[at_query],
                 id_col: left[id_col].to_numpy()[at_row],
-                "certainty": scores[at_query, at_row],
+                "certainty": scores,
             }))
         return pd.concat(found)
 
